@@ -66,6 +66,7 @@ def sliding_windows(
     inside each partition.
     """
     W = cfg.window_size
+    seq_type = ranked_groups.schema["seq"].dataType
     anchors = ranked_groups.select("machine_id", "group_seq", "seq").join(
         machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"),
         "machine_id",
@@ -74,7 +75,7 @@ def sliding_windows(
         "machine_id",
         "property_id",
         "group_seq",
-        F.lit(None).cast("bigint").alias("seq"),
+        F.lit(None).cast(seq_type).alias("seq"),
         F.lit(None).cast("int").alias("num_clusters"),
         F.lit(None).cast("double").alias("prob_threshold"),
         F.struct(

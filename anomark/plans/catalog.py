@@ -150,3 +150,141 @@ QUERIES = {
     "property_allow_list": q_property_allow_list,
     "anomaly_triples": q_anomaly_triples,
 }
+
+
+# ---------------------------------------------------------------------------------------------
+# N-Triples path: events rendered as triples text, then parsed and assembled by the library.
+
+def _event_triples(spark: SparkSession, data_dir: str):
+    from anomark.sources.events import groups_from_events, observations_from_events
+    from anomark.sources.triples import render_observation_triples
+
+    ev = _events(spark, data_dir)
+    return render_observation_triples(groups_from_events(ev), observations_from_events(ev))
+
+
+def _metadata_triples(spark: SparkSession, data_dir: str):
+    from anomark.sources.events import machines_from_events, model_properties_from_events
+    from anomark.sources.triples import render_metadata_triples
+
+    ev = _events(spark, data_dir)
+    return render_metadata_triples(machines_from_events(ev), model_properties_from_events(ev))
+
+
+def q_parse_triples(spark: SparkSession, data_dir: str) -> DataFrame:
+    from anomark.sources.triples import parse_triples, valid_triples
+
+    t = valid_triples(parse_triples(_event_triples(spark, data_dir)))
+    return t.select(F.col("seq.line").alias("line"), "s_ns", "s", "p_ns", "p", "o_ns", "o", "is_literal")
+
+
+def _metadata_rows(machines: DataFrame, model_properties: DataFrame) -> DataFrame:
+    return machines.join(model_properties, "model_id").select(
+        "machine_id", "model_id", "property_id", "num_clusters", "prob_threshold", "stateful"
+    )
+
+
+def _stored_triples(spark, lines, name):
+    """Parse once into the shared checkpoint folder: every assembly join reads the same rows."""
+    from anomark.session import scratch_path
+    from anomark.sources.triples import parse_and_store
+
+    return parse_and_store(spark, lines, scratch_path(spark, name))[0]
+
+
+def _parsed_metadata(spark, data_dir):
+    from anomark.operators.assembly import build_metadata
+
+    return build_metadata(_stored_triples(spark, _metadata_triples(spark, data_dir), "metadata-triples"))
+
+
+def q_build_metadata(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _metadata_rows(*_parsed_metadata(spark, data_dir))
+
+
+def q_metadata_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Metadata parsed from triples, saved as a snapshot in the shared folder, loaded back."""
+    from anomark.session import scratch_path
+    from anomark.sources.metadata_store import load_metadata, save_metadata
+
+    path = scratch_path(spark, "metadata")
+    save_metadata(*_parsed_metadata(spark, data_dir), path)
+    return _metadata_rows(*load_metadata(spark, path))
+
+
+def _assembled(spark, data_dir, mode):
+    from anomark.operators.assembly import assemble_observations
+
+    return assemble_observations(_stored_triples(spark, _event_triples(spark, data_dir), "observation-triples"), mode)
+
+
+def _observation_rows(obs: DataFrame) -> DataFrame:
+    return obs.select("machine_id", "group_id", "timestamp_id", "timestamp_value", "property_id", "raw_value", "value")
+
+
+def q_assemble_observations(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _observation_rows(_assembled(spark, data_dir, "by_edges")[1])
+
+
+def q_assemble_by_position(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _observation_rows(_assembled(spark, data_dir, "by_position")[1])
+
+
+def q_triples_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The whole detector from text: metadata and observation triples -> anomalies."""
+    from anomark.plans.detect import detection_stages
+
+    machines, model_properties = _parsed_metadata(spark, data_dir)
+    groups, obs = _assembled(spark, data_dir, "by_edges")
+    st = detection_stages(groups.where(F.col("machine_id").isNotNull()), obs, machines, model_properties)
+    a = st.anomalies
+    return a.select(
+        "anomaly_no", "machine_id", "property_id", "timestamp_id", "timestamp_value",
+        F.round("probability", 9).alias("probability"), "window_no",
+    )
+
+
+def q_stateful_filter(spark: SparkSession, data_dir: str) -> DataFrame:
+    from anomark.operators.metadata import filter_stateful
+    from anomark.sources.events import machines_from_events, model_properties_from_events, observations_from_events
+
+    ev = _events(spark, data_dir)
+    kept = filter_stateful(observations_from_events(ev), machines_from_events(ev), model_properties_from_events(ev))
+    return kept.select("machine_id", "group_id", "property_id", "value")
+
+
+def q_property_params(spark: SparkSession, data_dir: str) -> DataFrame:
+    from anomark.operators.metadata import with_property_params
+    from anomark.sources.events import machines_from_events, model_properties_from_events, observations_from_events
+
+    ev = _events(spark, data_dir)
+    p = with_property_params(observations_from_events(ev), machines_from_events(ev), model_properties_from_events(ev))
+    return p.select("machine_id", "group_id", "property_id", "model_id", "num_clusters", "prob_threshold", "stateful")
+
+
+STATEFUL_PROPERTIES = tuple(f"_{m}_{j}" for m in range(5) for j in range(2))
+
+
+def q_wide_export(spark: SparkSession, data_dir: str) -> DataFrame:
+    from anomark.operators.metadata import filter_stateful
+    from anomark.operators.output import wide_export
+    from anomark.sources.events import machines_from_events, model_properties_from_events, observations_from_events
+
+    ev = _events(spark, data_dir)
+    kept = filter_stateful(observations_from_events(ev), machines_from_events(ev), model_properties_from_events(ev))
+    return wide_export(kept, STATEFUL_PROPERTIES)
+
+
+QUERIES.update(
+    {
+        "parse_triples": q_parse_triples,
+        "build_metadata": q_build_metadata,
+        "metadata_roundtrip": q_metadata_roundtrip,
+        "assemble_observations": q_assemble_observations,
+        "assemble_by_position": q_assemble_by_position,
+        "triples_anomalies": q_triples_anomalies,
+        "stateful_filter": q_stateful_filter,
+        "property_params": q_property_params,
+        "wide_export": q_wide_export,
+    }
+)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anomark.functions.text import python_float_text
+
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # Fixed parameters of the mapping above.
@@ -54,7 +56,7 @@ def _obs_array(user: Column) -> Column:
     k_text = F.get_json_object("props", "$.k")
     return F.array(
         F.struct(F.lit(0).cast("bigint").alias("obs_pos"), property_id(user, 0).alias("property_id"),
-                 F.col("value").cast("string").alias("raw_value")),
+                 python_float_text(F.col("value")).alias("raw_value")),
         F.struct(F.lit(1).cast("bigint").alias("obs_pos"), property_id(user, 1).alias("property_id"),
                  k_text.alias("raw_value")),
         F.struct(F.lit(2).cast("bigint").alias("obs_pos"), property_id(user, 2).alias("property_id"),

@@ -283,3 +283,107 @@ lines AS (
   UNION ALL SELECT anomaly_no, 6, '{base}' || timestamp_id || '> {iot}ValueLiteral> "' || timestamp_value || '"^^{dt} .' FROM num)
 SELECT CAST(anomaly_no AS BIGINT) AS anomaly_no, CAST(ord AS INTEGER) AS ord, value FROM lines
 """
+
+
+# ---------------------------------------------------------------------------------------------
+# N-Triples path and metadata
+
+EV3 = f"""
+e3 AS (
+  SELECT e.*, j, 'ObservationGroup_' || event_id AS g, 'Timestamp_' || event_id AS t,
+         'Machine_' || user_id AS machine_id, 'MachineModel_' || (user_id % 5) AS model_id,
+         '_' || (user_id % 5) || '_' || j AS property_id,
+         CASE j WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN json_extract_string(props, '$.k')
+                ELSE event_type END AS raw,
+         {TS_SQL} AS tval
+  FROM events e, (SELECT unnest(range(3)) AS j))
+"""
+
+
+def parse_triples() -> str:
+    def row(i, s, p, o_ns, o, lit="false", src="e1"):
+        return (f"SELECT event_id * 64 + {i} AS line, 'data' AS s_ns, {s} AS s, 'ontology' AS p_ns, "
+                f"'{p}' AS p, {o_ns} AS o_ns, {o} AS o, {lit} AS is_literal FROM {src}")
+
+    obs = "g || '_Observation_' || j"
+    out = "g || '_Output_' || j"
+    val = "g || '_Value_' || j"
+    parts = [
+        row(0, "g", "type", "'ontology'", "'MoldingMachineObservationGroup'"),
+        row(1, "g", "machine", "'data'", "machine_id"),
+        row(2, "g", "observationResultTime", "'data'", "t"),
+        row(3, "g", "observedCycle", "'data'", "'Cycle_' || event_id"),
+        row(4, "t", "valueLiteral", "'XMLSchema#dateTime'", "tval", "true"),
+        row("5 + 5 * j", "g", "contains", "'data'", obs, src="e3"),
+        row("6 + 5 * j", obs, "observedProperty", "'data'", "property_id", src="e3"),
+        row("7 + 5 * j", obs, "observationResult", "'data'", out, src="e3"),
+        row("8 + 5 * j", out, "hasValue", "'data'", val, src="e3"),
+        row("9 + 5 * j", val, "valueLiteral", "'XMLSchema#string'", "raw", "true", src="e3"),
+    ]
+    union = "\n  UNION ALL ".join(parts)
+    return f"""
+WITH {EV3}, e1 AS (SELECT * FROM e3 WHERE j = 0),
+lines AS ({union})
+SELECT CAST(line AS BIGINT) AS line, s_ns, s, p_ns, p, o_ns, o, is_literal FROM lines
+"""
+
+
+def build_metadata() -> str:
+    return """
+WITH u AS (SELECT DISTINCT user_id FROM events)
+SELECT 'Machine_' || user_id AS machine_id, 'MachineModel_' || (user_id % 5) AS model_id,
+       '_' || (user_id % 5) || '_' || j AS property_id,
+       CAST(CASE j WHEN 0 THEN 3 WHEN 1 THEN 2 + (user_id % 5) % 3 END AS INTEGER) AS num_clusters,
+       CASE WHEN j < 2 THEN 0.005 END::DOUBLE AS prob_threshold,
+       j < 2 AS stateful
+FROM u, (SELECT unnest(range(3)) AS j)
+"""
+
+
+def assemble_observations() -> str:
+    return f"""
+WITH {EV3}
+SELECT machine_id, g AS group_id, t AS timestamp_id, tval AS timestamp_value, property_id,
+       raw AS raw_value, TRY_CAST(raw AS DOUBLE) AS value
+FROM e3
+"""
+
+
+def stateful_filter() -> str:
+    return f"""
+WITH {EV3}
+SELECT machine_id, g AS group_id, property_id, TRY_CAST(raw AS DOUBLE) AS value FROM e3 WHERE j < 2
+"""
+
+
+def property_params() -> str:
+    return f"""
+WITH {EV3}
+SELECT machine_id, g AS group_id, property_id, model_id,
+       CAST(CASE j WHEN 0 THEN 3 WHEN 1 THEN 2 + (user_id % 5) % 3 END AS INTEGER) AS num_clusters,
+       CASE WHEN j < 2 THEN 0.005 END::DOUBLE AS prob_threshold, j < 2 AS stateful
+FROM e3
+"""
+
+
+def wide_export() -> str:
+    cols = ",\n       ".join(
+        f"max(CASE WHEN property_id = '_{m}_{j}' THEN TRY_CAST(raw AS DOUBLE) END) AS \"_{m}_{j}\""
+        for m in range(5) for j in range(2)
+    )
+    return f"""
+WITH {EV3}
+SELECT machine_id, t AS timestamp_id,
+       {cols}
+FROM e3 WHERE j < 2
+GROUP BY machine_id, t
+"""
+
+
+def triples_anomalies() -> str:
+    return anomalies_body(WARM, "warm") + """
+SELECT CAST(row_number() OVER (ORDER BY trigger_seq, property_id) - 1 AS BIGINT) AS anomaly_no,
+       machine_id, property_id, timestamp_id, timestamp_value, round(probability, 9) AS probability,
+       window_no
+FROM firsts
+"""
