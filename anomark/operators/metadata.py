@@ -20,6 +20,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def require_small(df: DataFrame, max_rows: int, what: str) -> None:
+    """Raise unless ``df`` has at most ``max_rows`` rows (guard before shipping it to tasks)."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; raise broadcast_max_rows or join instead")
+
+
 def machine_properties(
     machines: DataFrame,
     model_properties: DataFrame,

@@ -288,3 +288,83 @@ QUERIES.update(
         "wide_export": q_wide_export,
     }
 )
+
+
+# ---------------------------------------------------------------------------------------------
+# Streaming: event rows / triple files written in stream order, consumed with availableNow.
+
+STREAM_CHUNKS = 4
+
+
+def _chunk_of(col, lo, hi, n=STREAM_CHUNKS):
+    """Contiguous chunk number of ``col`` in [lo, hi] (the chunks cover every row)."""
+    span = (hi - lo) // n + 1
+    return F.floor((col - F.lit(lo)) / F.lit(span)).cast("int")
+
+
+def _event_rows(ev: DataFrame) -> DataFrame:
+    from anomark.sources.events import groups_from_events, observations_from_events
+
+    g = groups_from_events(ev).select(
+        "machine_id", F.struct(F.lit("events").alias("file"), F.col("seq").alias("line")).alias("seq"),
+        "group_id", "timestamp_id", "timestamp_value",
+    )
+    o = observations_from_events(ev).where(F.col("value").isNotNull()).groupBy("group_id").agg(
+        F.array_sort(F.collect_list(F.struct("obs_pos", "property_id", "value"))).alias("obs")
+    )
+    return g.join(o, "group_id", "left")
+
+
+def _stream_result(spark: SparkSession, out_dir: str) -> DataFrame:
+    a = spark.read.parquet(out_dir)
+    return a.select(
+        F.col("anomaly_no").cast("bigint").alias("anomaly_no"), "machine_id", "property_id", "timestamp_id",
+        "timestamp_value", F.round("probability", 9).alias("probability"),
+        F.col("window_no").cast("bigint").alias("window_no"), F.col("trigger_seq.line").alias("trigger_seq"),
+    )
+
+
+def q_stream_equals_batch(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Stage B over the event rows, fed in four micro-batches in stream order."""
+    from anomark.session import scratch_path
+    from anomark.sources.events import machines_from_events, model_properties_from_events
+    from anomark.streaming.stage_b import start_stage_b
+
+    ev = _events(spark, data_dir)
+    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    rows = _event_rows(ev).withColumn("chunk", _chunk_of(F.col("seq.line"), lo, hi))
+    src, out, ckpt = (scratch_path(spark, n) for n in ("stream-events", "stream-anomalies", "stream-ckpt"))
+    for c in range(STREAM_CHUNKS):  # one write per chunk: files arrive in stream order
+        rows.where(F.col("chunk") == c).drop("chunk").write.parquet(f"{src}/chunk={c:05d}")
+    q = start_stage_b(spark, src, machines_from_events(ev), model_properties_from_events(ev), out, ckpt,
+                      max_files_per_trigger=1)
+    q.awaitTermination()
+    return _stream_result(spark, out)
+
+
+def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Text to anomalies as two streams: N-Triples files -> stage A -> stage B."""
+    from anomark.session import scratch_path
+    from anomark.streaming.stage_a import start_stage_a
+    from anomark.streaming.stage_b import start_stage_b
+
+    ev = _events(spark, data_dir)
+    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    lines = _event_triples(spark, data_dir)
+    event_no = F.floor(F.col("seq.line") / F.lit(1024))
+    lines = lines.withColumn("chunk", _chunk_of(event_no, lo, hi))
+    txt, evdir, out = (scratch_path(spark, n) for n in ("stream-triples", "stream-events", "stream-anomalies"))
+    for c in range(STREAM_CHUNKS):  # whole observation groups per file, files in stream order
+        (lines.where(F.col("chunk") == c).repartition(1).sortWithinPartitions("seq.line")
+         .select("value").write.text(f"{txt}/chunk={c:05d}"))
+    machines, model_properties = _parsed_metadata(spark, data_dir)
+    qa = start_stage_a(spark, txt, machines, model_properties, evdir, scratch_path(spark, "ckpt-a"),
+                       max_files_per_trigger=1)
+    qa.awaitTermination()
+    qb = start_stage_b(spark, evdir, machines, model_properties, out, scratch_path(spark, "ckpt-b"),
+                       max_files_per_trigger=1)
+    qb.awaitTermination()
+    return _stream_result(spark, out).drop("trigger_seq")
+
+
+QUERIES.update({"stream_equals_batch": q_stream_equals_batch, "stream_anomalies": q_stream_anomalies})

@@ -302,7 +302,7 @@ e3 AS (
 
 def parse_triples() -> str:
     def row(i, s, p, o_ns, o, lit="false", src="e1"):
-        return (f"SELECT event_id * 64 + {i} AS line, 'data' AS s_ns, {s} AS s, 'ontology' AS p_ns, "
+        return (f"SELECT event_id * 1024 + {i} AS line, 'data' AS s_ns, {s} AS s, 'ontology' AS p_ns, "
                 f"'{p}' AS p, {o_ns} AS o_ns, {o} AS o, {lit} AS is_literal FROM {src}")
 
     obs = "g || '_Observation_' || j"
