@@ -29,6 +29,9 @@ class DetectorConfig:
     properties       allow-list of property ids to cluster; empty = all stateful ones
     system_uri       base IRI of the anomaly and timestamp resources in the output triples
     broadcast_max_rows  metadata tables are broadcast only below this row count
+    fold_chunk_events   windows and the warm-start fold of a (machine, property) are cut into
+                     runs of this many events, processed in parallel and then made exact by
+                     fix-up rounds (``anomark.operators.fold``); None = one run per key
     """
 
     window_size: int = DEFAULT_WINDOW_SIZE
@@ -41,6 +44,7 @@ class DetectorConfig:
     properties: tuple[str, ...] = field(default_factory=tuple)
     system_uri: str = "http://example.org/anomark"
     broadcast_max_rows: int = 2_000_000
+    fold_chunk_events: int | None = 1 << 16
 
     def __post_init__(self) -> None:
         if self.window_size < 1:
@@ -51,6 +55,8 @@ class DetectorConfig:
             raise ValueError("lag must be 0 or 1")
         if self.tail not in ("none", "reference", "file"):
             raise ValueError("tail must be 'none', 'reference' or 'file'")
+        if self.fold_chunk_events is not None and self.fold_chunk_events < self.window_size:
+            raise ValueError("fold_chunk_events must be at least window_size")
         if self.assembly_mode not in ("by_edges", "by_position"):
             raise ValueError("assembly_mode must be 'by_edges' or 'by_position'")
 

@@ -53,7 +53,13 @@ def warm_kmeans(
     ``partitioned=True`` tells that ``windows`` is already hash-partitioned on
     (machine_id, property_id), as ``sliding_windows`` returns it, so no second shuffle is
     planned; the sort by ``group_seq`` is then satisfied by the window operator's own order.
+    With ``cfg.fold_chunk_events`` set, long keys come cut into chunks and the exact split
+    fold of ``anomark.operators.fold`` runs instead (eagerly: it iterates).
     """
+    if "chunk" in windows.columns and cfg.fold_chunk_events:
+        from anomark.operators.fold import split_warm_kmeans
+
+        return split_warm_kmeans(windows, cfg)
     tol, cap = cfg.kmeans_tol, cfg.max_iterations
     ordered = windows if partitioned else windows.repartition(*KEY)
     ordered = ordered.sortWithinPartitions(*KEY, "group_seq")

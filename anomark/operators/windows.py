@@ -60,10 +60,11 @@ def sliding_windows(
                    timestamp_value); only stateful, numeric values
     machine_props  (machine_id, property_id, num_clusters, prob_threshold); small
 
-    Returns (machine_id, property_id, window_no, group_seq [last event of the window],
+    Returns (machine_id, property_id, chunk, window_no, group_seq [last event of the window],
     trigger_seq, num_clusters, prob_threshold, obs array<struct> in event order, values
-    array<double>), hash-partitioned on (machine_id, property_id) and sorted by group_seq
-    inside each partition.
+    array<double>), hash-partitioned on (machine_id, property_id, chunk) and sorted by
+    group_seq inside each partition. ``chunk`` numbers runs of ``cfg.fold_chunk_events``
+    events of a machine (always 0 when chunking is off): a hot machine is spread over tasks.
     """
     W = cfg.window_size
     seq_type = ranked_groups.schema["seq"].dataType
@@ -95,14 +96,31 @@ def sliding_windows(
         "prob_threshold",
         F.lit(None).cast(OBS_STRUCT).alias("obs"),
     )
-    rows = anchor_rows.unionByName(obs_rows).repartition("machine_id", "property_id")
+    C = cfg.fold_chunk_events
+    g = F.col("group_seq")
+    if C:
+        # A window belongs to the chunk of its last event. Values are also sent to the next
+        # chunk when a window of that chunk still reaches back to them, and the first anchor
+        # of a chunk is also sent to the previous one as its "next event": every frame is
+        # complete inside its own chunk.
+        chunk_of = lambda x: F.floor((x - F.lit(1)) / F.lit(C)).cast("bigint")
+        obs_rows = obs_rows.withColumn(
+            "chunk", F.explode(F.array_distinct(F.array(chunk_of(g), chunk_of(g + F.lit(W - 1)))))
+        ).withColumn("is_anchor", F.lit(False))
+        anchor_rows = anchor_rows.withColumn(
+            "chunk", F.explode(F.array_distinct(F.array(chunk_of(g), chunk_of(F.greatest(g - F.lit(1), F.lit(1)))))),
+        ).withColumn("is_anchor", F.col("chunk") == chunk_of(g))
+    else:
+        obs_rows = obs_rows.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("is_anchor", F.lit(False))
+        anchor_rows = anchor_rows.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("is_anchor", F.lit(True))
+    rows = anchor_rows.unionByName(obs_rows).repartition("machine_id", "property_id", "chunk")
 
-    by_key = Window.partitionBy("machine_id", "property_id").orderBy("group_seq")
+    by_key = Window.partitionBy("machine_id", "property_id", "chunk").orderBy("group_seq")
     framed = rows.select(
         "*",
         F.collect_list("obs").over(by_key.rangeBetween(-(W - 1), 0)).alias("frame"),
         F.min("seq").over(by_key.rangeBetween(1, 1)).alias("next_seq"),
-    ).where(F.col("obs").isNull())
+    ).where(F.col("is_anchor"))
 
     keep = F.col("group_seq") >= F.lit(W)
     if cfg.lag == 1:
@@ -127,6 +145,7 @@ def sliding_windows(
     windows = framed.where(keep & (F.size("frame") > 0)).select(
         "machine_id",
         "property_id",
+        "chunk",
         F.greatest(F.lit(1), F.col("group_seq") - F.lit(W - 1)).cast("bigint").alias("window_no"),
         "group_seq",
         trigger.alias("trigger_seq"),

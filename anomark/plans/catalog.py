@@ -80,6 +80,13 @@ def q_warm_kmeans(spark: SparkSession, data_dir: str) -> DataFrame:
     return _centroid_rows(warm_kmeans(_stages(spark, data_dir).windows, partitioned=True))
 
 
+def q_warm_kmeans_split(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The warm-start fold with every key cut into chunks of 4 W events: speculative chunks
+    plus fix-up rounds (two rounds on the sf0.01 events) give the sequential fold's centroids."""
+    cfg = DetectorConfig(fold_chunk_events=4 * DetectorConfig().window_size)
+    return _centroid_rows(warm_kmeans(_stages(spark, data_dir, cfg).windows, cfg, partitioned=True))
+
+
 def _seed_labels(spark, data_dir) -> DataFrame:
     """Labels against each window's seeds (fixed centroids): isolates OP-18..21 from the fold."""
     s = seed_values(_stages(spark, data_dir).windows).withColumn("centroids", F.col("seeds"))
@@ -143,6 +150,7 @@ QUERIES = {
     "seed_values": q_seed_values,
     "cold_kmeans": q_cold_kmeans,
     "warm_kmeans": q_warm_kmeans,
+    "warm_kmeans_split": q_warm_kmeans_split,
     "label_values": q_label_values,
     "transition_matrix": q_transition_matrix,
     "chain_anomalies": q_chain_anomalies,

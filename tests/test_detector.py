@@ -19,6 +19,15 @@ def run(spark, events, params, cfg):
     return detection_stages(*build_inputs(spark, events, params), cfg)
 
 
+def test_split_fold_equals_sequential_fold(spark):
+    events = [("A", {"d": float(v)}) for v in (1, 9, 1, 1, 9, 9, 5, 2, 8, 8, 3, 7, 1, 1, 6, 9, 4, 4, 2, 9, 5)]
+    seq = run(spark, events, M1_PARAMS, M1_CFG.with_(fold_chunk_events=None)).chains
+    split = run(spark, events, M1_PARAMS, M1_CFG.with_(fold_chunk_events=4)).chains
+    a = sorted((r.window_no, r.centroids, r.skipped) for r in seq.collect())
+    b = sorted((r.window_no, r.centroids, r.skipped) for r in split.collect())
+    assert a == b and len(a) == 17
+
+
 def test_m1_full_detector(spark):
     st_ = run(spark, M1, M1_PARAMS, M1_CFG)
     rows = st_.anomalies.orderBy("anomaly_no").collect()
@@ -100,7 +109,8 @@ def test_empty_events_still_move_the_window(spark):
 def test_matches_sequential_model(spark, raw, k):
     events = [(m, {"d": float(v), "e": float(w)}) for m, v, w in raw]
     params = {"d": (k, 0.3), "e": (2, 0.3)}
-    cfg = DetectorConfig(window_size=4, num_transitions=2)
+    # chunks of 4 events: the split fold (speculative chunks + fix-up rounds) is exercised
+    cfg = DetectorConfig(window_size=4, num_transitions=2, fold_chunk_events=4)
     got = run(spark, events, params, cfg).anomalies.orderBy("anomaly_no").collect()
     want = simulate(events, params, 4, 2)
     assert [(r.machine_id, r.property_id, r.timestamp_id, r.probability) for r in got] == want
