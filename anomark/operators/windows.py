@@ -46,6 +46,79 @@ def _stream_tail(ranked_groups: DataFrame) -> DataFrame:
     )
 
 
+def _obs_struct(group_seq, obs_pos, value, ts_id, ts_val):
+    return F.struct(
+        group_seq.cast("bigint").alias("group_seq"),
+        obs_pos.cast("bigint").alias("obs_pos"),
+        value.cast("double").alias("value"),
+        ts_id.cast("string").alias("timestamp_id"),
+        ts_val.cast("string").alias("timestamp_value"),
+    )
+
+
+def window_rows(ranked_groups: DataFrame, observations: DataFrame, machine_props: DataFrame) -> DataFrame:
+    """Rows for ``windows_from_rows`` from separate events and long-format observations:
+    one anchor row per (event, stateful property of its machine) plus one row per value."""
+    seq_type = ranked_groups.schema["seq"].dataType
+    anchors = ranked_groups.select("machine_id", "group_seq", "seq").join(
+        machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"),
+        "machine_id",
+    )
+    obs_rows = observations.select(
+        "machine_id",
+        "property_id",
+        "group_seq",
+        F.lit(None).cast(seq_type).alias("seq"),
+        F.lit(None).cast("int").alias("num_clusters"),
+        F.lit(None).cast("double").alias("prob_threshold"),
+        _obs_struct(F.col("group_seq"), F.col("obs_pos"), F.col("value"), F.col("timestamp_id"),
+                    F.col("timestamp_value")).alias("obs"),
+        F.lit(False).alias("is_anchor"),
+    )
+    anchor_rows = anchors.select(
+        "machine_id", "property_id", "group_seq", "seq", "num_clusters", "prob_threshold",
+        F.lit(None).cast(OBS_STRUCT).alias("obs"),
+        F.lit(True).alias("is_anchor"),
+    )
+    return anchor_rows.unionByName(obs_rows)
+
+
+def window_rows_from_events(events: DataFrame, machine_props: DataFrame) -> DataFrame:
+    """Rows for ``windows_from_rows`` in one pass over events that carry their values.
+
+    events: (machine_id, group_seq, seq, timestamp_id, timestamp_value,
+             obs array<struct<obs_pos, property_id, value>>), one row per event.
+    Each event meets the (broadcast, size-checked) property list of its machine once and
+    yields its anchor row and its values of that property: no union of two scans.
+    """
+    seq_type = events.schema["seq"].dataType
+    grid = events.join(
+        machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"), "machine_id"
+    )
+    row_t = (f"struct<is_anchor:boolean,seq:{seq_type.simpleString()},num_clusters:int,"
+             f"prob_threshold:double,obs:{OBS_STRUCT}>")
+    anchor = F.struct(
+        F.lit(True).alias("is_anchor"), F.col("seq").alias("seq"), F.col("num_clusters").alias("num_clusters"),
+        F.col("prob_threshold").alias("prob_threshold"), F.lit(None).cast(OBS_STRUCT).alias("obs"),
+    ).cast(row_t)
+    values = F.transform(
+        F.filter("obs", lambda o: (o["property_id"] == F.col("property_id")) & o["value"].isNotNull()),
+        lambda o: F.struct(
+            F.lit(False).alias("is_anchor"), F.lit(None).cast(seq_type).alias("seq"),
+            F.lit(None).cast("int").alias("num_clusters"), F.lit(None).cast("double").alias("prob_threshold"),
+            _obs_struct(F.col("group_seq"), o["obs_pos"], o["value"], F.col("timestamp_id"),
+                        F.col("timestamp_value")).alias("obs"),
+        ).cast(row_t),
+    )
+    rows = grid.select(
+        "machine_id", "property_id", "group_seq",
+        F.explode(F.concat(F.array(anchor), values)).alias("r"),
+    )
+    return rows.select(
+        "machine_id", "property_id", "group_seq", "r.seq", "r.num_clusters", "r.prob_threshold", "r.obs", "r.is_anchor"
+    )
+
+
 def sliding_windows(
     ranked_groups: DataFrame,
     observations: DataFrame,
@@ -60,42 +133,24 @@ def sliding_windows(
                    timestamp_value); only stateful, numeric values
     machine_props  (machine_id, property_id, num_clusters, prob_threshold); small
 
+    See ``windows_from_rows`` for the result.
+    """
+    return windows_from_rows(window_rows(ranked_groups, observations, machine_props), cfg, ranked_groups)
+
+
+def windows_from_rows(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), ranked_groups: DataFrame | None = None) -> DataFrame:
+    """Windows from anchor and value rows (``window_rows`` / ``window_rows_from_events``).
+
     Returns (machine_id, property_id, chunk, window_no, group_seq [last event of the window],
     trigger_seq, num_clusters, prob_threshold, obs array<struct> in event order, values
     array<double>), hash-partitioned on (machine_id, property_id, chunk) and sorted by
     group_seq inside each partition. ``chunk`` numbers runs of ``cfg.fold_chunk_events``
     events of a machine (always 0 when chunking is off): a hot machine is spread over tasks.
+    ``ranked_groups`` (or the anchor rows) locate the stream's last event for ``cfg.tail``.
     """
     W = cfg.window_size
-    seq_type = ranked_groups.schema["seq"].dataType
-    anchors = ranked_groups.select("machine_id", "group_seq", "seq").join(
-        machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"),
-        "machine_id",
-    )
-    obs_rows = observations.select(
-        "machine_id",
-        "property_id",
-        "group_seq",
-        F.lit(None).cast(seq_type).alias("seq"),
-        F.lit(None).cast("int").alias("num_clusters"),
-        F.lit(None).cast("double").alias("prob_threshold"),
-        F.struct(
-            F.col("group_seq").cast("bigint").alias("group_seq"),
-            F.col("obs_pos").cast("bigint").alias("obs_pos"),
-            F.col("value").cast("double").alias("value"),
-            F.col("timestamp_id").cast("string").alias("timestamp_id"),
-            F.col("timestamp_value").cast("string").alias("timestamp_value"),
-        ).alias("obs"),
-    )
-    anchor_rows = anchors.select(
-        "machine_id",
-        "property_id",
-        "group_seq",
-        "seq",
-        "num_clusters",
-        "prob_threshold",
-        F.lit(None).cast(OBS_STRUCT).alias("obs"),
-    )
+    tail_source = ranked_groups if ranked_groups is not None else rows.where("is_anchor").select(
+        "machine_id", "group_seq", "seq")
     C = cfg.fold_chunk_events
     g = F.col("group_seq")
     if C:
@@ -104,16 +159,15 @@ def sliding_windows(
         # of a chunk is also sent to the previous one as its "next event": every frame is
         # complete inside its own chunk.
         chunk_of = lambda x: F.floor((x - F.lit(1)) / F.lit(C)).cast("bigint")
-        obs_rows = obs_rows.withColumn(
-            "chunk", F.explode(F.array_distinct(F.array(chunk_of(g), chunk_of(g + F.lit(W - 1)))))
-        ).withColumn("is_anchor", F.lit(False))
-        anchor_rows = anchor_rows.withColumn(
-            "chunk", F.explode(F.array_distinct(F.array(chunk_of(g), chunk_of(F.greatest(g - F.lit(1), F.lit(1)))))),
-        ).withColumn("is_anchor", F.col("chunk") == chunk_of(g))
+        chunks = F.when(
+            F.col("is_anchor"), F.array_distinct(F.array(chunk_of(g), chunk_of(F.greatest(g - F.lit(1), F.lit(1)))))
+        ).otherwise(F.array_distinct(F.array(chunk_of(g), chunk_of(g + F.lit(W - 1)))))
+        rows = rows.withColumn("chunk", F.explode(chunks)).withColumn(
+            "is_anchor", F.col("is_anchor") & (F.col("chunk") == chunk_of(g))
+        )
     else:
-        obs_rows = obs_rows.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("is_anchor", F.lit(False))
-        anchor_rows = anchor_rows.withColumn("chunk", F.lit(0).cast("bigint")).withColumn("is_anchor", F.lit(True))
-    rows = anchor_rows.unionByName(obs_rows).repartition("machine_id", "property_id", "chunk")
+        rows = rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    rows = rows.repartition("machine_id", "property_id", "chunk")
 
     by_key = Window.partitionBy("machine_id", "property_id", "chunk").orderBy("group_seq")
     framed = rows.select(
@@ -130,7 +184,7 @@ def sliding_windows(
         trigger = F.col("seq")
 
     if cfg.lag == 1 and cfg.tail != "none":
-        framed = framed.crossJoin(F.broadcast(_stream_tail(ranked_groups)))
+        framed = framed.crossJoin(F.broadcast(_stream_tail(tail_source)))
         if cfg.tail == "file":
             keep = keep & (F.col("next_seq") != F.col("tail_seq"))
         else:  # 'reference': the last machine's short window is flushed too

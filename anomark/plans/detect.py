@@ -20,7 +20,13 @@ from anomark.operators.anomalies import abnormal_windows, dedupe_first, number_a
 from anomark.operators.clustering import label_values, warm_kmeans
 from anomark.operators.markov import detect_first_anomaly, transition_pairs, transition_probabilities
 from anomark.operators.metadata import broadcast_if_small, machine_properties
-from anomark.operators.windows import attach_group_seq, sequence_events, sliding_windows
+from anomark.operators.windows import (
+    attach_group_seq,
+    sequence_events,
+    window_rows,
+    window_rows_from_events,
+    windows_from_rows,
+)
 
 
 @dataclass
@@ -65,7 +71,11 @@ def detection_stages(
     obs = observations.join(mprops.select("machine_id", "property_id"), ["machine_id", "property_id"], "left_semi")
     obs = obs.where(F.col("value").isNotNull())
     obs = attach_group_seq(obs, ranked)
-    windows = sliding_windows(ranked, obs, mprops, cfg)
+    windows = windows_from_rows(window_rows(ranked, obs, mprops), cfg, ranked)
+    return _finish(ranked, mprops, obs, windows, cfg)
+
+
+def _finish(ranked, mprops, obs, windows, cfg) -> DetectionStages:
     chains = evaluate_windows(windows, cfg, partitioned=True)
     abnormal = abnormal_windows(chains)
     anomalies = number_anomalies(dedupe_first(abnormal))
@@ -98,6 +108,8 @@ def event_stages(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
         observations_from_events,
     )
 
+    from anomark.sources.events import nested_events
+
     keyed = events.select(
         "*",
         F.concat(F.lit("Machine_"), F.col("user_id").cast("string")).alias("machine_id"),
@@ -106,11 +118,11 @@ def event_stages(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
     ranked_events = sequence_events(keyed).drop("machine_id", "seq")
     ranked_groups = groups_from_events(ranked_events, keep=("group_seq",))
     observations = observations_from_events(ranked_events, keep=("group_seq",))
-    return detection_stages(
-        ranked_groups,
-        observations,
-        machines_from_events(events),
-        model_properties_from_events(events),
-        cfg,
-        ranked_groups=ranked_groups,
+    mprops = broadcast_if_small(
+        machine_properties(machines_from_events(events), model_properties_from_events(events), cfg),
+        cfg.broadcast_max_rows,
     )
+    # one pass: each numbered event carries its values into the window stage
+    rows = window_rows_from_events(nested_events(ranked_events), mprops)
+    windows = windows_from_rows(rows, cfg)
+    return _finish(ranked_groups, mprops, observations, windows, cfg)

@@ -112,3 +112,26 @@ def model_properties_from_events(events: DataFrame) -> DataFrame:
         F.col("p.t").cast("double").alias("prob_threshold"),
         F.col("p.s").alias("stateful"),
     )
+
+
+def nested_events(events: DataFrame) -> DataFrame:
+    """One row per event with its numeric values nested:
+    (machine_id, group_seq, seq, timestamp_id, timestamp_value,
+     obs array<struct<obs_pos, property_id, value>>). Needs ``group_seq``."""
+    user = F.col("user_id")
+    e = F.col("event_id")
+    obs = F.transform(
+        _obs_array(user),
+        lambda o: F.struct(
+            o["obs_pos"].alias("obs_pos"), o["property_id"].alias("property_id"),
+            o["raw_value"].try_cast("double").alias("value"),
+        ),
+    )
+    return events.select(
+        machine_id(user).alias("machine_id"),
+        "group_seq",
+        e.alias("seq"),
+        F.concat(F.lit("Timestamp_"), e.cast("string")).alias("timestamp_id"),
+        F.date_format("ts", TS_FORMAT).alias("timestamp_value"),
+        obs.alias("obs"),
+    )
