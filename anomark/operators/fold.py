@@ -210,3 +210,162 @@ def split_warm_kmeans(windows: DataFrame, cfg: DetectorConfig, max_rounds: int |
         .withColumn("skipped", F.coalesce("fix_skipped", "skipped"))
         .drop("fix_centroids", "fix_skipped", "st")
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# Detector form: the speculative pass also evaluates every window (labels, chain, threshold)
+# in the same stage and writes only narrow per-window results; fix-up rounds rebuild the
+# windows of the affected keys only. Nothing W-times the size of the input is written.
+
+NARROW = ["machine_id", "property_id", "chunk", "window_no", "group_seq", "trigger_seq",
+          "centroids", "skipped", "chain", "abnormal_timestamp_id", "abnormal_timestamp_value"]
+
+CHAIN = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("idx", T.IntegerType()),
+                      T.StructField("prob", T.DoubleType())])
+
+
+def _fix_up_detect(rerun: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """``_fix_up`` that also re-evaluates the chain of every corrected window."""
+    from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
+
+    tol, cap, n_tr = cfg.kmeans_tol, cfg.max_iterations, cfg.num_transitions
+    ordered = rerun.repartition(*KEY).sortWithinPartitions(*KEY, "group_seq")
+    fields = [
+        ("kind", pa.string()), ("machine_id", pa.string()), ("property_id", pa.string()), ("chunk", pa.int64()),
+        ("window_no", pa.int64()), ("centroids", pa.list_(pa.float64())), ("skipped", pa.bool_()),
+        ("chain", pa.struct([("found", pa.bool_()), ("idx", pa.int32()), ("prob", pa.float64())])),
+        ("tid", pa.string()), ("tval", pa.string()), ("met", pa.bool_()),
+        ("end", pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])),
+    ]
+    pa_schema = pa.schema(fields)
+    names = [f[0] for f in fields]
+
+    def run(batches):
+        key, state, met = None, None, False
+        out = {n: [] for n in names}
+
+        def emit(**row):
+            for n in names:
+                out[n].append(row.get(n))
+
+        def close():
+            if key is not None:
+                emit(kind="c", machine_id=key[0], property_id=key[1], chunk=key[2], met=met,
+                     end=None if state is None else {"c": state[0], "o": state[1]})
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in
+                    ("machine_id", "property_id", "chunk", "window_no", "values", "num_clusters",
+                     "prob_threshold", "obs", "st", "need_in")]
+            for m, p, c, w, v, k, thr, obs, spec_st, need_in in zip(*cols):
+                if (m, p, c) != key:
+                    close()
+                    key, state, met = (m, p, c), _state_of(need_in), False
+                if met:
+                    state = _state_of(spec_st)
+                    continue
+                cent, state, skipped = warm_step(state, v, k, tol, cap)
+                found, idx, prob = first_anomaly(transition_probabilities(labels_of(v, cent), len(cent)), thr, n_tr)
+                hit = obs[idx] if found else None
+                emit(kind="w", machine_id=m, property_id=p, chunk=c, window_no=w, centroids=cent, skipped=skipped,
+                     chain={"found": found, "idx": idx if found else None, "prob": prob},
+                     tid=hit["timestamp_id"] if hit else None, tval=hit["timestamp_value"] if hit else None)
+                if _state_of(spec_st) == (list(state[0]), state[1]):
+                    met = True
+            if len(out["kind"]) >= 4096:
+                yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
+                out = {n: [] for n in names}
+        close()
+        if out["kind"]:
+            yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
+
+    schema = T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("machine_id", T.StringType()),
+        T.StructField("property_id", T.StringType()), T.StructField("chunk", T.LongType()),
+        T.StructField("window_no", T.LongType()), T.StructField("centroids", T.ArrayType(T.DoubleType())),
+        T.StructField("skipped", T.BooleanType()), T.StructField("chain", CHAIN),
+        T.StructField("tid", T.StringType()), T.StructField("tval", T.StringType()),
+        T.StructField("met", T.BooleanType()), T.StructField("end", STATE),
+    ])
+    return ordered.mapInArrow(run, schema)
+
+
+def split_detect(windows: DataFrame, cfg: DetectorConfig, windows_for_keys, evaluate) -> DataFrame:
+    """Exact per-window detection results (NARROW columns) with hot keys split in chunks.
+
+    windows_for_keys(keys) rebuilds the windows of the given (machine_id, property_id) keys;
+    evaluate(df) appends labels, transition probabilities and the ``chain`` test natively."""
+    from anomark.session import scratch_path
+
+    spark = windows.sparkSession
+    npath = scratch_path(spark, "detect-spec")
+    evaluate(speculative_fold(windows, cfg)).select(*NARROW, "st").write.parquet(npath)
+    N = spark.read.parquet(npath)
+    if N.where(F.col("chunk") > 0).limit(1).count() == 0:
+        return N.drop("st")  # no key spans two chunks: the speculative pass is exact
+
+    per_key = Window.partitionBy("machine_id", "property_id").orderBy("chunk")
+    table = N.groupBy(*KEY).agg(F.max_by("st", "group_seq").alias("spec_end")).select(
+        *KEY, "spec_end", F.col("spec_end").alias("end"), F.lit(None).cast(STATE).alias("in_used"),
+        F.lit(0).alias("last_round"),
+    )
+    tpath = scratch_path(spark, "detect-chunks-0")
+    table.write.parquet(tpath)
+    table = spark.read.parquet(tpath)
+    fixes = []
+    rnd = 0
+    while True:
+        rnd += 1
+        need = table.select(*KEY, F.lag("end").over(per_key).alias("need_in"), "in_used")
+        todo = need.where(~F.col("need_in").eqNullSafe(F.col("in_used"))).select(*KEY, "need_in")
+        todo_path = scratch_path(spark, f"detect-todo-{rnd}")
+        todo.write.parquet(todo_path)
+        todo = spark.read.parquet(todo_path)
+        if todo.limit(1).count() == 0:
+            break
+        keys = todo.select("machine_id", "property_id").distinct()
+        spec_states = N.select(*KEY, "group_seq", "st")
+        rerun = (
+            windows_for_keys(keys)
+            .join(todo, KEY)
+            .join(spec_states, [*KEY, "group_seq"])
+        )
+        fpath = scratch_path(spark, f"detect-fix-{rnd}")
+        _fix_up_detect(rerun, cfg).write.parquet(fpath)
+        R = spark.read.parquet(fpath)
+        summary = R.where(F.col("kind") == "c").select(*KEY, "met", F.col("end").alias("new_end"))
+        stats = summary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("met").cast("int")).alias("met")).first()
+        log.info("detect round %d: %d chunks re-run, %s met their speculative run", rnd, stats["n"], stats["met"])
+        fixes.append(R.where(F.col("kind") == "w").withColumn("round", F.lit(rnd)))
+        table = (
+            table.join(summary.join(todo, KEY), KEY, "left")
+            .select(
+                *KEY, "spec_end",
+                F.when(F.col("met").isNull(), F.col("end")).when(F.col("met"), F.col("spec_end"))
+                .otherwise(F.col("new_end")).alias("end"),
+                F.when(F.col("met").isNull(), F.col("in_used")).otherwise(F.col("need_in")).alias("in_used"),
+                F.when(F.col("met").isNull(), F.col("last_round")).otherwise(F.lit(rnd)).alias("last_round"),
+            )
+        )
+        tpath = scratch_path(spark, f"detect-chunks-{rnd}")
+        table.write.parquet(tpath)
+        table = spark.read.parquet(tpath)
+    if not fixes:
+        return N.drop("st")
+    allfix = fixes[0]
+    for f in fixes[1:]:
+        allfix = allfix.unionByName(f)
+    latest = allfix.join(table.select(*KEY, F.col("last_round").alias("round")), [*KEY, "round"]).select(
+        *KEY, "window_no",
+        F.col("centroids").alias("f_centroids"), F.col("skipped").alias("f_skipped"), F.col("chain").alias("f_chain"),
+        F.col("tid").alias("f_tid"), F.col("tval").alias("f_tval"),
+    )
+    fixed = F.col("f_chain").isNotNull()
+    return N.join(latest, [*KEY, "window_no"], "left").select(
+        *KEY, "window_no", "group_seq", "trigger_seq",
+        F.when(fixed, F.col("f_centroids")).otherwise(F.col("centroids")).alias("centroids"),
+        F.when(fixed, F.col("f_skipped")).otherwise(F.col("skipped")).alias("skipped"),
+        F.when(fixed, F.col("f_chain")).otherwise(F.col("chain")).alias("chain"),
+        F.when(fixed, F.col("f_tid")).otherwise(F.col("abnormal_timestamp_id")).alias("abnormal_timestamp_id"),
+        F.when(fixed, F.col("f_tval")).otherwise(F.col("abnormal_timestamp_value")).alias("abnormal_timestamp_value"),
+    )

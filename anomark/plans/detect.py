@@ -40,9 +40,8 @@ class DetectionStages:
     anomalies: DataFrame
 
 
-def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, partitioned: bool = True) -> DataFrame:
-    """Fold, label, build the chain and test it, window by window (one stage)."""
-    clustered = warm_kmeans(windows, cfg, partitioned=partitioned)
+def chain_test(clustered: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Labels, transition probabilities and the first-anomaly test of clustered windows."""
     return (
         clustered.transform(label_values)
         .transform(transition_pairs)
@@ -51,6 +50,22 @@ def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, partitioned: bool
     )
 
 
+def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, partitioned: bool = True,
+                     rows: DataFrame | None = None) -> DataFrame:
+    """Fold, label, build the chain and test it, window by window (one stage).
+
+    With ``cfg.fold_chunk_events`` and the window input ``rows`` at hand, the split fold of
+    ``anomark.operators.fold.split_detect`` runs: narrow per-window results, hot keys split."""
+    if cfg.fold_chunk_events and rows is not None and "chunk" in windows.columns:
+        from anomark.operators.fold import split_detect
+
+        def windows_for_keys(keys: DataFrame) -> DataFrame:
+            return windows_from_rows(rows.join(keys, ["machine_id", "property_id"], "left_semi"), cfg)
+
+        return split_detect(windows, cfg, windows_for_keys, lambda d: chain_test(d, cfg))
+    return chain_test(warm_kmeans(windows, cfg, partitioned=partitioned), cfg)
+
+
 def detection_stages(
     groups: DataFrame,
     observations: DataFrame,
@@ -71,12 +86,13 @@ def detection_stages(
     obs = observations.join(mprops.select("machine_id", "property_id"), ["machine_id", "property_id"], "left_semi")
     obs = obs.where(F.col("value").isNotNull())
     obs = attach_group_seq(obs, ranked)
-    windows = windows_from_rows(window_rows(ranked, obs, mprops), cfg, ranked)
-    return _finish(ranked, mprops, obs, windows, cfg)
+    rows = window_rows(ranked, obs, mprops)
+    windows = windows_from_rows(rows, cfg, ranked)
+    return _finish(ranked, mprops, obs, windows, cfg, rows)
 
 
-def _finish(ranked, mprops, obs, windows, cfg) -> DetectionStages:
-    chains = evaluate_windows(windows, cfg, partitioned=True)
+def _finish(ranked, mprops, obs, windows, cfg, rows=None) -> DetectionStages:
+    chains = evaluate_windows(windows, cfg, partitioned=True, rows=rows)
     abnormal = abnormal_windows(chains)
     anomalies = number_anomalies(dedupe_first(abnormal))
     return DetectionStages(ranked, mprops, obs, windows, chains, abnormal, anomalies)
@@ -125,4 +141,4 @@ def event_stages(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
     # one pass: each numbered event carries its values into the window stage
     rows = window_rows_from_events(nested_events(ranked_events), mprops)
     windows = windows_from_rows(rows, cfg)
-    return _finish(ranked_groups, mprops, observations, windows, cfg)
+    return _finish(ranked_groups, mprops, observations, windows, cfg, rows)
