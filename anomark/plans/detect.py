@@ -10,8 +10,6 @@ Metadata joins are broadcasts behind a row-count check.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +27,33 @@ from anomark.operators.windows import (
 )
 
 
-@dataclass
 class DetectionStages:
-    ranked_groups: DataFrame
-    machine_props: DataFrame
-    observations: DataFrame
-    windows: DataFrame
-    chains: DataFrame
-    abnormal: DataFrame
-    anomalies: DataFrame
+    """Intermediate DataFrames of the detector. ``chains`` (and what follows from it) is built
+    on first use: with the split fold it runs Spark jobs, which a caller that only needs the
+    windows should not pay for."""
+
+    def __init__(self, ranked_groups, machine_props, observations, windows, cfg, rows=None):
+        self.ranked_groups = ranked_groups
+        self.machine_props = machine_props
+        self.observations = observations
+        self.windows = windows
+        self._cfg = cfg
+        self._rows = rows
+        self._chains = None
+
+    @property
+    def chains(self) -> DataFrame:
+        if self._chains is None:
+            self._chains = evaluate_windows(self.windows, self._cfg, partitioned=True, rows=self._rows)
+        return self._chains
+
+    @property
+    def abnormal(self) -> DataFrame:
+        return abnormal_windows(self.chains)
+
+    @property
+    def anomalies(self) -> DataFrame:
+        return number_anomalies(dedupe_first(self.abnormal))
 
 
 def chain_test(clustered: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -92,10 +108,7 @@ def detection_stages(
 
 
 def _finish(ranked, mprops, obs, windows, cfg, rows=None) -> DetectionStages:
-    chains = evaluate_windows(windows, cfg, partitioned=True, rows=rows)
-    abnormal = abnormal_windows(chains)
-    anomalies = number_anomalies(dedupe_first(abnormal))
-    return DetectionStages(ranked, mprops, obs, windows, chains, abnormal, anomalies)
+    return DetectionStages(ranked, mprops, obs, windows, cfg, rows)
 
 
 def detect_anomalies(
