@@ -342,11 +342,12 @@ def q_stream_equals_batch(spark: SparkSession, data_dir: str) -> DataFrame:
     lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
     rows = _event_rows(ev).withColumn("chunk", _chunk_of(F.col("seq.line"), lo, hi))
     src, out, ckpt = (scratch_path(spark, n) for n in ("stream-events", "stream-anomalies", "stream-ckpt"))
-    for c in range(STREAM_CHUNKS):  # one write per chunk: files arrive in stream order
+    machines, model_properties = machines_from_events(ev), model_properties_from_events(ev)
+    for c in range(STREAM_CHUNKS):
+        # a chunk arrives, then the query runs incrementally on the same checkpoint: one
+        # micro-batch per chunk, state restored from the checkpoint at every restart
         rows.where(F.col("chunk") == c).drop("chunk").write.parquet(f"{src}/chunk={c:05d}")
-    q = start_stage_b(spark, src, machines_from_events(ev), model_properties_from_events(ev), out, ckpt,
-                      max_files_per_trigger=1)
-    q.awaitTermination()
+        start_stage_b(spark, src, machines, model_properties, out, ckpt).awaitTermination()
     return _stream_result(spark, out)
 
 
@@ -362,16 +363,15 @@ def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
     event_no = F.floor(F.col("seq.line") / F.lit(1024))
     lines = lines.withColumn("chunk", _chunk_of(event_no, lo, hi))
     txt, evdir, out = (scratch_path(spark, n) for n in ("stream-triples", "stream-events", "stream-anomalies"))
-    for c in range(STREAM_CHUNKS):  # whole observation groups per file, files in stream order
-        (lines.where(F.col("chunk") == c).repartition(1).sortWithinPartitions("seq.line")
-         .select("value").write.text(f"{txt}/chunk={c:05d}"))
+    ckpt_a, ckpt_b = scratch_path(spark, "ckpt-a"), scratch_path(spark, "ckpt-b")
     machines, model_properties = _parsed_metadata(spark, data_dir)
-    qa = start_stage_a(spark, txt, machines, model_properties, evdir, scratch_path(spark, "ckpt-a"),
-                       max_files_per_trigger=1)
-    qa.awaitTermination()
-    qb = start_stage_b(spark, evdir, machines, model_properties, out, scratch_path(spark, "ckpt-b"),
-                       max_files_per_trigger=1)
-    qb.awaitTermination()
+    event_no = F.floor(F.col("seq.line") / F.lit(1024))
+    for c in range(STREAM_CHUNKS):
+        # files of whole observation groups, range-cut by event and named in stream order
+        (lines.where(F.col("chunk") == c).repartitionByRange(4, event_no).sortWithinPartitions("seq.line")
+         .select("value").write.text(f"{txt}/chunk={c:05d}"))
+        start_stage_a(spark, txt, machines, model_properties, evdir, ckpt_a).awaitTermination()
+        start_stage_b(spark, evdir, machines, model_properties, out, ckpt_b).awaitTermination()
     return _stream_result(spark, out).drop("trigger_seq")
 
 
