@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from anomark.config import DetectorConfig
 from anomark.functions.kmeans import warm_step
 from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
-from anomark.operators.metadata import machine_properties, require_small
+from anomark.operators.metadata import broadcast_if_small, machine_properties
 
 ANOMALY_SCHEMA = (
     "machine_id string, property_id string, timestamp_id string, timestamp_value string, "
@@ -57,7 +57,7 @@ def _evaluate(window: list, props: dict, params: dict, state: dict, cfg: Detecto
     return hits
 
 
-def detector_state_fn(cfg: DetectorConfig, params_by_machine: dict):
+def detector_state_fn(cfg: DetectorConfig):
     W = cfg.window_size
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
@@ -65,7 +65,9 @@ def detector_state_fn(cfg: DetectorConfig, params_by_machine: dict):
         st = json.loads(state.get[0]) if state.exists else {"window": [], "props": {}, "reported": {}, "n": 0}
         rows = pd.concat(list(pdfs), ignore_index=True)
         rows = rows.sort_values(["seq_file", "seq_line"], kind="stable")
-        params = params_by_machine.get(machine, {})
+        # (K, threshold) per property of this machine, carried on every row by the join
+        first = rows["params"].iloc[0] if len(rows) else None
+        params = {} if first is None else {k: (int(v["k"]), float(v["t"])) for k, v in dict(first).items()}
         out = []
         for r in rows.itertuples(index=False):
             window = st["window"]
@@ -97,18 +99,19 @@ def stage_b(
 ) -> DataFrame:
     """Streaming anomalies (unnumbered) from a stream of event rows."""
     mp = machine_properties(machines, model_properties, cfg)
-    # (K, threshold) per machine and property: the metadata is small (checked) and shipped
-    # with the function, like a broadcast variable
-    require_small(mp, cfg.broadcast_max_rows, "machine/property metadata")
-    params: dict = {}
-    for r in mp.toLocalIterator():
-        params.setdefault(r.machine_id, {})[r.property_id] = (int(r.num_clusters), float(r.prob_threshold))
+    # (K, threshold) of every stateful property, one map per machine, joined to the stream
+    # (stream-static join on a size-checked broadcast): nothing goes through the driver
+    per_machine = mp.groupBy("machine_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            "property_id", F.struct(F.col("num_clusters").alias("k"), F.col("prob_threshold").alias("t"))
+        ))).alias("params")
+    )
     flat = events.select(
         "machine_id", F.col("seq.file").alias("seq_file"), F.col("seq.line").alias("seq_line"),
         "timestamp_id", "timestamp_value", "obs",
-    )
+    ).join(broadcast_if_small(per_machine, cfg.broadcast_max_rows), "machine_id", "left")
     return flat.groupBy("machine_id").applyInPandasWithState(
-        detector_state_fn(cfg, params),
+        detector_state_fn(cfg),
         ANOMALY_SCHEMA,
         STATE_SCHEMA,
         "append",
