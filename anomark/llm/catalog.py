@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomark.llm import packing, simhash
+from anomark.llm import oracles, packing, quality, secrets, simhash
 from anomark.llm.common import table, vocabulary
 
 
@@ -21,9 +21,27 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; fences per language and source from quantile sketches."""
+    judged = quality.quality(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every document, and weak candidates linked to their complementary parts."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_packing": q_packing,
+    "op7_quality": q_quality,
     "op9_simhash": q_simhash,
+    "op10_secrets": q_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_quality": oracles.quality(),
+    "op10_secrets": oracles.secrets(),
+}
