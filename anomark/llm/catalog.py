@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomark.llm import oracles, packing, quality, secrets, simhash
+from anomark.llm import oracles, packing, quality, repeats, secrets, simhash
 from anomark.llm.common import table, vocabulary
 
 
@@ -34,9 +34,15 @@ def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def q_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeated 200-byte strings cover, as counts and a digest."""
+    return repeats.digest(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op5_packing": q_packing,
     "op7_quality": q_quality,
+    "op8_repeats": q_repeats,
     "op9_simhash": q_simhash,
     "op10_secrets": q_secrets,
 }
