@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomark.llm import oracles, packing, quality, repeats, secrets, simhash
+from anomark.llm import oracles, order_minhash, packing, quality, repeats, secrets, simhash
 from anomark.llm.common import table, vocabulary
 
 
@@ -39,7 +39,13 @@ def q_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"), length=200)
 
 
+def q_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text, and their likeness to it and to the next document's."""
+    return order_minhash.edited_pairs(table(spark, sf_dir, "documents"), k=10, picks=2, slots=64)
+
+
 QUERIES = {
+    "op2_order_minhash": q_order_minhash,
     "op5_packing": q_packing,
     "op7_quality": q_quality,
     "op8_repeats": q_repeats,
