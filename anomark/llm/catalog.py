@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomark.llm import oracles, order_minhash, packing, quality, repeats, secrets, simhash
+from anomark.llm import language, oracles, order_minhash, packing, quality, repeats, secrets, simhash
 from anomark.llm.common import table, vocabulary
 
 
@@ -44,9 +44,15 @@ def q_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_pairs(table(spark, sf_dir, "documents"), k=10, picks=2, slots=64)
 
 
+def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a byte convolutional network; every fifth of them (by crc32) is held out of the fit."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_order_minhash": q_order_minhash,
     "op5_packing": q_packing,
+    "op6_language": q_language,
     "op7_quality": q_quality,
     "op8_repeats": q_repeats,
     "op9_simhash": q_simhash,
