@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomark.llm import language, oracles, order_minhash, packing, quality, repeats, secrets, simhash
-from anomark.llm.common import table, vocabulary
+from anomark.llm import (
+    language,
+    lm_score,
+    oracles,
+    order_minhash,
+    packing,
+    quality,
+    quotes,
+    repeats,
+    secrets,
+    sentencepiece_scan,
+    simhash,
+)
+from anomark.llm.common import piece_model, table, vocabulary
 
 
 def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +61,27 @@ def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def q_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt from quotes alone: the turns of ``conversations`` are given as messages that quote earlier ones."""
+    return quotes.conversations(quotes.quoted_mail(table(spark, sf_dir, "conversations")))
+
+
+def q_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the chunked max-plus scan and decoded again, as digests."""
+    return sentencepiece_scan.digest(sentencepiece_scan.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
+
+
+def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between a model of documents labelled good and one of all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 QUERIES = {
+    "op1_quotes": q_quotes,
     "op2_order_minhash": q_order_minhash,
+    "op3_sentencepiece": q_sentencepiece,
+    "op4_lm_score": q_lm_score,
     "op5_packing": q_packing,
     "op6_language": q_language,
     "op7_quality": q_quality,

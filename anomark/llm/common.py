@@ -47,3 +47,10 @@ def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def piece_model() -> str:
+    """The SentencePiece model file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
