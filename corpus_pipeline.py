@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from anomark.llm import packing, simhash
+from anomark.llm import language, packing, repeats, secrets, simhash
 from anomark.llm.common import stored, table, vocabulary
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text has no letter or no language that the network is fairly sure of."""
+    return language.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component (3-word shingles, 3 bits)."""
+    """Keeps one document of each SimHash component (3-word shingles, at most 3 differing bits)."""
     return simhash.keep_one(docs, shingle=3, distance=3)
 
 
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte covered by a 200-byte string that occurs twice out of the texts."""
+    return repeats.without_repeats(docs, length=200)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets, and weak candidates with a complementary part near by, with a mark."""
+    return secrets.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences of at most 1024 tokens."""
     return packing.pack_documents(docs, *vocabulary())
 
 
 STAGES = [
+    ("language_id", language_id),
     ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("secret_scan", secret_scan),
     ("packing", pack),
 ]
 
-# Fingerprints and token ids are not SQL; tests compare every stage with a brute-force version.
+# A trained network, fingerprints and token ids are not SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
