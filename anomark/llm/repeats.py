@@ -385,8 +385,9 @@ def repeated_bytes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
     whole = flagged.where("NOT mixed").select("k1", "k2", "place", F.lit(None).cast("array<int>").alias("stretches"))
     partly = mixed.join(verdicts, ["g", "p"]).where(F.size("stretches") > 0).select("k1", "k2", "place", "stretches")
     by_doc = whole.unionByName(partly).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "stretches")).alias("__found"))
+    by_doc = by_doc.withColumnsRenamed({"k1": "__of1", "k2": "__of2"})
     rows = _keyed(docs, keep)
-    return rows.join(by_doc, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*keep, "__bytes", "__found")
+    return rows.join(by_doc, (F.col("__k1") == F.col("__of1")) & (F.col("__k2") == F.col("__of2")), "left").select(*keep, "__bytes", "__found")
 
 
 def removed_ranges(size: int, found: list[dict] | None, length: int) -> np.ndarray:

@@ -131,7 +131,8 @@ def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scope: in
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__spans"))
     )
     none = found.where(F.size("__found") == 0).select(*found.columns, F.lit(None).cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("__spans"))
-    some = found.where(F.size("__found") > 0).join(spans, F.col("__uid") == F.col("uid"), "left").select(*found.columns, "__spans")
+    spans = spans.withColumnRenamed("uid", "__of")
+    some = found.where(F.size("__found") > 0).join(spans, F.col("__uid") == F.col("__of"), "left").select(*found.columns, "__spans")
     return none.unionByName(some)
 
 
