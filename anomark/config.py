@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-# Fixed values of the detection method (window, chain length, iteration cap) and of the
+# Fixed values of the detection method (window, chain length) and of the
 # k-means convergence test. They must equal the original method's to reproduce its results.
 DEFAULT_WINDOW_SIZE = 10
 DEFAULT_NUM_TRANSITIONS = 5
-DEFAULT_MAX_ITERATIONS = 1000
 DEFAULT_KMEANS_TOL = 1e-5
 
 
@@ -18,7 +17,6 @@ class DetectorConfig:
 
     window_size      W, events per machine window (count window, slide 1)
     num_transitions  N, transitions per chain
-    max_iterations   cap on Lloyd rounds per window (safety net)
     kmeans_tol       stop when the mean distance changes by at most this much
     lag              1: a window is evaluated when the machine's next event arrives, so the
                      last full window of a machine is never evaluated; 0: every full window
@@ -28,7 +26,6 @@ class DetectorConfig:
     assembly_mode    'by_edges' (order-free joins) | 'by_position' (file-order parity)
     properties       allow-list of property ids to cluster; empty = all stateful ones
     system_uri       base IRI of the anomaly and timestamp resources in the output triples
-    broadcast_max_rows  metadata tables are broadcast only below this row count
     fold_chunk_events   windows and the warm-start fold of a (machine, property) are cut into
                      runs of this many events, processed in parallel and then made exact by
                      fix-up rounds (``anomark.operators.fold``); None = one run per key
@@ -36,14 +33,12 @@ class DetectorConfig:
 
     window_size: int = DEFAULT_WINDOW_SIZE
     num_transitions: int = DEFAULT_NUM_TRANSITIONS
-    max_iterations: int = DEFAULT_MAX_ITERATIONS
     kmeans_tol: float = DEFAULT_KMEANS_TOL
     lag: int = 1
     tail: str = "none"
     assembly_mode: str = "by_edges"
     properties: tuple[str, ...] = field(default_factory=tuple)
     system_uri: str = "http://example.org/anomark"
-    broadcast_max_rows: int = 2_000_000
     fold_chunk_events: int | None = 1 << 16
 
     def __post_init__(self) -> None:
@@ -55,6 +50,8 @@ class DetectorConfig:
             raise ValueError("lag must be 0 or 1")
         if self.tail not in ("none", "reference", "file"):
             raise ValueError("tail must be 'none', 'reference' or 'file'")
+        if self.tail != "none" and self.lag == 0:
+            raise ValueError("with lag 0 every full window is evaluated at once: there is no tail to flush")
         if self.fold_chunk_events is not None and self.fold_chunk_events < self.window_size:
             raise ValueError("fold_chunk_events must be at least window_size")
         if self.assembly_mode not in ("by_edges", "by_position"):

@@ -9,7 +9,8 @@ Semantics (those of ``scipy.cluster.vq.kmeans`` called with an array of seeds):
   * replace every centroid by the mean of its members (sum left to right, then divide) and
     drop centroids without members, keeping the order of the rest;
   * stop when the mean distance changed by at most ``tol`` from the previous round (the
-    first round always continues); return the centroids after the last update.
+    first round always continues); return the centroids after the last update. Each round
+    lowers the squared error or changes nothing, so there is no cap on the rounds.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ def first_distinct(values: Sequence[float], k: int) -> Centroids:
     return seen
 
 
-def lloyd_1d(values: Sequence[float], seeds: Sequence[float], tol: float, max_rounds: int) -> Centroids:
+def lloyd_1d(values: Sequence[float], seeds: Sequence[float], tol: float) -> Centroids:
     cent = list(seeds)
     n = len(values)
     prev_avg = math.inf
-    rounds = 0
     while True:
         k = len(cent)
         sums = [0.0] * k
@@ -55,8 +55,7 @@ def lloyd_1d(values: Sequence[float], seeds: Sequence[float], tol: float, max_ro
             total += best_d
         avg = total / n
         cent = [sums[j] / counts[j] for j in range(k) if counts[j] > 0]
-        rounds += 1
-        if abs(prev_avg - avg) <= tol or rounds >= max_rounds:
+        if abs(prev_avg - avg) <= tol:
             return cent
         prev_avg = avg
 
@@ -66,7 +65,6 @@ def warm_step(
     values: Sequence[float],
     k: int,
     tol: float,
-    max_rounds: int,
 ) -> tuple[Centroids, State, bool]:
     """Cluster one window given the key's carried state.
 
@@ -74,11 +72,11 @@ def warm_step(
     distinct values; later windows -> the previous centroids, plus the incoming (last) value
     when fewer than ``k`` centroids are left. The run is skipped, and the previous centroids
     reused, when the incoming value equals the previous window's outgoing (first) value or
-    one of the previous centroids.
+    one of the previous centroids. These seed and skip rules are fixed by the method.
     """
     skipped = False
     if state is None:
-        cent = lloyd_1d(values, first_distinct(values, k), tol, max_rounds)
+        cent = lloyd_1d(values, first_distinct(values, k), tol)
     else:
         prev, outgoing = state
         incoming = values[-1]
@@ -86,9 +84,9 @@ def warm_step(
             cent = prev
             skipped = True
         elif len(prev) < k:
-            cent = lloyd_1d(values, prev + [incoming], tol, max_rounds)
+            cent = lloyd_1d(values, prev + [incoming], tol)
         else:
-            cent = lloyd_1d(values, prev, tol, max_rounds)
+            cent = lloyd_1d(values, prev, tol)
     return cent, (cent, values[0]), skipped
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BIG = 1 << 20
-
 
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (keeps the expression tree small)."""
     return F.transform(F.array(value), body)[0]
 
 
+def _from(text: Column, position: Column) -> Column:
+    """The text from a 1-based position to its end."""
+    return F.substr(text, position)
+
+
 def _shortest_java_form(ax: Column) -> Column:
     """Java-style text (``d.dddE<exp>``) of the shortest '%.Ne' rendering that reads back as ax."""
     shortest = F.coalesce(
@@ -31,13 +34,13 @@ def _layout(body: Column) -> Column:
     def with_parts(digits, exp):
         sci = F.concat(
             F.substring(digits, 1, 1),
-            F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, _BIG))).otherwise(F.lit("")),
+            F.when(F.length(digits) > 1, F.concat(F.lit("."), _from(digits, F.lit(2)))).otherwise(F.lit("")),
             F.lit("e"),
             F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
             F.when(F.abs(exp) >= 100, F.abs(exp).cast("string")).otherwise(F.lpad(F.abs(exp).cast("string"), 2, "0")),
         )
         small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-        frac = F.substring(digits, exp + 2, _BIG)
+        frac = _from(digits, exp + 2)
         large = F.concat(F.rpad(digits, exp + 1, "0"), F.lit("."), F.when(frac == "", F.lit("0")).otherwise(frac))
         return F.when((exp < -4) | (exp >= 16), sci).when(exp < 0, small).otherwise(large)
 

@@ -30,14 +30,14 @@ def cold_kmeans(windows: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
 
     Windows are independent here, so this is a plain Arrow-batched map with no shuffle.
     """
-    tol, cap = cfg.kmeans_tol, cfg.max_iterations
+    tol = cfg.kmeans_tol
     schema = T.StructType(windows.schema.fields + [T.StructField("centroids", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
             vals = batch.column("values").to_pylist()
             ks = batch.column("num_clusters").to_pylist()
-            cents = [lloyd_1d(v, first_distinct(v, k), tol, cap) for v, k in zip(vals, ks)]
+            cents = [lloyd_1d(v, first_distinct(v, k), tol) for v, k in zip(vals, ks)]
             yield batch.append_column("centroids", pa.array(cents, pa.list_(pa.float64())))
 
     return windows.mapInArrow(run, schema)
@@ -60,7 +60,7 @@ def warm_kmeans(
         from anomark.operators.fold import split_warm_kmeans
 
         return split_warm_kmeans(windows, cfg)
-    tol, cap = cfg.kmeans_tol, cfg.max_iterations
+    tol = cfg.kmeans_tol
     ordered = windows if partitioned else windows.repartition(*KEY)
     ordered = ordered.sortWithinPartitions(*KEY, "group_seq")
     schema = T.StructType(
@@ -83,7 +83,7 @@ def warm_kmeans(
             for m, p, v, k in zip(machines, props, vals, ks):
                 if (m, p) != key:
                     key, state = (m, p), None
-                cent, state, skipped = warm_step(state, v, k, tol, cap)
+                cent, state, skipped = warm_step(state, v, k, tol)
                 cents.append(cent)
                 skips.append(skipped)
             yield batch.append_column(

@@ -2,370 +2,208 @@
 
 The centroids of a window depend on the state left by the previous window of the same
 (machine, property), so a key is a sequential chain. When a key is long, its windows are cut
-into chunks of ``fold_chunk_events`` events (``sliding_windows`` does the cut) and folded as
+into chunks of ``fold_chunk_events`` events (``windows_from_rows`` does the cut) and folded as
 follows:
 
 1. speculative pass, all chunks in parallel: each chunk starts cold, as if its first window
-   were the key's first; the state after every window is kept. Written once to the shared
-   checkpoint folder (lineage cut; re-read by every round).
-2. fix-up rounds: a chunk whose true incoming state (the end state of the previous chunk
-   of its key) differs from the state it was last run from is re-run from the true state,
-   window by window, until its state equals the speculative state after the same window.
-   From there on the speculative results are exact (the fold is deterministic). If it never
-   meets, the whole chunk is re-run and its end state changes, so the next chunk is re-run in
-   the next round. Only the small per-chunk state table and the re-run windows move.
-
-The first chunk of every key is exact from the start, so the rounds stop after at most
-(chunks per key - 1) rounds; usually one, because warm k-means runs from different seeds
-meet within a few windows. The result equals the sequential fold bit for bit.
+   were the key's first; the state after every window is kept.
+2. a table of transfers (chunk, incoming state) -> end state. A walk along each key's chunks
+   takes known transfers and guesses the end of a chunk whose transfer is not known yet; every
+   unknown (chunk, incoming state) it comes by is run, all chunks of a round in parallel. A run
+   goes window by window from that state until its state equals the speculative one after the
+   same window; from there on the speculative results hold (the fold is deterministic).
+3. when a walk meets known transfers only, it is the sequential fold, and each chunk's results
+   are those of its run from the state the walk gave it.
+
+A chunk is run at most once per distinct incoming state. A sensor with few levels has few
+states, so the rounds are bounded by their number and not by the number of chunks; on other
+values runs meet their speculative run within a few windows. The result equals the sequential
+fold bit for bit. Everything written goes to the shared checkpoint folder; a walk sees one
+small row per chunk of a key.
 """
 
 from __future__ import annotations
 
 import logging
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anomark.config import DetectorConfig
 from anomark.functions.kmeans import warm_step
+from anomark.session import stored
 
 KEY = ["machine_id", "property_id", "chunk"]
 log = logging.getLogger("anomark.fold")
 STATE = T.StructType([T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField("o", T.DoubleType())])
+ARROW_STATE = pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])
+
+# what the detector keeps of a window; nothing W times the size of the input is written
+NARROW = ["machine_id", "property_id", "chunk", "window_no", "group_seq", "trigger_seq",
+          "centroids", "skipped", "chain", "abnormal_timestamp_id", "abnormal_timestamp_value"]
 
 
 def _state_of(d):
     return None if d is None else (list(d["c"]), d["o"])
 
 
+def _result_fields(windows: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([
+        *windows.schema.fields,
+        T.StructField("centroids", T.ArrayType(T.DoubleType())),
+        T.StructField("skipped", T.BooleanType()),
+        T.StructField("st", STATE),
+        *more,
+    ])
+
+
 def speculative_fold(windows: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Fold every (machine, property, chunk) from a cold start; adds centroids, skipped, st."""
-    tol, cap = cfg.kmeans_tol, cfg.max_iterations
-    ordered = windows.sortWithinPartitions("machine_id", "property_id", "chunk", "group_seq")
-    schema = T.StructType(
-        windows.schema.fields
-        + [
-            T.StructField("centroids", T.ArrayType(T.DoubleType())),
-            T.StructField("skipped", T.BooleanType()),
-            T.StructField("st", STATE),
-        ]
-    )
+    tol = cfg.kmeans_tol
+    ordered = windows.sortWithinPartitions(*KEY, "group_seq")
 
     def fold(batches):
         key, state = None, None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("machine_id", "property_id", "chunk", "values", "num_clusters")]
+            cols = [batch.column(c).to_pylist() for c in (*KEY, "values", "num_clusters")]
             cents, skips, states = [], [], []
             for m, p, c, v, k in zip(*cols):
                 if (m, p, c) != key:
                     key, state = (m, p, c), None
-                cent, state, skipped = warm_step(state, v, k, tol, cap)
+                cent, state, skipped = warm_step(state, v, k, tol)
                 cents.append(cent)
                 skips.append(skipped)
                 states.append({"c": state[0], "o": state[1]})
             yield (
                 batch.append_column("centroids", pa.array(cents, pa.list_(pa.float64())))
                 .append_column("skipped", pa.array(skips, pa.bool_()))
-                .append_column("st", pa.array(states, pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])))
+                .append_column("st", pa.array(states, ARROW_STATE))
             )
 
-    return ordered.mapInArrow(fold, schema)
+    return ordered.mapInArrow(fold, _result_fields(windows))
 
 
-FIX_SCHEMA = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("machine_id", T.StringType()),
-        T.StructField("property_id", T.StringType()),
-        T.StructField("chunk", T.LongType()),
-        T.StructField("window_no", T.LongType()),
-        T.StructField("centroids", T.ArrayType(T.DoubleType())),
-        T.StructField("skipped", T.BooleanType()),
-        T.StructField("met", T.BooleanType()),
-        T.StructField("end", STATE),
-    ]
-)
+def rerun_fold(windows: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Run chunks from ``need_in`` until they meet their speculative run (``spec`` = its states).
 
-
-def _fix_up(rerun: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Re-run chunks from their true incoming state until they meet their speculative run.
-
-    Emits 'w' rows (corrected windows, up to and including the meeting window) and one 'c'
-    row per chunk (met?, end state)."""
-    tol, cap = cfg.kmeans_tol, cfg.max_iterations
-    ordered = rerun.repartition(*KEY).sortWithinPartitions(*KEY, "group_seq")
-    names = [f.name for f in FIX_SCHEMA.fields]
+    Returns the windows that were run, with centroids, skipped, st (state after the window) and
+    met (that state is the speculative one): only the last window of a chunk can have met."""
+    tol = cfg.kmeans_tol
+    ordered = windows.repartition(*KEY).sortWithinPartitions(*KEY, "group_seq")
+    base = windows.drop("spec")
 
     def run(batches):
         key, state, met = None, None, False
-        out = {n: [] for n in names}
-
-        def emit(**row):
-            for n in names:
-                out[n].append(row.get(n))
-
-        def close():
-            if key is not None:
-                emit(kind="c", machine_id=key[0], property_id=key[1], chunk=key[2], met=met,
-                     end=None if state is None else {"c": state[0], "o": state[1]})
-
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in
-                    ("machine_id", "property_id", "chunk", "window_no", "values", "num_clusters", "st", "need_in")]
-            for m, p, c, w, v, k, spec_st, need_in in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in (*KEY, "values", "num_clusters", "spec", "need_in")]
+            rows, cents, skips, states, mets = [], [], [], [], []
+            for i, (m, p, c, v, k, spec, need_in) in enumerate(zip(*cols)):
                 if (m, p, c) != key:
-                    close()
                     key, state, met = (m, p, c), _state_of(need_in), False
                 if met:
-                    state = _state_of(spec_st)
                     continue
-                cent, state, skipped = warm_step(state, v, k, tol, cap)
-                emit(kind="w", machine_id=m, property_id=p, chunk=c, window_no=w, centroids=cent, skipped=skipped)
-                if _state_of(spec_st) == (list(state[0]), state[1]):
-                    met = True
-            if sum(len(x) for x in out.values()) > 0 and len(out["kind"]) >= 4096:
-                yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
-                out = {n: [] for n in names}
-        close()
-        if out["kind"]:
-            yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
-
-    pa_schema = pa.schema(
-        [
-            ("kind", pa.string()), ("machine_id", pa.string()), ("property_id", pa.string()),
-            ("chunk", pa.int64()), ("window_no", pa.int64()), ("centroids", pa.list_(pa.float64())),
-            ("skipped", pa.bool_()), ("met", pa.bool_()),
-            ("end", pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])),
-        ]
-    )
-    return ordered.mapInArrow(run, FIX_SCHEMA)
-
-
-def split_warm_kmeans(windows: DataFrame, cfg: DetectorConfig, max_rounds: int | None = None) -> DataFrame:
-    """Exact warm-start fold of chunked windows (see module doc). Runs Spark jobs eagerly:
-    the speculative pass and each round are written to the shared checkpoint folder."""
-    from anomark.session import scratch_path
-
-    spark = windows.sparkSession
-    spec_path = scratch_path(spark, "fold-spec")
-    speculative_fold(windows, cfg).write.parquet(spec_path)
-    S = spark.read.parquet(spec_path)
-    if S.where(F.col("chunk") > 0).limit(1).count() == 0:
-        return S.drop("st")  # no key spans two chunks: the speculative pass is the fold
-
-    per_key = Window.partitionBy("machine_id", "property_id").orderBy("chunk")
-    table = S.groupBy(*KEY).agg(F.max_by("st", "group_seq").alias("spec_end")).select(
-        *KEY, "spec_end",
-        F.col("spec_end").alias("end"),
-        F.lit(None).cast(STATE).alias("in_used"),
-        F.lit(0).alias("last_round"),
+                cent, state, skipped = warm_step(state, v, k, tol)
+                met = _state_of(spec) == (list(state[0]), state[1])
+                rows.append(i)
+                cents.append(cent)
+                skips.append(skipped)
+                states.append({"c": state[0], "o": state[1]})
+                mets.append(met)
+            yield (
+                batch.drop_columns(["spec"]).take(pa.array(rows, pa.int64()))
+                .append_column("centroids", pa.array(cents, pa.list_(pa.float64())))
+                .append_column("skipped", pa.array(skips, pa.bool_()))
+                .append_column("st", pa.array(states, ARROW_STATE))
+                .append_column("met", pa.array(mets, pa.bool_()))
+            )
+
+    return ordered.mapInArrow(run, _result_fields(base, T.StructField("met", T.BooleanType())))
+
+
+def _walk(ends: DataFrame, transfers: DataFrame) -> DataFrame:
+    """(key, need_in, known) of every chunk after a key's first, by the walk of step 2."""
+    known = transfers.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("round", "need_in", "end"))).alias("known")
     )
-    tpath = scratch_path(spark, "fold-chunks-0")
-    table.write.parquet(tpath)
-    table = spark.read.parquet(tpath)
-    fixes = []
-    rnd = 0
-    while max_rounds is None or rnd < max_rounds:
-        rnd += 1
-        need = table.select(*KEY, F.lag("end").over(per_key).alias("need_in"), "in_used")
-        todo = need.where(~F.col("need_in").eqNullSafe(F.col("in_used"))).select(*KEY, "need_in")
-        rerun = S.join(todo, KEY)
-        fpath = scratch_path(spark, f"fold-fix-{rnd}")
-        _fix_up(rerun, cfg).write.parquet(fpath)
-        R = spark.read.parquet(fpath)
-        summary = R.where(F.col("kind") == "c").select(*KEY, "met", F.col("end").alias("new_end"))
-        stats = summary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("met").cast("int")).alias("met")).first()
-        log.info("fold round %d: %d chunks re-run, %s met their speculative run", rnd, stats["n"], stats["met"])
-        if stats["n"] == 0:
+    rows = ends.join(known, KEY, "left")
+    schema = T.StructType([ends.schema[c] for c in KEY] + [T.StructField("need_in", STATE), T.StructField("known", T.BooleanType())])
+
+    def plain(state):
+        return None if state is None else (tuple(state["c"]), state["o"])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk", ignore_index=True)
+        out = []
+        state = group["spec_end"].iloc[0]
+        for row in group.iloc[1:].itertuples(index=False):
+            runs = [] if row.known is None else list(row.known)
+            end = next((r["end"] for r in runs if plain(r["need_in"]) == plain(state)), None)
+            out.append((row.machine_id, row.property_id, row.chunk, {"c": list(state["c"]), "o": state["o"]}, end is not None))
+            if end is None:
+                end = runs[-1]["end"] if runs else row.spec_end
+            state = end
+        return pd.DataFrame(out, columns=[*KEY, "need_in", "known"])
+
+    return rows.groupBy("machine_id", "property_id").applyInPandas(walk, schema)
+
+
+def split_fold(windows: DataFrame, cfg: DetectorConfig, columns: list[str], evaluate=None, windows_of=None) -> DataFrame:
+    """``columns`` of every window after the exact fold. Runs Spark jobs eagerly.
+
+    evaluate(df) appends what ``columns`` needs beyond the windows, centroids and skipped;
+    windows_of(chunks) rebuilds the windows of the given chunks (by default they are read back
+    from the speculative pass, whose ``columns`` must then hold them)."""
+    evaluate = evaluate or (lambda df: df)
+    spec = stored(evaluate(speculative_fold(windows, cfg)).select(*columns, "st"), "fold-spec")
+    if spec.where(F.col("chunk") > 0).isEmpty():
+        return spec.drop("st")  # no key spans two chunks: the speculative pass is the fold
+    if windows_of is None:
+        def windows_of(chunks):
+            return spec.select(*windows.columns).join(chunks, KEY, "left_semi")
+
+    ends = stored(spec.groupBy(*KEY).agg(F.max_by("st", "group_seq").alias("spec_end")), "fold-ends")
+    transfers = ends.where("false").select(*KEY, F.col("spec_end").alias("need_in"), F.col("spec_end").alias("end"), F.lit(0).alias("round"))
+    fixes: DataFrame | None = None
+    rounds = 0
+    while True:
+        plan = stored(_walk(ends, transfers), "fold-plan")
+        todo = plan.where(~F.col("known")).select(*KEY, "need_in")
+        if todo.isEmpty():
             break
-        fixes.append(R.where(F.col("kind") == "w").withColumn("round", F.lit(rnd)))
-        table = (
-            table.join(summary.join(todo, KEY), KEY, "left")
-            .select(
-                *KEY, "spec_end",
-                F.when(F.col("met").isNull(), F.col("end"))
-                .when(F.col("met"), F.col("spec_end"))
-                .otherwise(F.col("new_end")).alias("end"),
-                F.when(F.col("met").isNull(), F.col("in_used")).otherwise(F.col("need_in")).alias("in_used"),
-                F.when(F.col("met").isNull(), F.col("last_round")).otherwise(F.lit(rnd)).alias("last_round"),
-            )
+        rounds += 1
+        states = spec.select(*KEY, "group_seq", F.col("st").alias("spec"))
+        again = windows_of(todo.select(*KEY)).join(todo, KEY).join(states, [*KEY, "group_seq"])
+        fixed = stored(evaluate(rerun_fold(again, cfg)).select(*columns, "need_in", "st", "met"), "fold-fix")
+        last = fixed.groupBy(*KEY).agg(F.max_by(F.struct("met", "st"), "group_seq").alias("l"), F.first("need_in").alias("need_in"))
+        found = last.join(ends, KEY).select(
+            *KEY, "need_in", F.when(F.col("l.met"), F.col("spec_end")).otherwise(F.col("l.st")).alias("end"), F.lit(rounds).alias("round")
         )
-        tpath = scratch_path(spark, f"fold-chunks-{rnd}")
-        table.write.parquet(tpath)
-        table = spark.read.parquet(tpath)
-    if not fixes:
-        return S.drop("st")
-    allfix = fixes[0]
-    for f in fixes[1:]:
-        allfix = allfix.unionByName(f)
-    latest = allfix.join(table.select(*KEY, F.col("last_round").alias("round")), [*KEY, "round"]).select(
-        *KEY, "window_no", F.col("centroids").alias("fix_centroids"), F.col("skipped").alias("fix_skipped")
+        transfers = stored(transfers.unionByName(found), "fold-transfers")
+        fixes = fixed if fixes is None else fixes.unionByName(fixed)
+        log.info("fold round %d: %d windows run again", rounds, fixed.count())
+    if fixes is None:
+        return spec.drop("st")
+    changed = [c for c in columns if c not in (*windows.columns,)]
+    sure = plan.select(*KEY, F.col("need_in").alias("true_in"))
+    latest = fixes.join(sure, KEY).where(F.col("need_in").eqNullSafe(F.col("true_in"))).select(
+        *KEY, "window_no", F.struct(*changed).alias("fixed")
     )
-    return (
-        S.join(latest, [*KEY, "window_no"], "left")
-        .withColumn("centroids", F.coalesce("fix_centroids", "centroids"))
-        .withColumn("skipped", F.coalesce("fix_skipped", "skipped"))
-        .drop("fix_centroids", "fix_skipped", "st")
+    merged = spec.join(latest, [*KEY, "window_no"], "left")
+    return merged.select(
+        *(F.when(F.col("fixed").isNotNull(), F.col("fixed")[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in columns)
     )
 
 
-# ---------------------------------------------------------------------------------------------
-# Detector form: the speculative pass also evaluates every window (labels, chain, threshold)
-# in the same stage and writes only narrow per-window results; fix-up rounds rebuild the
-# windows of the affected keys only. Nothing W-times the size of the input is written.
+def split_warm_kmeans(windows: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Exact warm-start fold of chunked windows: all their columns, centroids and skipped."""
+    return split_fold(windows, cfg, [*windows.columns, "centroids", "skipped"])
 
-NARROW = ["machine_id", "property_id", "chunk", "window_no", "group_seq", "trigger_seq",
-          "centroids", "skipped", "chain", "abnormal_timestamp_id", "abnormal_timestamp_value"]
-
-CHAIN = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("idx", T.IntegerType()),
-                      T.StructField("prob", T.DoubleType())])
-
-
-def _fix_up_detect(rerun: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """``_fix_up`` that also re-evaluates the chain of every corrected window."""
-    from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
-
-    tol, cap, n_tr = cfg.kmeans_tol, cfg.max_iterations, cfg.num_transitions
-    ordered = rerun.repartition(*KEY).sortWithinPartitions(*KEY, "group_seq")
-    fields = [
-        ("kind", pa.string()), ("machine_id", pa.string()), ("property_id", pa.string()), ("chunk", pa.int64()),
-        ("window_no", pa.int64()), ("centroids", pa.list_(pa.float64())), ("skipped", pa.bool_()),
-        ("chain", pa.struct([("found", pa.bool_()), ("idx", pa.int32()), ("prob", pa.float64())])),
-        ("tid", pa.string()), ("tval", pa.string()), ("met", pa.bool_()),
-        ("end", pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])),
-    ]
-    pa_schema = pa.schema(fields)
-    names = [f[0] for f in fields]
-
-    def run(batches):
-        key, state, met = None, None, False
-        out = {n: [] for n in names}
-
-        def emit(**row):
-            for n in names:
-                out[n].append(row.get(n))
-
-        def close():
-            if key is not None:
-                emit(kind="c", machine_id=key[0], property_id=key[1], chunk=key[2], met=met,
-                     end=None if state is None else {"c": state[0], "o": state[1]})
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in
-                    ("machine_id", "property_id", "chunk", "window_no", "values", "num_clusters",
-                     "prob_threshold", "obs", "st", "need_in")]
-            for m, p, c, w, v, k, thr, obs, spec_st, need_in in zip(*cols):
-                if (m, p, c) != key:
-                    close()
-                    key, state, met = (m, p, c), _state_of(need_in), False
-                if met:
-                    state = _state_of(spec_st)
-                    continue
-                cent, state, skipped = warm_step(state, v, k, tol, cap)
-                found, idx, prob = first_anomaly(transition_probabilities(labels_of(v, cent), len(cent)), thr, n_tr)
-                hit = obs[idx] if found else None
-                emit(kind="w", machine_id=m, property_id=p, chunk=c, window_no=w, centroids=cent, skipped=skipped,
-                     chain={"found": found, "idx": idx if found else None, "prob": prob},
-                     tid=hit["timestamp_id"] if hit else None, tval=hit["timestamp_value"] if hit else None)
-                if _state_of(spec_st) == (list(state[0]), state[1]):
-                    met = True
-            if len(out["kind"]) >= 4096:
-                yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
-                out = {n: [] for n in names}
-        close()
-        if out["kind"]:
-            yield pa.RecordBatch.from_pydict(out, schema=pa_schema)
-
-    schema = T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("machine_id", T.StringType()),
-        T.StructField("property_id", T.StringType()), T.StructField("chunk", T.LongType()),
-        T.StructField("window_no", T.LongType()), T.StructField("centroids", T.ArrayType(T.DoubleType())),
-        T.StructField("skipped", T.BooleanType()), T.StructField("chain", CHAIN),
-        T.StructField("tid", T.StringType()), T.StructField("tval", T.StringType()),
-        T.StructField("met", T.BooleanType()), T.StructField("end", STATE),
-    ])
-    return ordered.mapInArrow(run, schema)
-
-
-def split_detect(windows: DataFrame, cfg: DetectorConfig, windows_for_keys, evaluate) -> DataFrame:
+def split_detect(windows: DataFrame, cfg: DetectorConfig, windows_of, evaluate) -> DataFrame:
     """Exact per-window detection results (NARROW columns) with hot keys split in chunks.
 
-    windows_for_keys(keys) rebuilds the windows of the given (machine_id, property_id) keys;
     evaluate(df) appends labels, transition probabilities and the ``chain`` test natively."""
-    from anomark.session import scratch_path
-
-    spark = windows.sparkSession
-    npath = scratch_path(spark, "detect-spec")
-    evaluate(speculative_fold(windows, cfg)).select(*NARROW, "st").write.parquet(npath)
-    N = spark.read.parquet(npath)
-    if N.where(F.col("chunk") > 0).limit(1).count() == 0:
-        return N.drop("st")  # no key spans two chunks: the speculative pass is exact
-
-    per_key = Window.partitionBy("machine_id", "property_id").orderBy("chunk")
-    table = N.groupBy(*KEY).agg(F.max_by("st", "group_seq").alias("spec_end")).select(
-        *KEY, "spec_end", F.col("spec_end").alias("end"), F.lit(None).cast(STATE).alias("in_used"),
-        F.lit(0).alias("last_round"),
-    )
-    tpath = scratch_path(spark, "detect-chunks-0")
-    table.write.parquet(tpath)
-    table = spark.read.parquet(tpath)
-    fixes = []
-    rnd = 0
-    while True:
-        rnd += 1
-        need = table.select(*KEY, F.lag("end").over(per_key).alias("need_in"), "in_used")
-        todo = need.where(~F.col("need_in").eqNullSafe(F.col("in_used"))).select(*KEY, "need_in")
-        todo_path = scratch_path(spark, f"detect-todo-{rnd}")
-        todo.write.parquet(todo_path)
-        todo = spark.read.parquet(todo_path)
-        if todo.limit(1).count() == 0:
-            break
-        keys = todo.select("machine_id", "property_id").distinct()
-        spec_states = N.select(*KEY, "group_seq", "st")
-        rerun = (
-            windows_for_keys(keys)
-            .join(todo, KEY)
-            .join(spec_states, [*KEY, "group_seq"])
-        )
-        fpath = scratch_path(spark, f"detect-fix-{rnd}")
-        _fix_up_detect(rerun, cfg).write.parquet(fpath)
-        R = spark.read.parquet(fpath)
-        summary = R.where(F.col("kind") == "c").select(*KEY, "met", F.col("end").alias("new_end"))
-        stats = summary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("met").cast("int")).alias("met")).first()
-        log.info("detect round %d: %d chunks re-run, %s met their speculative run", rnd, stats["n"], stats["met"])
-        fixes.append(R.where(F.col("kind") == "w").withColumn("round", F.lit(rnd)))
-        table = (
-            table.join(summary.join(todo, KEY), KEY, "left")
-            .select(
-                *KEY, "spec_end",
-                F.when(F.col("met").isNull(), F.col("end")).when(F.col("met"), F.col("spec_end"))
-                .otherwise(F.col("new_end")).alias("end"),
-                F.when(F.col("met").isNull(), F.col("in_used")).otherwise(F.col("need_in")).alias("in_used"),
-                F.when(F.col("met").isNull(), F.col("last_round")).otherwise(F.lit(rnd)).alias("last_round"),
-            )
-        )
-        tpath = scratch_path(spark, f"detect-chunks-{rnd}")
-        table.write.parquet(tpath)
-        table = spark.read.parquet(tpath)
-    if not fixes:
-        return N.drop("st")
-    allfix = fixes[0]
-    for f in fixes[1:]:
-        allfix = allfix.unionByName(f)
-    latest = allfix.join(table.select(*KEY, F.col("last_round").alias("round")), [*KEY, "round"]).select(
-        *KEY, "window_no",
-        F.col("centroids").alias("f_centroids"), F.col("skipped").alias("f_skipped"), F.col("chain").alias("f_chain"),
-        F.col("tid").alias("f_tid"), F.col("tval").alias("f_tval"),
-    )
-    fixed = F.col("f_chain").isNotNull()
-    return N.join(latest, [*KEY, "window_no"], "left").select(
-        *KEY, "window_no", "group_seq", "trigger_seq",
-        F.when(fixed, F.col("f_centroids")).otherwise(F.col("centroids")).alias("centroids"),
-        F.when(fixed, F.col("f_skipped")).otherwise(F.col("skipped")).alias("skipped"),
-        F.when(fixed, F.col("f_chain")).otherwise(F.col("chain")).alias("chain"),
-        F.when(fixed, F.col("f_tid")).otherwise(F.col("abnormal_timestamp_id")).alias("abnormal_timestamp_id"),
-        F.when(fixed, F.col("f_tval")).otherwise(F.col("abnormal_timestamp_value")).alias("abnormal_timestamp_value"),
-    )
+    return split_fold(windows, cfg, NARROW, evaluate, windows_of)

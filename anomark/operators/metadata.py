@@ -10,22 +10,6 @@ from pyspark.sql import functions as F
 from anomark.config import DetectorConfig
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking that it has at most ``max_rows`` rows.
-
-    Beyond the bound the plain DataFrame is returned and the join stays a shuffle join
-    (which AQE may still convert at run time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def require_small(df: DataFrame, max_rows: int, what: str) -> None:
-    """Raise unless ``df`` has at most ``max_rows`` rows (guard before shipping it to tasks)."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; raise broadcast_max_rows or join instead")
-
-
 def machine_properties(
     machines: DataFrame,
     model_properties: DataFrame,
@@ -49,27 +33,24 @@ def allow_properties(df: DataFrame, properties: Sequence[str]) -> DataFrame:
     return df.where(F.col("property_id").isin(list(properties)))
 
 
-def filter_stateful(observations: DataFrame, machines: DataFrame, model_properties: DataFrame,
-                    max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def filter_stateful(observations: DataFrame, machines: DataFrame, model_properties: DataFrame) -> DataFrame:
     """Keep observations whose property is declared stateful for the machine's model.
 
-    Unknown properties are dropped like non-stateful ones (semi join on a size-checked
-    broadcast of the small metadata).
+    Unknown properties are dropped like non-stateful ones. How the metadata side travels is
+    left to Spark, which broadcasts by bytes and splits a hot machine's side of a sort-merge join.
     """
     stateful = machines.join(model_properties.where(F.col("stateful")), "model_id").select(
         "machine_id", "property_id"
     )
-    return observations.join(broadcast_if_small(stateful, max_broadcast_rows),
-                             ["machine_id", "property_id"], "left_semi")
+    return observations.join(stateful, ["machine_id", "property_id"], "left_semi")
 
 
-def with_property_params(observations: DataFrame, machines: DataFrame, model_properties: DataFrame,
-                         max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def with_property_params(observations: DataFrame, machines: DataFrame, model_properties: DataFrame) -> DataFrame:
     """Attach model_id, num_clusters, prob_threshold to observations (machine -> model -> property)."""
     params = machines.join(model_properties, "model_id").select(
         "machine_id", "model_id", "property_id", "num_clusters", "prob_threshold", "stateful"
     )
-    return observations.join(broadcast_if_small(params, max_broadcast_rows), ["machine_id", "property_id"])
+    return observations.join(params, ["machine_id", "property_id"])
 
 
 def missing_params(observations: DataFrame, machines: DataFrame, model_properties: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def attach_group_seq(observations: DataFrame, ranked_groups: DataFrame) -> DataF
     )
 
 
-def _stream_tail(ranked_groups: DataFrame) -> DataFrame:
+def stream_tail(ranked_groups: DataFrame) -> DataFrame:
     """One row: the machine, position and sequence number of the stream's last event."""
     last = F.max_by(F.struct("machine_id", "group_seq", "seq"), F.col("seq"))
     return ranked_groups.agg(last.alias("t")).select(
@@ -135,10 +135,16 @@ def sliding_windows(
 
     See ``windows_from_rows`` for the result.
     """
-    return windows_from_rows(window_rows(ranked_groups, observations, machine_props), cfg, ranked_groups)
+    tail = stream_tail(ranked_groups) if cfg.tail != "none" else None
+    return windows_from_rows(window_rows(ranked_groups, observations, machine_props), cfg, tail)
 
 
-def windows_from_rows(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), ranked_groups: DataFrame | None = None) -> DataFrame:
+def windows_from_rows(
+    rows: DataFrame,
+    cfg: DetectorConfig = DetectorConfig(),
+    tail: DataFrame | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
     """Windows from anchor and value rows (``window_rows`` / ``window_rows_from_events``).
 
     Returns (machine_id, property_id, chunk, window_no, group_seq [last event of the window],
@@ -146,11 +152,12 @@ def windows_from_rows(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), r
     array<double>), hash-partitioned on (machine_id, property_id, chunk) and sorted by
     group_seq inside each partition. ``chunk`` numbers runs of ``cfg.fold_chunk_events``
     events of a machine (always 0 when chunking is off): a hot machine is spread over tasks.
-    ``ranked_groups`` (or the anchor rows) locate the stream's last event for ``cfg.tail``.
+    ``tail`` is ``stream_tail`` of all events, needed for ``cfg.tail``; ``only`` holds the
+    (machine_id, property_id, chunk) to build windows of, by default all.
     """
     W = cfg.window_size
-    tail_source = ranked_groups if ranked_groups is not None else rows.where("is_anchor").select(
-        "machine_id", "group_seq", "seq")
+    if cfg.tail != "none" and tail is None:
+        raise ValueError("cfg.tail needs the stream's last event: pass stream_tail(all events)")
     C = cfg.fold_chunk_events
     g = F.col("group_seq")
     if C:
@@ -167,6 +174,8 @@ def windows_from_rows(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), r
         )
     else:
         rows = rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    if only is not None:
+        rows = rows.join(only, ["machine_id", "property_id", "chunk"], "left_semi")
     rows = rows.repartition("machine_id", "property_id", "chunk")
 
     by_key = Window.partitionBy("machine_id", "property_id", "chunk").orderBy("group_seq")
@@ -184,7 +193,7 @@ def windows_from_rows(rows: DataFrame, cfg: DetectorConfig = DetectorConfig(), r
         trigger = F.col("seq")
 
     if cfg.lag == 1 and cfg.tail != "none":
-        framed = framed.crossJoin(F.broadcast(_stream_tail(tail_source)))
+        framed = framed.crossJoin(F.broadcast(tail))
         if cfg.tail == "file":
             keep = keep & (F.col("next_seq") != F.col("tail_seq"))
         else:  # 'reference': the last machine's short window is flushed too

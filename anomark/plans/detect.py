@@ -1,11 +1,11 @@
 """Batch anomaly detection: observations -> windows -> warm k-means -> Markov chain -> anomalies.
 
 Shuffles of the plan (all on fine-grained or split keys):
-  1. range exchange on (machine, seq) to number each machine's events (hot machines split)
-  2. hash exchange on (machine, property): windows, fold, labels, chain in one stage
+  1. hash exchange on (machine, slice of seq) to number each machine's events (hot machines split)
+  2. hash exchange on (machine, property, chunk): windows, fold, labels, chain in one stage
   3. hash exchange on (property, timestamp id) of the abnormal windows only (map-side min)
-  4. range exchange of the de-duplicated anomalies for their global numbering
-Metadata joins are broadcasts behind a row-count check.
+  4. hash exchange of the de-duplicated anomalies by slice for their global numbering
+Metadata joins are left to Spark, which broadcasts by measured bytes.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from anomark.config import DetectorConfig
 from anomark.operators.anomalies import abnormal_windows, dedupe_first, number_anomalies
 from anomark.operators.clustering import label_values, warm_kmeans
+from anomark.operators.fold import split_detect
 from anomark.operators.markov import detect_first_anomaly, transition_pairs, transition_probabilities
-from anomark.operators.metadata import broadcast_if_small, machine_properties
+from anomark.operators.metadata import machine_properties
+from anomark.session import stored
 from anomark.operators.windows import (
     attach_group_seq,
     sequence_events,
+    stream_tail,
     window_rows,
     window_rows_from_events,
     windows_from_rows,
@@ -32,19 +35,21 @@ class DetectionStages:
     on first use: with the split fold it runs Spark jobs, which a caller that only needs the
     windows should not pay for."""
 
-    def __init__(self, ranked_groups, machine_props, observations, windows, cfg, rows=None):
+    def __init__(self, ranked_groups, machine_props, observations, rows, cfg):
         self.ranked_groups = ranked_groups
         self.machine_props = machine_props
         self.observations = observations
-        self.windows = windows
         self._cfg = cfg
         self._rows = rows
+        # the stream's last event comes from all events, also those without a clustered property
+        self._tail = stream_tail(ranked_groups) if cfg.tail != "none" else None
+        self.windows = windows_from_rows(rows, cfg, self._tail)
         self._chains = None
 
     @property
     def chains(self) -> DataFrame:
         if self._chains is None:
-            self._chains = evaluate_windows(self.windows, self._cfg, partitioned=True, rows=self._rows)
+            self._chains = evaluate_windows(self.windows, self._cfg, self._rows, self._tail)
         return self._chains
 
     @property
@@ -66,20 +71,21 @@ def chain_test(clustered: DataFrame, cfg: DetectorConfig) -> DataFrame:
     )
 
 
-def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, partitioned: bool = True,
-                     rows: DataFrame | None = None) -> DataFrame:
+def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, rows: DataFrame, tail: DataFrame | None) -> DataFrame:
     """Fold, label, build the chain and test it, window by window (one stage).
 
-    With ``cfg.fold_chunk_events`` and the window input ``rows`` at hand, the split fold of
-    ``anomark.operators.fold.split_detect`` runs: narrow per-window results, hot keys split."""
-    if cfg.fold_chunk_events and rows is not None and "chunk" in windows.columns:
-        from anomark.operators.fold import split_detect
+    With ``cfg.fold_chunk_events`` the split fold runs: narrow per-window results, hot keys
+    split, and only the windows of affected chunks rebuilt, from rows that are written once."""
+    if not cfg.fold_chunk_events:
+        return chain_test(warm_kmeans(windows, cfg, partitioned=True), cfg)
+    held: list[DataFrame] = []
 
-        def windows_for_keys(keys: DataFrame) -> DataFrame:
-            return windows_from_rows(rows.join(keys, ["machine_id", "property_id"], "left_semi"), cfg)
+    def windows_of(chunks: DataFrame) -> DataFrame:
+        if not held:
+            held.append(stored(rows, "window-rows"))
+        return windows_from_rows(held[0], cfg, tail, only=chunks)
 
-        return split_detect(windows, cfg, windows_for_keys, lambda d: chain_test(d, cfg))
-    return chain_test(warm_kmeans(windows, cfg, partitioned=partitioned), cfg)
+    return split_detect(windows, cfg, windows_of, lambda d: chain_test(d, cfg))
 
 
 def detection_stages(
@@ -90,25 +96,19 @@ def detection_stages(
     cfg: DetectorConfig = DetectorConfig(),
     ranked_groups: DataFrame | None = None,
 ) -> DetectionStages:
-    """All intermediate DataFrames of the batch detector (lazy; nothing is computed here
-    except the row-count check of the small machine/property table).
+    """All intermediate DataFrames of the batch detector (lazy until ``chains``).
 
     groups        (machine_id, group_id, seq, ...): one row per event, in any order
     observations  (machine_id, group_id, obs_pos, property_id, value, timestamp_id,
                   timestamp_value[, group_seq])
     """
     ranked = ranked_groups if ranked_groups is not None else sequence_events(groups)
-    mprops = broadcast_if_small(machine_properties(machines, model_properties, cfg), cfg.broadcast_max_rows)
+    mprops = machine_properties(machines, model_properties, cfg)
     obs = observations.join(mprops.select("machine_id", "property_id"), ["machine_id", "property_id"], "left_semi")
     obs = obs.where(F.col("value").isNotNull())
     obs = attach_group_seq(obs, ranked)
     rows = window_rows(ranked, obs, mprops)
-    windows = windows_from_rows(rows, cfg, ranked)
-    return _finish(ranked, mprops, obs, windows, cfg, rows)
-
-
-def _finish(ranked, mprops, obs, windows, cfg, rows=None) -> DetectionStages:
-    return DetectionStages(ranked, mprops, obs, windows, cfg, rows)
+    return DetectionStages(ranked, mprops, obs, rows, cfg)
 
 
 def detect_anomalies(
@@ -147,11 +147,7 @@ def event_stages(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
     ranked_events = sequence_events(keyed).drop("machine_id", "seq")
     ranked_groups = groups_from_events(ranked_events, keep=("group_seq",))
     observations = observations_from_events(ranked_events, keep=("group_seq",))
-    mprops = broadcast_if_small(
-        machine_properties(machines_from_events(events), model_properties_from_events(events), cfg),
-        cfg.broadcast_max_rows,
-    )
+    mprops = machine_properties(machines_from_events(events), model_properties_from_events(events), cfg)
     # one pass: each numbered event carries its values into the window stage
     rows = window_rows_from_events(nested_events(ranked_events), mprops)
-    windows = windows_from_rows(rows, cfg)
-    return _finish(ranked_groups, mprops, observations, windows, cfg, rows)
+    return DetectionStages(ranked_groups, mprops, observations, rows, cfg)

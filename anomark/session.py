@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "anomark") -> SparkSession:
-    """A local session with the settings the library is tested with (UI off, UTC, AQE on)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "anomark", checkpoint: str | None = None) -> SparkSession:
+    """A local session with the settings the library is tested with (UI off, UTC, AQE on).
+
+    Its executors are threads of this process, so a folder of this machine (``checkpoint``, by
+    default a new temporary one) serves as the shared checkpoint folder."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -22,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ANOMARK_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", checkpoint or tempfile.mkdtemp(prefix="anomark-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,22 +34,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Read from the session; only when it is unset (local tests) a private folder is created and
-    registered, so that ``DataFrame.checkpoint`` and written intermediate tables always land in
-    the cluster's shared storage.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, where every intermediate
+    table lands. A session without it is refused: a folder of the driver's machine would not be
+    seen by executors elsewhere."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="anomark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/anomark-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back: lineage ends here."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[int] = set()
 
 

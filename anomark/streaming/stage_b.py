@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from anomark.config import DetectorConfig
 from anomark.functions.kmeans import warm_step
 from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
-from anomark.operators.metadata import broadcast_if_small, machine_properties
+from anomark.operators.metadata import machine_properties
 
 ANOMALY_SCHEMA = (
     "machine_id string, property_id string, timestamp_id string, timestamp_value string, "
@@ -46,7 +46,7 @@ def _evaluate(window: list, props: dict, params: dict, state: dict, cfg: Detecto
         vals = [v for v, _, _ in values[prop]]
         prev = props.get(prop)
         prev_state = None if prev is None else (prev[0], prev[1])
-        cent, nxt, _ = warm_step(prev_state, vals, k, cfg.kmeans_tol, cfg.max_iterations)
+        cent, nxt, _ = warm_step(prev_state, vals, k, cfg.kmeans_tol)
         props[prop] = [nxt[0], nxt[1]]
         labels = labels_of(vals, cent)
         p = transition_probabilities(labels, len(cent))
@@ -100,7 +100,7 @@ def stage_b(
     """Streaming anomalies (unnumbered) from a stream of event rows."""
     mp = machine_properties(machines, model_properties, cfg)
     # (K, threshold) of every stateful property, one map per machine, joined to the stream
-    # (stream-static join on a size-checked broadcast): nothing goes through the driver
+    # (stream-static join; Spark broadcasts it by its bytes or shuffles): nothing goes through the driver
     per_machine = mp.groupBy("machine_id").agg(
         F.map_from_entries(F.collect_list(F.struct(
             "property_id", F.struct(F.col("num_clusters").alias("k"), F.col("prob_threshold").alias("t"))
@@ -109,7 +109,7 @@ def stage_b(
     flat = events.select(
         "machine_id", F.col("seq.file").alias("seq_file"), F.col("seq.line").alias("seq_line"),
         "timestamp_id", "timestamp_value", "obs",
-    ).join(broadcast_if_small(per_machine, cfg.broadcast_max_rows), "machine_id", "left")
+    ).join(per_machine, "machine_id", "left")
     return flat.groupBy("machine_id").applyInPandasWithState(
         detector_state_fn(cfg),
         ANOMALY_SCHEMA,

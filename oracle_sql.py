@@ -2,7 +2,7 @@
 
 Independent SQL formulations of the same semantics, used by the correctness gate at sf0.01.
 Fixed values below are those of the detection method and of the events mapping
-(see anomark.sources.events): W = 10, N = 5, tolerance 1e-5, at most 1000 Lloyd rounds,
+(see anomark.sources.events): W = 10, N = 5, tolerance 1e-5,
 threshold 0.005, K = 3 for property _m_0 and 2 + m % 3 for _m_1, m = user_id % 5.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 W = 10
 N = 5
 TOL = "1e-5"
-MAX_ROUNDS = 1000
 THR = "0.005"
 TS_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
 
@@ -74,7 +73,7 @@ cold AS (
     SELECT machine_id, property_id, window_no, vals, seeds, 'inf'::DOUBLE, 0, false FROM seeded
     UNION ALL
     SELECT machine_id, property_id, window_no, vals, r.cent, r.avg, rounds + 1,
-           abs(prev_avg - r.avg) <= {TOL} OR rounds + 1 >= {MAX_ROUNDS}
+           abs(prev_avg - r.avg) <= {TOL}
     FROM (SELECT *, {lloyd('cent', 'vals')} AS r FROM it WHERE NOT done))
   SELECT machine_id, property_id, window_no, cent FROM it WHERE done)
 """
@@ -98,7 +97,7 @@ warm AS (
         CASE WHEN f.done THEN 'inf'::DOUBLE ELSE r.avg END AS avg2,
         CASE WHEN f.done THEN 0 ELSE f.rounds + 1 END AS rounds2,
         CASE WHEN f.done THEN skip
-             ELSE abs(f.prev_avg - r.avg) <= {TOL} OR f.rounds + 1 >= {MAX_ROUNDS} END AS done2
+             ELSE abs(f.prev_avg - r.avg) <= {TOL} END AS done2
       FROM (SELECT *, CASE WHEN NOT done THEN {lloyd('cent', 'vals')} END AS r FROM it) f
       LEFT JOIN wk n ON n.machine_id = f.machine_id AND n.property_id = f.property_id AND n.rn = f.rn + 1,
       LATERAL (SELECT f.done AND (f.vals[1] = n.vals[-1] OR list_contains(f.cent, n.vals[-1])) AS skip)

@@ -48,7 +48,7 @@ def simulate(events, params, W, N):
                 vals = [v for _, q, v in data if q == p]
                 tids = [t for t, q, _ in data if q == p]
                 k, thr = params[p]
-                cent, st, _ = warm_step(state[m].get(p), vals, k, 1e-5, 1000)
+                cent, st, _ = warm_step(state[m].get(p), vals, k, 1e-5)
                 state[m][p] = st
                 pr = transition_probabilities(labels_of(vals, cent), len(cent))
                 found, idx, prob = first_anomaly(pr, thr, N)

@@ -13,11 +13,11 @@ def test_m2_label_tie_takes_larger_centroid():
 
 def test_kmeans_assignment_tie_takes_lowest_index():
     # 5 is equidistant from 1 and 9: Lloyd assigns it to the first centroid
-    assert lloyd_1d([1.0, 9.0, 9.0, 5.0], [1.0, 9.0], 1e-5, 1000) == [3.0, 9.0]
+    assert lloyd_1d([1.0, 9.0, 9.0, 5.0], [1.0, 9.0], 1e-5) == [3.0, 9.0]
 
 
 def test_kmeans_drops_empty_cluster_and_keeps_order():
-    assert lloyd_1d([1.0, 1.0, 2.0], [100.0, 1.0, 2.0], 1e-5, 1000) == [1.0, 2.0]
+    assert lloyd_1d([1.0, 1.0, 2.0], [100.0, 1.0, 2.0], 1e-5) == [1.0, 2.0]
 
 
 def test_first_distinct_keeps_first_appearance_order():
@@ -26,16 +26,16 @@ def test_first_distinct_keeps_first_appearance_order():
 
 
 def test_warm_step_skip_rules():
-    cent, state, skipped = warm_step(None, [1.0, 9.0, 1.0, 1.0], 2, 1e-5, 1000)
+    cent, state, skipped = warm_step(None, [1.0, 9.0, 1.0, 1.0], 2, 1e-5)
     assert cent == [1.0, 9.0] and state == ([1.0, 9.0], 1.0) and not skipped
     # incoming 9 is a centroid -> skip, outgoing value still replaced
-    cent, state, skipped = warm_step(state, [9.0, 1.0, 1.0, 9.0], 2, 1e-5, 1000)
+    cent, state, skipped = warm_step(state, [9.0, 1.0, 1.0, 9.0], 2, 1e-5)
     assert skipped and cent == [1.0, 9.0] and state[1] == 9.0
     # incoming equals the previous outgoing value -> skip
-    cent, state, skipped = warm_step(([2.0], 7.0), [3.0, 7.0], 3, 1e-5, 1000)
+    cent, state, skipped = warm_step(([2.0], 7.0), [3.0, 7.0], 3, 1e-5)
     assert skipped and cent == [2.0]
     # fewer than K centroids: the incoming value is appended as a seed
-    cent, state, skipped = warm_step(([1.0], 0.0), [1.0, 1.0, 8.0], 2, 1e-5, 1000)
+    cent, state, skipped = warm_step(([1.0], 0.0), [1.0, 1.0, 8.0], 2, 1e-5)
     assert not skipped and cent == [1.0, 8.0]
 
 
