@@ -15,11 +15,12 @@ def machine_properties(
     model_properties: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
 ) -> DataFrame:
-    """(machine_id, property_id, num_clusters, prob_threshold) of every stateful property.
+    """(machine_id, property_id, num_clusters, prob_threshold) of every stateful property that
+    has both parameters (the others: ``anomark.operators.rejects``).
 
     The allow-list of ``cfg.properties`` is applied here, before any window is evaluated.
     """
-    props = model_properties.where(F.col("stateful"))
+    props = model_properties.where(F.col("stateful") & F.col("num_clusters").isNotNull() & F.col("prob_threshold").isNotNull())
     props = allow_properties(props, cfg.properties)
     return machines.join(props, "model_id").select(
         "machine_id", "property_id", "num_clusters", "prob_threshold"

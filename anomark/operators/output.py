@@ -63,9 +63,9 @@ def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
 def wide_export(observations: DataFrame, properties: Sequence[str] | None = None) -> DataFrame:
     """One row per event: machine_id, timestamp_id, then one value column per property.
 
-    Values are aligned by property name (a property missing from an event is null). Pass the
-    property list (from metadata) to avoid the extra job that discovers pivot values.
+    Values are aligned by property name (a property missing from an event is null; of several
+    values the first in the event). Pass the property list (from metadata) to avoid the extra job that discovers pivot values.
     """
     grouped = observations.groupBy("machine_id", "timestamp_id")
     pivoted = grouped.pivot("property_id", list(properties) if properties is not None else None)
-    return pivoted.agg(F.first("value"))
+    return pivoted.agg(F.min_by("value", "obs_pos"))

@@ -360,15 +360,13 @@ def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
     ev = _events(spark, data_dir)
     lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
     lines = _event_triples(spark, data_dir)
-    event_no = F.floor(F.col("seq.line") / F.lit(1024))
-    lines = lines.withColumn("chunk", _chunk_of(event_no, lo, hi))
+    lines = lines.withColumn("chunk", _chunk_of(F.col("event"), lo, hi))
     txt, evdir, out = (scratch_path(spark, n) for n in ("stream-triples", "stream-events", "stream-anomalies"))
     ckpt_a, ckpt_b = scratch_path(spark, "ckpt-a"), scratch_path(spark, "ckpt-b")
     machines, model_properties = _parsed_metadata(spark, data_dir)
-    event_no = F.floor(F.col("seq.line") / F.lit(1024))
     for c in range(STREAM_CHUNKS):
         # files of whole observation groups, range-cut by event and named in stream order
-        (lines.where(F.col("chunk") == c).repartitionByRange(4, event_no).sortWithinPartitions("seq.line")
+        (lines.where(F.col("chunk") == c).repartitionByRange(4, "event").sortWithinPartitions("seq.line")
          .select("value").write.text(f"{txt}/chunk={c:05d}"))
         start_stage_a(spark, txt, machines, model_properties, evdir, ckpt_a).awaitTermination()
         start_stage_b(spark, evdir, machines, model_properties, out, ckpt_b).awaitTermination()

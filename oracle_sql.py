@@ -301,7 +301,7 @@ e3 AS (
 
 def parse_triples() -> str:
     def row(i, s, p, o_ns, o, lit="false", src="e1"):
-        return (f"SELECT event_id * 1024 + {i} AS line, 'data' AS s_ns, {s} AS s, 'ontology' AS p_ns, "
+        return (f"SELECT first + {i} AS line, 'data' AS s_ns, {s} AS s, 'ontology' AS p_ns, "
                 f"'{p}' AS p, {o_ns} AS o_ns, {o} AS o, {lit} AS is_literal FROM {src}")
 
     obs = "g || '_Observation_' || j"
@@ -321,7 +321,9 @@ def parse_triples() -> str:
     ]
     union = "\n  UNION ALL ".join(parts)
     return f"""
-WITH {EV3}, e1 AS (SELECT * FROM e3 WHERE j = 0),
+WITH {EV3.replace("e3 AS", "e0 AS")},
+e3 AS (SELECT *, (dense_rank() OVER (ORDER BY event_id) - 1) * (5 + 5 * 3) AS first FROM e0),
+e1 AS (SELECT * FROM e3 WHERE j = 0),
 lines AS ({union})
 SELECT CAST(line AS BIGINT) AS line, s_ns, s, p_ns, p, o_ns, o, is_literal FROM lines
 """
