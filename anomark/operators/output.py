@@ -60,6 +60,17 @@ def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
     )
 
 
+def write_triples(lines: DataFrame, path: str) -> None:
+    """Text files of (anomaly_no, ord, value) lines: read in the order of their names they are in
+    output order, and the lines of one anomaly stand together in one file."""
+    lines.repartitionByRange("anomaly_no").sortWithinPartitions("anomaly_no", "ord").select("value").write.text(path)
+
+
+def write_wide_csv(wide: DataFrame, path: str) -> None:
+    """CSV files of the wide export, each with a header line."""
+    wide.write.option("header", True).csv(path)
+
+
 def wide_export(observations: DataFrame, properties: Sequence[str] | None = None) -> DataFrame:
     """One row per event: machine_id, timestamp_id, then one value column per property.
 

@@ -132,6 +132,50 @@ def q_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
     return _anomaly_rows(_stages(spark, data_dir).anomalies)
 
 
+def _window_sums(w: DataFrame) -> DataFrame:
+    return w.select(
+        "machine_id", "property_id", "window_no", "trigger_seq",
+        F.size("values").cast("bigint").alias("n_values"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("sum_values"),
+    )
+
+
+SHORT_WINDOW = 128  # more events than a machine of the test tables has
+
+
+def q_tail_flush_short(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The last machine's window is flushed at the stream's end although it never filled."""
+    return _window_sums(_stages(spark, data_dir, DetectorConfig(window_size=SHORT_WINDOW, tail="reference")).windows)
+
+
+def q_tail_file(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The stream's last event is never dispatched."""
+    return _window_sums(_stages(spark, data_dir, DetectorConfig(tail="file")).windows)
+
+
+TWO_MODELS = ("_0_0", "_1_0")
+
+
+def q_tail_allow_list(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The stream's last event is that of all events, also where only some properties are clustered."""
+    return _window_sums(_stages(spark, data_dir, DetectorConfig(tail="file", properties=TWO_MODELS)).windows)
+
+
+SPLIT = 4 * DetectorConfig().window_size
+
+
+def q_anomalies_split(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The detector with every machine cut into chunks: the same anomalies."""
+    return _anomaly_rows(_stages(spark, data_dir, DetectorConfig(fold_chunk_events=SPLIT)).anomalies)
+
+
+def q_warm_kmeans_discrete(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The split fold on a sensor with three levels, whose runs may never meet their speculative run."""
+    levels = _events(spark, data_dir).withColumn("value", F.pmod(F.floor("value"), F.lit(3)).cast("double"))
+    cfg = DetectorConfig(fold_chunk_events=SPLIT)
+    return _centroid_rows(warm_kmeans(event_stages(levels, cfg).windows, cfg, partitioned=True))
+
+
 VALUE_PROPERTIES = tuple(f"_{m}_0" for m in range(5))
 
 
@@ -147,10 +191,15 @@ def q_anomaly_triples(spark: SparkSession, data_dir: str) -> DataFrame:
 QUERIES = {
     "sliding_windows": q_sliding_windows,
     "tail_flush": q_tail_flush,
+    "tail_flush_short": q_tail_flush_short,
+    "tail_file": q_tail_file,
+    "tail_allow_list": q_tail_allow_list,
     "seed_values": q_seed_values,
     "cold_kmeans": q_cold_kmeans,
     "warm_kmeans": q_warm_kmeans,
     "warm_kmeans_split": q_warm_kmeans_split,
+    "warm_kmeans_discrete": q_warm_kmeans_discrete,
+    "anomalies_split": q_anomalies_split,
     "label_values": q_label_values,
     "transition_matrix": q_transition_matrix,
     "chain_anomalies": q_chain_anomalies,
@@ -283,8 +332,86 @@ def q_wide_export(spark: SparkSession, data_dir: str) -> DataFrame:
     return wide_export(kept, STATEFUL_PROPERTIES)
 
 
+def _text_folder(spark: SparkSession, data_dir: str) -> str:
+    """The observation lines as text files in stream order, in the shared folder."""
+    from anomark.session import scratch_path
+
+    path = scratch_path(spark, "triples-text")
+    _event_triples(spark, data_dir).repartitionByRange("event").sortWithinPartitions("seq.line").select("value").write.text(path)
+    return path
+
+
+def q_scan_triples(spark: SparkSession, data_dir: str) -> DataFrame:
+    """N-Triples files scanned and parsed."""
+    from anomark.sources.triples import parse_triples, read_triples, valid_triples
+
+    t = valid_triples(parse_triples(read_triples(spark, _text_folder(spark, data_dir))))
+    return t.select("s_ns", "s", "p_ns", "p", "o_ns", "o", "is_literal")
+
+
+def q_anomaly_sink(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Anomaly triples written as text in output order and read again."""
+    from anomark.operators.output import write_triples
+    from anomark.session import scratch_path
+
+    path = scratch_path(spark, "anomaly-text")
+    write_triples(anomalies_to_triples(_stages(spark, data_dir).anomalies, SYSTEM_URI), path)
+    return spark.read.text(path)
+
+
+def q_wide_csv(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The wide export written as CSV and read again."""
+    from anomark.operators.output import write_wide_csv
+    from anomark.session import scratch_path
+
+    path = scratch_path(spark, "wide-csv")
+    wide = q_wide_export(spark, data_dir)
+    write_wide_csv(wide, path)
+    return spark.read.schema(wide.schema).option("header", True).csv(path)
+
+
+def _faulty(ev: DataFrame):
+    """Stand-in input: groups and observations of ``events`` with faults, and lines that are no triples."""
+    from anomark.sources.events import groups_from_events, observations_from_events
+
+    every = lambda n: F.col("seq") % n == 0
+    groups = groups_from_events(ev).withColumn(
+        "machine_id", F.when(every(7), F.lit(None)).when(every(19), F.lit("Machine_unknown")).otherwise(F.col("machine_id"))
+    )
+    first = F.col("obs_pos") == 0
+    obs = observations_from_events(ev).withColumn("raw_value", F.when(every(11) & first, F.lit("n/a")).otherwise(F.col("raw_value")))
+    obs = obs.withColumn("property_id", F.when(every(13) & first, F.lit("_unknown")).otherwise(F.col("property_id")))
+    bad = groups.where(every(17)).select(F.col("seq"), F.concat(F.lit("<broken> line "), F.col("seq").cast("string")).alias("value"))
+    return groups, obs, bad
+
+
+def q_rejects(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Everything that a run over faulty lines and incomplete metadata leaves out, with its reason."""
+    from anomark.operators.assembly import assemble_observations
+    from anomark.operators.rejects import all_rejects
+    from anomark.session import scratch_path
+    from anomark.sources.events import machines_from_events, model_properties_from_events
+    from anomark.sources.triples import parse_and_store, render_observation_triples
+
+    ev = _events(spark, data_dir)
+    groups, obs, bad = _faulty(ev)
+    lines = render_observation_triples(groups, obs).where("value IS NOT NULL").select("seq", "value").unionByName(
+        bad.select(F.struct(F.lit("broken").alias("file"), F.col("seq").alias("line")).alias("seq"), "value")
+    )
+    triples, unread = parse_and_store(spark, lines, scratch_path(spark, "faulty-triples"))
+    found, values = assemble_observations(triples)
+    properties = model_properties_from_events(ev).withColumn(
+        "num_clusters", F.when(F.col("property_id") != "_4_1", F.col("num_clusters"))
+    )
+    return all_rejects(unread, found, values, machines_from_events(ev), properties)
+
+
 QUERIES.update(
     {
+        "scan_triples": q_scan_triples,
+        "anomaly_sink": q_anomaly_sink,
+        "wide_csv": q_wide_csv,
+        "rejects": q_rejects,
         "parse_triples": q_parse_triples,
         "build_metadata": q_build_metadata,
         "metadata_roundtrip": q_metadata_roundtrip,

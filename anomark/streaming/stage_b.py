@@ -127,31 +127,32 @@ def start_stage_b(
     out_dir: str,
     checkpoint: str,
     cfg: DetectorConfig = DetectorConfig(),
-    max_files_per_trigger: int | None = None,
 ):
-    """Run stage B with ``availableNow`` into numbered anomaly folders (one per batch id)."""
+    """Run stage B with ``availableNow`` into numbered anomaly folders (one per batch id).
+
+    A micro-batch's anomalies are written once before they are numbered, so the state function
+    runs once. Beside them ``_next/batch_id=`` holds the number that the next batch starts from;
+    a batch after the first that cannot read its predecessor's stops the query."""
     from anomark.streaming.stage_a import EVENT_SCHEMA
 
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = reader.option("recursiveFileLookup", "true").parquet(events_dir)
+    events = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(events_dir)
     anomalies = stage_b(events, machines, model_properties, cfg)
     base = out_dir.rstrip("/")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         from anomark.operators.sequence import number_rows
 
+        raw = f"{base}/_raw/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(raw)
+        found = spark.read.schema(batch.schema).parquet(raw)
         offset = 0
-        try:
-            prior = spark.read.parquet(base).where(F.col("batch_id") < batch_id)
-            offset = prior.count()
-        except Exception:  # no earlier batch written yet
-            offset = 0
-        ordered = batch.withColumn("trigger_seq", F.struct(F.col("trigger_file").alias("file"),
+        if batch_id:
+            offset = spark.read.schema("n bigint").parquet(f"{base}/_next/batch_id={batch_id - 1}").first()["n"]
+        ordered = found.withColumn("trigger_seq", F.struct(F.col("trigger_file").alias("file"),
                                                            F.col("trigger_line").alias("line")))
         numbered = number_rows(ordered, ["trigger_seq", "property_id"], "anomaly_no", start=offset)
         numbered.drop("trigger_file", "trigger_line").write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+        found.agg((F.count("*") + offset).alias("n")).write.mode("overwrite").parquet(f"{base}/_next/batch_id={batch_id}")
 
     return (
         anomalies.writeStream.foreachBatch(sink)

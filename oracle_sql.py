@@ -30,18 +30,18 @@ ob AS (
 """
 
 
-def windows_cte(anchor_filter: str = f"a.gs >= {W} AND a.nxt IS NOT NULL") -> str:
+def windows_cte(anchor_filter: str = f"a.gs >= {W} AND a.nxt IS NOT NULL", w: int = W) -> str:
     return f"""
 win AS (
   SELECT 'Machine_' || a.user_id AS machine_id,
          '_' || (a.user_id % 5) || '_' || o.j AS property_id,
-         CAST(greatest(1, a.gs - {W - 1}) AS BIGINT) AS window_no,
+         CAST(greatest(1, a.gs - {w - 1}) AS BIGINT) AS window_no,
          CAST(a.nxt AS BIGINT) AS trigger_seq,
          CASE WHEN o.j = 0 THEN 3 ELSE 2 + (a.user_id % 5) % 3 END AS k,
          list(o.v ORDER BY o.gs) AS vals,
          list('Timestamp_' || o.event_id ORDER BY o.gs) AS tids,
          list(o.tval ORDER BY o.gs) AS tvals
-  FROM ev a JOIN ob o ON o.user_id = a.user_id AND o.gs BETWEEN a.gs - {W - 1} AND a.gs
+  FROM ev a JOIN ob o ON o.user_id = a.user_id AND o.gs BETWEEN a.gs - {w - 1} AND a.gs
   WHERE {anchor_filter}
   GROUP BY ALL)
 """
@@ -182,17 +182,51 @@ FROM win, LATERAL (SELECT unnest(range(1, len(vals) + 1)) AS pos)
 """
 
 
-def tail_flush() -> str:
-    tail = (
-        f"(a.gs >= {W} AND a.nxt IS NOT NULL) OR "
-        f"(a.user_id = (SELECT user_id FROM ev WHERE event_id = last_event) AND "
-        f"a.nxt = a.last_event AND a.gs < {W})"
-    )
+def _window_sums(keep: str, w: int = W, where: str = "true") -> str:
     return f"""
-WITH {BASE}, {windows_cte(tail)}
+WITH {BASE}, {windows_cte(keep, w)}
 SELECT machine_id, property_id, window_no, trigger_seq, CAST(len(vals) AS BIGINT) AS n_values,
        round(list_sum(vals), 6) AS sum_values
-FROM win
+FROM win WHERE {where}
+"""
+
+
+def tail_flush(w: int = W) -> str:
+    return _window_sums(
+        f"(a.gs >= {w} AND a.nxt IS NOT NULL) OR "
+        f"(a.user_id = (SELECT user_id FROM ev WHERE event_id = last_event) AND "
+        f"a.nxt = a.last_event AND a.gs < {w})", w)
+
+
+def tail_file(where: str = "true") -> str:
+    return _window_sums(f"a.gs >= {W} AND a.nxt IS NOT NULL AND a.nxt <> a.last_event", where=where)
+
+
+def warm_kmeans_discrete() -> str:
+    """The fold on the value's whole part modulo 3."""
+    return warm_kmeans().replace(
+        "FROM events)", "FROM (SELECT * REPLACE (((floor(value)::BIGINT % 3 + 3) % 3)::DOUBLE AS value) FROM events))")
+
+
+def scan_triples() -> str:
+    return f"SELECT * EXCLUDE (line) FROM ({parse_triples()})"
+
+
+def anomaly_sink(system_uri: str) -> str:
+    return f"SELECT value FROM ({anomaly_triples(system_uri)})"
+
+
+def rejects() -> str:
+    return """
+WITH e AS (SELECT event_id, user_id, 'ObservationGroup_' || event_id AS g FROM events),
+known AS (SELECT * FROM e WHERE event_id % 7 <> 0 AND event_id % 19 <> 0)
+SELECT 'group without machine' AS reason, g AS item FROM e WHERE event_id % 7 = 0
+UNION ALL SELECT 'unknown machine', g FROM e WHERE event_id % 7 <> 0 AND event_id % 19 = 0
+UNION ALL SELECT 'unknown property', g || '/_unknown' FROM known WHERE event_id % 13 = 0
+UNION ALL SELECT 'value is not numeric', g || '/_' || (user_id % 5) || '_0' FROM known
+          WHERE event_id % 11 = 0 AND event_id % 13 <> 0
+UNION ALL SELECT 'subject is not a name#local term', '<broken> line ' || event_id FROM e WHERE event_id % 17 = 0
+UNION ALL SELECT 'stateful property without its parameters', 'MachineModel_4/_4_1' FROM (SELECT DISTINCT user_id % 5 AS m FROM e) WHERE m = 4
 """
 
 
