@@ -361,7 +361,10 @@ def repeated_bytes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
     ``length`` repeats nothing; an empty table gives an empty result. Only doc_id, text and ``keep`` are read.
     """
     found = _all_runs(docs, length, gram)
-    groups = found.groupBy("g").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).where("n > 1")
+    # written, so that the join below reads two plain exchanges, of which Spark can split a hot anchor's side
+    groups = stored(
+        found.groupBy("g").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).where("n > 1"), "repeats-anchors"
+    )
     # an anchor met once marks no repeat; one whose spans are all equal marks them whole; the others are looked into
     flagged = stored(
         found.join(groups.select("g", (F.col("low") != F.col("high")).alias("mixed")), "g").select("k1", "k2", "g", "p", "place", "mixed"),
