@@ -212,12 +212,20 @@ QUERIES = {
 # ---------------------------------------------------------------------------------------------
 # N-Triples path: events rendered as triples text, then parsed and assembled by the library.
 
+_RENDERED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _event_triples(spark: SparkSession, data_dir: str):
+    """The events as lines, rendered and written once per session and folder."""
+    from anomark.session import stored
     from anomark.sources.events import groups_from_events, observations_from_events
     from anomark.sources.triples import render_observation_triples
 
-    ev = _events(spark, data_dir)
-    return render_observation_triples(groups_from_events(ev), observations_from_events(ev))
+    key = (spark.sparkContext.applicationId, data_dir)
+    if key not in _RENDERED:
+        ev = _events(spark, data_dir)
+        _RENDERED[key] = stored(render_observation_triples(groups_from_events(ev), observations_from_events(ev)), "rendered")
+    return _RENDERED[key]
 
 
 def _metadata_triples(spark: SparkSession, data_dir: str):

@@ -1,11 +1,8 @@
-"""Small hand-made detector inputs and a brute-force sequential model of the detector."""
+"""Small hand-made detector inputs and a sequential model of the detector that shares no code with it."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from anomark.functions.kmeans import warm_step
-from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
+from collections import Counter, defaultdict
 
 
 def build_inputs(spark, events, params):
@@ -30,31 +27,78 @@ def build_inputs(spark, events, params):
     return g, o, machines, mp
 
 
+def model_kmeans(values, seeds):
+    """Lloyd rounds from ``seeds`` until the mean distance moves by at most 1e-5."""
+    centres, before = list(seeds), float("inf")
+    while True:
+        members = [[] for _ in centres]
+        distance = 0.0
+        for v in values:
+            gaps = [abs(v - c) for c in centres]
+            members[gaps.index(min(gaps))].append(v)
+            distance += min(gaps)
+        centres = [sum(m) / len(m) for m in members if m]
+        distance /= len(values)
+        if abs(before - distance) <= 1e-5:
+            return centres
+        before = distance
+
+
+def model_labels(values, centres):
+    out = []
+    for v in values:
+        gap = min(abs(c - v) for c in centres)
+        out.append(centres.index(max(c for c in centres if abs(c - v) == gap)))
+    return out
+
+
+def model_chain(labels, n_centres, threshold, n):
+    """(index, probability) of the first chain of n transitions below the threshold, or None."""
+    steps = list(zip(labels, labels[1:]))
+    out_of, pair = Counter(a for a, _ in steps), Counter(steps)
+    p = [1.0 if n_centres == 1 else pair[s] / out_of[s[0]] for s in steps]
+    n = min(n, len(p))
+    run = 1.0
+    for factor in p[:n]:
+        run *= factor
+        if run < threshold:
+            return 0, run
+    for start in range(1, len(p) - n + 1):
+        if p[start - 1] != p[start + n - 1]:
+            run = run / p[start - 1] * p[start + n - 1]
+        if run < threshold:
+            return start, run
+    return None
+
+
 def simulate(events, params, W, N):
     """Sequential dispatcher: the window of W events is evaluated when the machine's next
     event arrives; first report per (property, timestamp id) wins. Returns emission order."""
     window = defaultdict(list)
-    state = defaultdict(dict)
-    reported = defaultdict(set)
+    carried = {}
+    reported = set()
     out = []
     for i, (m, _props) in enumerate(events):
         if len(window[m]) == W:
-            data = []
+            seen = defaultdict(list)
             for j in window[m]:
                 for p, vs in events[j][1].items():
-                    for v in vs if isinstance(vs, list) else [vs]:
-                        data.append((f"T{j}", p, float(v)))
-            for p in sorted({d[1] for d in data}):
-                vals = [v for _, q, v in data if q == p]
-                tids = [t for t, q, _ in data if q == p]
-                k, thr = params[p]
-                cent, st, _ = warm_step(state[m].get(p), vals, k, 1e-5)
-                state[m][p] = st
-                pr = transition_probabilities(labels_of(vals, cent), len(cent))
-                found, idx, prob = first_anomaly(pr, thr, N)
-                if found and tids[idx] not in reported[p]:
-                    reported[p].add(tids[idx])
-                    out.append((m, p, tids[idx], prob))
+                    seen[p] += [(float(v), f"T{j}") for v in (vs if isinstance(vs, list) else [vs])]
+            for p in sorted(seen):
+                values = [v for v, _ in seen[p]]
+                k, threshold = params[p]
+                if (m, p) not in carried:
+                    centres = model_kmeans(values, list(dict.fromkeys(values))[:k])
+                else:
+                    centres, gone = carried[m, p]
+                    new = values[-1]
+                    if new != gone and new not in centres:
+                        centres = model_kmeans(values, centres + [new] if len(centres) < k else centres)
+                carried[m, p] = centres, values[0]
+                hit = model_chain(model_labels(values, centres), len(centres), threshold, N)
+                if hit and (p, seen[p][hit[0]][1]) not in reported:
+                    reported.add((p, seen[p][hit[0]][1]))
+                    out.append((m, p, seen[p][hit[0]][1], hit[1]))
             window[m].pop(0)
         window[m].append(i)
     return out

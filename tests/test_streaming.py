@@ -34,3 +34,23 @@ def test_stream_equals_batch(spark):
         start_stage_b(spark, src, machines, mp, out, ckpt, CFG).awaitTermination()
     got = sorted((r.machine_id, r.timestamp_id, r.probability, r.anomaly_no) for r in spark.read.parquet(out).collect())
     assert got == want and len(want) > 0
+
+
+def test_lost_offset_record_stops_the_query(spark):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    groups, obs, machines, mp = build_inputs(spark, EVENTS, PARAMS)
+    rows = groups.join(
+        obs.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("obs_pos", "property_id", "value"))).alias("obs")),
+        "group_id", "left",
+    ).select(
+        "machine_id", F.struct(F.lit("s").alias("file"), F.col("seq").alias("line")).alias("seq"),
+        "group_id", "timestamp_id", "timestamp_value", "obs",
+    )
+    src, out, other, ckpt = (scratch_path(spark, n) for n in ("lost-src", "lost-out", "lost-other", "lost-ckpt"))
+    rows.where("seq.line < 6").write.parquet(f"{src}/chunk=0")
+    start_stage_b(spark, src, machines, mp, out, ckpt, CFG).awaitTermination()
+    rows.where("seq.line >= 6").write.parquet(f"{src}/chunk=1")
+    with pytest.raises(StreamingQueryException):
+        start_stage_b(spark, src, machines, mp, other, ckpt, CFG).awaitTermination()
