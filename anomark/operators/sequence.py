@@ -1,75 +1,59 @@
 """Exact, skew-proof row positions: position within a key, and global numbering.
 
 A window ``row_number() over (partition by key order by seq)`` sends a whole key to one task,
-and one machine may hold a third of all events. Here the order column is cut into slices
-(``seq >> slice_bits`` for a numeric order; ``(file, line >> slice_bits)`` for a text
-position): rows are numbered inside (key, slice), which spreads a hot key over many tasks,
-and a small table of (key, slice) counts gives every slice its exact offset. Everything is a
-function of the data, so a recomputed task after a lost executor gets the same numbers.
+and one machine may hold a third of all events. Here the rows are dealt by range on (key, order)
+once, which cuts a hot key into several ranges, and written with the number of their range.
+Rows are numbered inside (key, range); a table of (key, range) counts, which has one row per key
+and one more per range, gives every range its exact offset. The written rows are read by all that
+follows, so the ranges are fixed whatever task is run again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_SLICE_BITS = 16
+from anomark.session import stored
 
-_SLICE = "__anomark_slice"
+_RANGE = "__anomark_range"
 _LOC = "__anomark_loc"
 _CNT = "__anomark_cnt"
 _OFF = "__anomark_off"
 
 
-def seq_slice(df: DataFrame, seq_col: str, slice_bits: int = DEFAULT_SLICE_BITS) -> Column:
-    """A coarse, order-preserving bucket of a sequence column (long or struct<file, line>)."""
-    dtype = df.schema[seq_col].dataType
-    c = F.col(seq_col)
-    if isinstance(dtype, T.StructType):
-        first, last = dtype.fieldNames()[0], dtype.fieldNames()[-1]
-        return F.struct(c[first].alias("a"), F.shiftright(c[last], slice_bits).alias("b"))
-    return F.shiftright(c, slice_bits)
-
-
 def position_within(
     df: DataFrame,
     key_cols: Sequence[str],
     order_cols: Sequence[str],
     out: str,
-    slice_bits: int = DEFAULT_SLICE_BITS,
     start: int = 1,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = position of the row inside its key, ordered by ``order_cols``.
 
-    The first order column must be a sequence column (long or struct<file, line>) and the
-    order must be unique within a key, which makes the numbering deterministic.
+    The order must be unique within a key, which makes the numbering deterministic. Writes the
+    rows once; ``ranges`` defaults to the session's shuffle partitions.
     """
     keys = list(key_cols)
-    sliced = df.withColumn(_SLICE, seq_slice(df, order_cols[0], slice_bits))
-    local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
-    numbered = sliced.withColumn(_LOC, F.row_number().over(local))
-    counts = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias(_CNT))
-    before = (Window.partitionBy(*keys) if keys else Window).orderBy(_SLICE).rowsBetween(
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = stored(df.repartitionByRange(n, *keys, *order_cols).withColumn(_RANGE, F.spark_partition_id()), "numbering")
+    local = Window.partitionBy(*keys, _RANGE).orderBy(*order_cols)
+    numbered = held.withColumn(_LOC, F.row_number().over(local))
+    counts = held.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias(_CNT))
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy(_RANGE).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.select(*keys, _SLICE, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    offsets = counts.select(*keys, _RANGE, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
     return (
-        numbered.join(offsets, [*keys, _SLICE])
+        numbered.join(offsets, [*keys, _RANGE])
         .withColumn(out, (F.col(_LOC) + F.col(_OFF) + F.lit(start - 1)).cast("bigint"))
-        .drop(_SLICE, _LOC, _OFF)
+        .drop(_RANGE, _LOC, _OFF)
     )
 
 
-def number_rows(
-    df: DataFrame,
-    order_cols: Sequence[str],
-    out: str,
-    slice_bits: int = DEFAULT_SLICE_BITS,
-    start: int = 0,
-) -> DataFrame:
+def number_rows(df: DataFrame, order_cols: Sequence[str], out: str, start: int = 0, ranges: int | None = None) -> DataFrame:
     """Add ``out`` = global position in ``order_cols`` order, without a single-task window
-    over the rows (only the per-slice counts meet in one task)."""
-    return position_within(df, [], order_cols, out, slice_bits=slice_bits, start=start)
+    over the rows (only the per-range counts meet in one task)."""
+    return position_within(df, [], order_cols, out, start=start, ranges=ranges)

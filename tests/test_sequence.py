@@ -12,7 +12,7 @@ def test_position_within_hot_key(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"),
         (F.col("id") * 7919 % 1000003).alias("seq"),
     )
-    got = position_within(df, ["k"], ["seq"], "pos", slice_bits=8)
+    got = position_within(df, ["k"], ["seq"], "pos", ranges=13)
     want = df.withColumn("pos2", F.row_number().over(Window.partitionBy("k").orderBy("seq")))
     j = got.join(want, ["k", "seq"])
     assert j.count() == n
@@ -21,6 +21,6 @@ def test_position_within_hot_key(spark):
 
 def test_number_rows_global(spark):
     df = spark.range(5000).select((F.col("id") * 31 % 5003).alias("seq"))
-    got = number_rows(df, ["seq"], "no", slice_bits=6)
+    got = number_rows(df, ["seq"], "no", ranges=9)
     rows = got.orderBy("seq").collect()
     assert [r.no for r in rows] == list(range(5000))
