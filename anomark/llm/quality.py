@@ -23,7 +23,7 @@ REPEAT_PERCENT = 50
 # cell's documents are alike.
 RATIOS = {
     "symbol_ratio": ("n_symbols", "n_words", 0.05),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.10),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.20),
     "repeat_ratio": ("n_repeat_words", "n_words", 0.10),
     "word_length": ("word_chars", "n_words", 1.0),
 }
