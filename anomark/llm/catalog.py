@@ -92,5 +92,6 @@ QUERIES = {
 
 ORACLES = {
     "op7_quality": oracles.quality(),
+    "op8_repeats": oracles.repeats(),
     "op10_secrets": oracles.secrets(),
 }

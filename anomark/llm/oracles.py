@@ -85,3 +85,27 @@ SELECT doc_id, coalesce(a, 0)::bigint AS n_assign, coalesce(c, 0)::bigint AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s ON s.uid = d.uid
 """
+
+
+def repeats(length: int = 200) -> str:
+    """Bytes as hexadecimal text, every window by its md5, removed stretches as islands of repeated windows."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- blocks first: a substring costs its distance from the beginning
+q AS (SELECT uid, j, substr(h, 2 * j + 1, {2 * (500 + length - 1)}) AS part
+      FROM (SELECT uid, h, unnest(range(0, length(h) // 2, 500)) AS j FROM d WHERE length(h) >= {2 * length})),
+p AS (SELECT uid, j, part, unnest(range(0, least(500, length(part) // 2 - {length - 1}))) AS k FROM q WHERE length(part) >= {2 * length}),
+w AS (SELECT uid, j + k AS k, md5(substr(part, 2 * k + 1, {2 * length})) AS m FROM p),
+r AS (SELECT uid, k FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT uid, k, sum(fresh) OVER (PARTITION BY uid ORDER BY k) AS n
+      FROM (SELECT uid, k, CASE WHEN k <= lag(k) OVER (PARTITION BY uid ORDER BY k) + {length} THEN 0 ELSE 1 END AS fresh FROM r)),
+cut AS (SELECT uid, n, min(k) AS start, max(k) + {length} AS stop FROM g GROUP BY uid, n),
+c AS (SELECT uid, list(start ORDER BY start) AS a, list(stop ORDER BY start) AS b FROM cut GROUP BY uid),
+o AS (SELECT d.uid, doc_id, h, coalesce(a, []) AS a, coalesce(b, []) AS b FROM d LEFT JOIN c ON c.uid = d.uid),
+s AS (SELECT *, list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * coalesce(b[i], 0) + 1,
+             2 * (coalesce(a[i + 1], length(h) // 2) - coalesce(b[i], 0)))) AS kept FROM o)
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes,
+       coalesce(list_sum(b) - list_sum(a), 0)::bigint AS n_removed, len(a)::bigint AS n_spans,
+       sha256(unhex(array_to_string(kept, ''))) AS kept_sha256
+FROM s
+"""
