@@ -496,22 +496,26 @@ def q_stream_equals_batch(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Text to anomalies as two streams: N-Triples files -> stage A -> stage B."""
+    """Text to anomalies as two streams: N-Triples files -> stage A -> stage B. Files and arrivals are
+    cut inside observation groups; the end-of-stream line comes last."""
     from anomark.session import scratch_path
+    from anomark.sources.triples import END_OF_STREAM
     from anomark.streaming.stage_a import start_stage_a
     from anomark.streaming.stage_b import start_stage_b
 
-    ev = _events(spark, data_dir)
-    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
     lines = _event_triples(spark, data_dir)
-    lines = lines.withColumn("chunk", _chunk_of(F.col("event"), lo, hi))
+    lo, hi = lines.agg(F.min("seq.line"), F.max("seq.line")).first()
+    lines = lines.withColumn("chunk", _chunk_of(F.col("seq.line"), lo, hi))
     txt, evdir, out = (scratch_path(spark, n) for n in ("stream-triples", "stream-events", "stream-anomalies"))
     ckpt_a, ckpt_b = scratch_path(spark, "ckpt-a"), scratch_path(spark, "ckpt-b")
     machines, model_properties = _parsed_metadata(spark, data_dir)
-    for c in range(STREAM_CHUNKS):
-        # files of whole observation groups, range-cut by event and named in stream order
-        (lines.where(F.col("chunk") == c).repartitionByRange(4, "event").sortWithinPartitions("seq.line")
-         .select("value").write.text(f"{txt}/chunk={c:05d}"))
+    end = spark.range(1).select(F.lit(END_OF_STREAM).alias("value"))
+    for c in range(STREAM_CHUNKS + 1):
+        if c < STREAM_CHUNKS:
+            arrival = lines.where(F.col("chunk") == c).repartitionByRange(3, "seq.line").sortWithinPartitions("seq.line").select("value")
+        else:
+            arrival = end
+        arrival.write.text(f"{txt}/chunk={c:05d}")
         start_stage_a(spark, txt, machines, model_properties, evdir, ckpt_a).awaitTermination()
         start_stage_b(spark, evdir, machines, model_properties, out, ckpt_b).awaitTermination()
     return _stream_result(spark, out).drop("trigger_seq")
