@@ -1,4 +1,4 @@
-"""One-dimensional Lloyd k-means with a warm start: the only Python kernel of the library.
+"""One-dimensional Lloyd k-means with a warm start: the only Python kernel of the detector.
 
 It runs inside ``mapInArrow`` tasks on windows that Spark has already partitioned by
 (machine, property) and sorted by window number; one call handles one window (W values).
@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 Centroids = list[float]
 State = tuple[Centroids, float]  # (centroids, first value of the window just evaluated)
 
@@ -60,6 +62,36 @@ def lloyd_1d(values: Sequence[float], seeds: Sequence[float], tol: float) -> Cen
         prev_avg = avg
 
 
+def lloyd_windows(values: np.ndarray, seeds: np.ndarray, tol: float) -> np.ndarray:
+    """``lloyd_1d`` of many windows of one length at once: values (n, W), seeds (n, K) padded with NaN.
+
+    Sums run over the window's places in order, so every result equals ``lloyd_1d``'s bit for bit;
+    a centroid without members becomes NaN in its place.
+    """
+    cent = seeds.astype(float)
+    before = np.full(len(values), np.inf)
+    live = np.arange(len(values))
+    while len(live):
+        v, c = values[live], cent[live]
+        gap = np.abs(v[:, :, None] - c[:, None, :])
+        gap[np.isnan(gap)] = np.inf
+        best = gap.argmin(axis=2)
+        near = gap.min(axis=2)
+        sums, counts, total = np.zeros_like(c), np.zeros_like(c), np.zeros(len(live))
+        rows = np.arange(len(live))
+        for w in range(v.shape[1]):
+            sums[rows, best[:, w]] += v[:, w]
+            counts[rows, best[:, w]] += 1
+            total += near[:, w]
+        with np.errstate(invalid="ignore"):
+            cent[live] = sums / counts
+        mean = total / v.shape[1]
+        moved = ~(np.abs(before[live] - mean) <= tol)
+        before[live] = mean
+        live = live[moved]
+    return cent
+
+
 def warm_step(
     state: State | None,
     values: Sequence[float],

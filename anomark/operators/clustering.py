@@ -8,13 +8,14 @@ over partitions hashed on the key and sorted by window, keeping only the current
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anomark.config import DetectorConfig
-from anomark.functions.kmeans import first_distinct, lloyd_1d, warm_step
+from anomark.functions.kmeans import first_distinct, lloyd_windows, warm_step
 from anomark.operators.markov import bind
 
 KEY = ["machine_id", "property_id"]
@@ -37,7 +38,17 @@ def cold_kmeans(windows: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
         for batch in batches:
             vals = batch.column("values").to_pylist()
             ks = batch.column("num_clusters").to_pylist()
-            cents = [lloyd_1d(v, first_distinct(v, k), tol) for v, k in zip(vals, ks)]
+            by_length: dict[int, list[int]] = {}
+            for i, v in enumerate(vals):
+                by_length.setdefault(len(v), []).append(i)
+            cents: list = [None] * len(vals)
+            for rows in by_length.values():
+                seeds = [first_distinct(vals[i], ks[i]) for i in rows]
+                width = max(map(len, seeds))
+                padded = np.array([x + [np.nan] * (width - len(x)) for x in seeds])
+                found = lloyd_windows(np.array([vals[i] for i in rows]), padded, tol)
+                for i, c in zip(rows, found):
+                    cents[i] = c[~np.isnan(c)].tolist()
             yield batch.append_column("centroids", pa.array(cents, pa.list_(pa.float64())))
 
     return windows.mapInArrow(run, schema)

@@ -68,3 +68,19 @@ def test_m6_threshold_test_is_strict():
 def test_first_run_reports_partial_product():
     found, idx, prob = first_anomaly([0.1, 0.9, 0.9], 0.2, 3)
     assert (found, idx, prob) == (True, 0, 0.1)
+
+
+def test_windows_at_once_equal_one_by_one():
+    import random
+
+    import numpy as np
+
+    from anomark.functions.kmeans import first_distinct, lloyd_windows
+
+    rng = random.Random(2)
+    for digits in (0, 1, 6):
+        values = [[round(rng.uniform(-5, 5), digits) for _ in range(10)] for _ in range(200)]
+        seeds = [first_distinct(v, rng.randint(1, 4)) for v in values]
+        padded = np.array([s + [np.nan] * (4 - len(s)) for s in seeds])
+        got = [c[~np.isnan(c)].tolist() for c in lloyd_windows(np.array(values), padded, 1e-5)]
+        assert got == [lloyd_1d(v, s, 1e-5) for v, s in zip(values, seeds)]
