@@ -54,3 +54,18 @@ def test_lost_offset_record_stops_the_query(spark):
     rows.where("seq.line >= 6").write.parquet(f"{src}/chunk=1")
     with pytest.raises(StreamingQueryException):
         start_stage_b(spark, src, machines, mp, other, ckpt, CFG).awaitTermination()
+
+
+def test_unfinished_group_is_carried(spark):
+    from anomark.streaming.stage_a import complete_groups
+
+    rows = [("f", 0, "G0", "type", "MoldingMachineObservationGroup"), ("f", 1, "G0", "machine", "M"),
+            ("f", 2, "G1", "type", "MoldingMachineObservationGroup"), ("f", 3, "G1", "machine", "M")]
+    triples = spark.createDataFrame(rows, "file string, line long, s string, p string, o string").select(
+        F.struct("file", "line").alias("seq"), "s", "p", "o")
+    done, carry = complete_groups(triples, ended=False)
+    assert [r.s for r in done.collect()] == ["G0", "G0"] and [r.s for r in carry.collect()] == ["G1", "G1"]
+    done, carry = complete_groups(triples, ended=True)
+    assert done.count() == 4 and carry.count() == 0
+    done, carry = complete_groups(triples.where("p = 'machine'"), ended=False)
+    assert done.count() == 0 and carry.count() == 2
