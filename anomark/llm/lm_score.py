@@ -105,6 +105,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 65_536, weight
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     ids = {bytes(r["word"]): k + 2 for k, r in enumerate(top)}
     marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
+    marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
     marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").select("text", F.coalesce("__hit", F.lit(False)).alias("target"))
     size = len(ids) + 2
     sums = [np.zeros(size), np.zeros(size), np.zeros(BUCKETS), np.zeros(BUCKETS)]
