@@ -374,10 +374,10 @@ def repeated_bytes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
     distinct = stored(
         mixed.groupBy("g", "p").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at")), "repeats-distinct"
     )
-    large = distinct.groupBy("g").agg((F.count("*") > group_limit).alias("large"))
-    wanted = (
-        distinct.join(large, "g").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("g", "p", "n", "at.place", "large")).alias("parts"))
-    )
+    # few rows: at most one in ``group_limit`` of the distinct runs
+    large = stored(distinct.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > group_limit).select("g"), "repeats-large")
+    sized = distinct.join(large.withColumn("hot", F.lit(True)), "g", "left").withColumn("large", F.coalesce("hot", F.lit(False)))
+    wanted = sized.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("g", "p", "n", "at.place", "large")).alias("parts"))
     spans = stored(_spans(docs, wanted, length), "repeats-spans")
     verdicts = stored(
         _sorted_verdicts(spans.where("NOT large").drop("large"), length).unionByName(
