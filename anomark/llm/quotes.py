@@ -91,27 +91,28 @@ def reply_links(parsed: DataFrame) -> DataFrame:
 
 
 def trees(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(msg_id, root, depth) by pointer doubling: each round every message that is not at its root jumps to its jump's jump."""
+    """(msg_id, root, depth) by pointer doubling: each round a message jumps to its jump's jump.
+
+    A message has arrived when the one it points to has; only the others are joined again."""
     now = stored(
         ids.join(links, "msg_id", "left").select(
-            "msg_id", F.coalesce("parent", "msg_id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")
+            "msg_id", F.coalesce("parent", "msg_id").alias("root"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("arrived"),
         ),
         "quotes-jumps",
     )
-    while True:
-        # a jump has arrived where it points to a message that points to itself
-        up = now.select(F.col("msg_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        jumped = now.where("root <> msg_id").join(up, "root")
-        done = stored(
-            now.where("root = msg_id").select("msg_id", "root", "depth").unionByName(
-                jumped.select("msg_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
-            ),
+    known, done = now, now.where("arrived")
+    while not (moving := now.where("NOT arrived")).isEmpty():
+        up = known.select(
+            F.col("msg_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("arrived").alias("there")
+        )
+        now = stored(
+            moving.join(up, "root").select("msg_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("arrived")),
             "quotes-jumps",
         )
-        sums = [d.agg(F.sum("depth"), F.sum(F.xxhash64("msg_id", "root").cast("decimal(38,0)"))).first() for d in (now, done)]
-        now = done
-        if sums[0] == sums[1]:
-            return now
+        known = done.unionByName(now)
+        done = done.unionByName(now.where("arrived"))
+    return done.select("msg_id", "root", "depth")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
