@@ -55,6 +55,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(utf8("text").alias("text")), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_count(counts: DataFrame, most: int, cuts: int = 64) -> int:
+    """The least count c for which at most ``most`` words have c or more: words of one count are in or out together.
+
+    A search by ``cuts`` numbers at a time; each round is one aggregate over the counts.
+    """
+    low, high = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1
+    while low < high:
+        tried = sorted({low + (high - low) * k // cuts for k in range(cuts)})
+        found = counts.agg(*(F.sum((F.col("n") >= c).cast("long")).alias(f"c{k}") for k, c in enumerate(tried))).first()
+        fits = [c for k, c in enumerate(tried) if (found[k] or 0) <= most]
+        if fits:
+            high = fits[0]
+        low = max([c + 1 for c in tried if c < high], default=low)
+    return high
+
+
 def encode(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
     """Start id 0, then the words' ids; words outside the vocabulary are id 1."""
     words = text.split()
@@ -100,9 +116,11 @@ def ngram_counts(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
 def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 65_536, weight: float = 0.5) -> Models:
     """docs(doc_id, text), target_ids(doc_id) -> both models. Null doc_ids are never targets; repeated ids count once.
 
-    What reaches the driver is bounded: ``vocabulary`` words and two tables of each size.
+    What reaches the driver is bounded: at most ``vocabulary`` words and two tables of each size.
     """
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    counts = stored(word_counts(docs), "lm-words")
+    frequent = counts.where(F.col("n") >= least_count(counts, vocabulary)).collect()
+    top = sorted(frequent, key=lambda r: (-r["n"], bytes(r["word"])))
     ids = {bytes(r["word"]): k + 2 for k, r in enumerate(top)}
     marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
     marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
