@@ -31,6 +31,21 @@ NONE = -(1 << 60)
 SCALE = 1 << 16
 _WORDS = re.compile(" *[^ ]+| +")
 _LOADED: dict[str, "Vocabulary"] = {}
+_BASE, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _hash_step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hash of a string one character longer."""
+    h = (h + code + np.uint64(1)) * np.uint64(_BASE)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(_STIR)
+
+
+def _string_hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h + ord(c) + 1) * _BASE % (1 << 64)
+        h = (h ^ (h >> 32)) * _STIR % (1 << 64)
+    return h
 
 
 class Vocabulary:
@@ -40,7 +55,7 @@ class Vocabulary:
     that is no piece becomes its UTF-8 bytes' pieces, each scored below every other piece.
     """
 
-    def __init__(self, model: str, remembered: int = 200_000):
+    def __init__(self, model: str, remembered: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -125,12 +140,113 @@ class Vocabulary:
                 self.known[text] = got
         return got
 
-    def encode(self, text: str) -> tuple[int, bytes]:
-        words = _WORDS.findall(text) if self.cuts else [text]
-        if not words or text == "":
-            return 0, b""
-        parts = list(map(self.word, words))
-        return sum(s for s, _ in parts), b"".join(ids for _, ids in parts)
+    def _tables(self) -> None:
+        """Pieces and their beginnings by the hash of their characters: an open table of 2^20 places with linear probing."""
+        texts = list(self.prefixes)
+        self._key = np.array([_string_hash(t) for t in texts], np.uint64)
+        self._id = np.array([self.id.get(t, -1) for t in texts], np.int64)
+        self._score = np.array([self.score.get(t, NONE) for t in texts], np.int64)
+        self._slot = np.full(1 << 20, -1, np.int32)
+        self._probes = 1
+        for k, place in enumerate((self._key >> np.uint64(44)).astype(np.int64).tolist()):
+            probes = 1
+            while self._slot[place] >= 0:
+                place, probes = (place + 1) % len(self._slot), probes + 1
+            self._slot[place] = k
+            self._probes = max(self._probes, probes)
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """Index of the piece or beginning with each hash, or -1."""
+        place = (h >> np.uint64(44)).astype(np.int64)
+        found = self._slot[place]
+        hit = (found >= 0) & (self._key[found] == h)
+        out = np.where(hit, found, -1)
+        for probe in range(1, self._probes):
+            again = np.flatnonzero((out < 0) & (found >= 0))
+            if not len(again):
+                break
+            found = np.full(len(h), -1, np.int32)
+            found[again] = self._slot[(place[again] + probe) % len(self._slot)]
+            hit = (found >= 0) & (self._key[found] == h)
+            out[hit] = found[hit]
+        return out
+
+    def learn(self, words: set[str], longest: int = 64) -> None:
+        """Best segmentations of many words at once: the same sums and ties as ``best``, word by word in one array row."""
+        if not hasattr(self, "_slot"):
+            self._tables()
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.remembered:
+            self.known.clear()
+            new = words
+        by_length: dict[int, list[str]] = {}
+        for w in new:
+            if len(w) <= longest:
+                by_length.setdefault(len(w), []).append(w)
+        for n, group in by_length.items():
+            for at in range(0, len(group), 8192):
+                self._learn(group[at : at + 8192], n)
+
+    def _learn(self, group: list[str], n: int) -> None:
+        codes = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(len(group), n).T.astype(np.uint64)
+        score = np.full((n + 1, len(group)), NONE, np.int64)
+        score[0] = 0
+        back = np.zeros((n + 1, len(group)), np.int64)
+        piece = np.zeros((n + 1, len(group)), np.int64)  # an id, or -1 - code point of a character that is no piece
+
+        def offer(j: int, rows: np.ndarray, total: np.ndarray, width: int, ids: np.ndarray) -> None:
+            better = total > score[j, rows]
+            rows = rows[better]
+            score[j, rows], back[j, rows], piece[j, rows] = total[better], width, ids[better]
+
+        for i in range(n):
+            live = np.arange(len(group))
+            h = np.zeros(len(group), np.uint64)
+            for width in range(1, min(self.longest, n - i) + 1):
+                h = _hash_step(h, codes[i + width - 1, live])
+                k = self._look_up(h)
+                if width == 1:
+                    alone = live[(k < 0) | (self._id[k] < 0)]
+                    if len(alone):
+                        c = codes[i, alone].astype(np.int64)
+                        size = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+                        offer(i + 1, alone, score[i, alone] + self.byte_score * size, 1, -1 - c)
+                begun = k >= 0
+                live, h, k = live[begun], h[begun], k[begun]
+                if not len(live):
+                    break
+                whole = self._id[k] >= 0
+                rows, k = live[whole], k[whole]
+                offer(i + width, rows, score[i, rows] + self._score[k], width, self._id[k])
+        at = np.full(len(group), n)
+        path = np.zeros((len(group), n), np.int64)
+        count = np.zeros(len(group), np.int64)
+        live = np.arange(len(group))
+        while len(live):
+            count[live] += 1
+            path[live, n - count[live]] = piece[at[live], live]
+            at[live] -= back[at[live], live]
+            live = live[at[live] > 0]
+        broken = (path < 0).any(axis=1).tolist()
+        flat = path.astype("<u4")
+        for row, (word, size, total) in enumerate(zip(group, count.tolist(), score[n].tolist())):
+            if broken[row]:
+                ids = [i for x in path[row, n - size :].tolist() for i in ([x] if x >= 0 else [self.byte_id[b] for b in chr(-1 - x).encode()])]
+                self.known[word] = (total, np.array(ids, "<u4").tobytes())
+            else:
+                self.known[word] = (total, flat[row, n - size :].tobytes())
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        parts = [_WORDS.findall(t) if self.cuts else [t] for t in texts]
+        self.learn(set().union(*parts))
+        known, out = self.known, []
+        for words in parts:
+            try:
+                got = [known[w] for w in words]
+            except KeyError:  # a word too long to keep
+                got = [known[w] if w in known else self.word(w) for w in words]
+            out.append((sum([s for s, _ in got]), b"".join([i for _, i in got])) if words != [""] else (0, b""))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -237,6 +353,19 @@ def trace(v: Vocabulary, text: str, lead: int, entry: np.ndarray, end: int) -> t
 KEY = "k1 bigint, k2 bigint"
 
 
+def _parts(texts: pa.Array, characters: int = 1 << 20) -> Iterator[list[str]]:
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(marked(text.as_py()))
+        size += len(held[-1])
+        if size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, score in 1/65536 nats, n_chunks, ids: little-endian 32-bit, decoded text).
 
@@ -251,11 +380,8 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            scores, ids = [], []
-            for text in batch.column(1):
-                s, i = v.encode(marked(text.as_py()))
-                scores.append(s)
-                ids.append(i)
+            found = [x for part in _parts(batch.column(1)) for x in v.encode_all(part)]
+            scores, ids = [s for s, _ in found], [i for _, i in found]
             texts = [v.decode(i).decode()[1:] for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.int64()), pa.array(np.ones(len(ids), np.int32)), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
