@@ -1,38 +1,35 @@
 """Cross-entropy difference: how much more a document looks like the target than like the background.
 
-Two interpolated bigram models, one of the target documents and one of all documents, have the same vocabulary (the
-``vocabulary`` most frequent words of all documents, and one id for the rest), the same bigram buckets and the same
-smoothing. A document's score is the mean over its tokens of the loss under the target model minus the loss under the
-background model: the lower, the closer to the target. Counts cover every word of every document; a task's counts are
-summed before they are shuffled. The models have a fixed size, so they can be sent to every task.
+Two interpolated bigram models, one of the target documents and one of all documents, have the same vocabulary and the
+same smoothing. A document's score is the mean over its tokens of the loss under the target model minus the loss under
+the background model: the lower, the closer to the target.
+
+1. A task numbers the words of about ``HELD_TOKENS`` tokens at a time and writes each (context, word) pair of these once,
+   with its counts and the documents that hold it. A pair that every document holds is so one row a chunk.
+2. Both models are one Spark table of exact pairs that grows with the input: their counts summed over the chunks, joined
+   with the counts of the context and of the word.
+3. The chunks' pairs are joined to their losses, which are summed per document as whole numbers, so that a score does not
+   depend on the order of the rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anomark.llm.common import map_batches, stored, utf8
 
-BUCKETS = 1 << 18
 HELD_WORDS = 300_000
-
-
-@dataclass
-class Models:
-    """ids of the shared vocabulary; log-probability parts of both models over the same ids and buckets."""
-
-    ids: dict[bytes, int]
-    unigram: np.ndarray  # (2, ids) probabilities
-    bigram: np.ndarray  # (2, buckets) counts
-    context: np.ndarray  # (2, ids) counts
-    weight: float
+HELD_TOKENS = 1_000_000
+HELD_BYTES = 64_000_000
+# No word is empty or has white space.
+START, REST = b"", b"\t"
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -71,105 +68,143 @@ def least_count(counts: DataFrame, most: int, cuts: int = 64) -> int:
     return high
 
 
-def encode(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
-    """Start id 0, then the words' ids; words outside the vocabulary are id 1."""
-    words = text.split()
-    return np.fromiter((0, *(ids.get(w, 1) for w in words)), np.int64, len(words) + 1)
-
-
 def buckets(ids: np.ndarray) -> np.ndarray:
-    h = (ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(46)).astype(np.int64)
-
-
-def ngram_counts(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """docs(text, target boolean) -> (table, slot, n): 0/1 unigrams of background/target, 2/3 bigram buckets."""
-    sent = docs.sparkSession.sparkContext.broadcast(ids)
+    """One number for each pair of neighbours; different pairs have different numbers (ids are below 2^31)."""
+    return ids[:-1].astype(np.int64) << 32 | ids[1:].astype(np.int64)
+
+
+class Numbers(dict):
+    """word -> its number among the words of a chunk; words outside ``known`` (None: no limit) are one word."""
+
+    def __init__(self, known: frozenset[bytes] | None):
+        self.known = known
+        self.of = {START: 0}
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.of.setdefault(word if self.known is None or word in self.known else REST, len(self.of))
+        self[word] = number
+        return number
+
+
+def chunk_rows(number: int, ids: pa.Array, targets: list[bool], seqs: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents (doc_id, n_tokens), then its pairs with counts and holders (document's place << 32 | count)."""
+    n = len(seqs)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array([len(s) - 1 for s in seqs], pa.int64()),
+         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.nulls(n, pa.int64()),) * 2, pa.nulls(n, pa.list_(pa.int64()))],
+        names=NAMES,
+    )
+    order = np.array(sorted(range(len(words)), key=words.__getitem__))
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    pairs, at = np.unique(np.concatenate([buckets(rank[s]) for s in seqs]), return_inverse=True)
+    if not len(pairs):
+        return
+    held, times = np.unique(at * n + np.repeat(np.arange(n), [len(s) - 1 for s in seqs]), return_counts=True)
+    pair, doc = held // n, held % n
+    first = np.searchsorted(pair, np.arange(len(pairs) + 1))
+    both = [np.add.reduceat(x, first[:-1]) for x in (times, times * np.array(targets)[doc])]
+    named = pa.array([words[k] for k in order], pa.binary())
+    posts = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(doc << 32 | times))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(pairs), number)), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), ids.type), pa.nulls(len(pairs), pa.int64()),
+         named.take(pa.array(pairs >> 32)), named.take(pa.array(pairs & 0xFFFFFFFF)), *map(pa.array, both), posts],
+        names=NAMES,
+    )
+    for k in range(0, len(pairs), 50_000):
+        yield whole.slice(k, 50_000)
+
+
+NAMES = ["chunk", "doc", "doc_id", "n_tokens", "context", "word", "n0", "n1", "posts"]
+
+
+def postings(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
+    """docs(doc_id, text, target boolean) -> a row per document and one per chunk and pair (n0 of all, n1 of the targets)."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        size = len(known) + 2
-        sums = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+        number = TaskContext.get().partitionId() << 32
+        ids, targets, seqs, numbers, tokens, size = [], [], [], Numbers(sent.value), 0, 0
+        kind = pa.null()
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
-                seq = encode(text.as_py(), known)
-                if len(seq) < 2:
-                    continue
-                one, two = np.bincount(seq, minlength=size) if len(seq) > 5000 else None, buckets(seq)
-                for which in (0, 1) if target else (0,):
-                    if one is None:
-                        np.add.at(sums[which], seq, 1)
-                    else:
-                        sums[which] += one
-                    np.add.at(sums[2 + which], two, 1)
-        for table, counts in enumerate(sums):
-            slots = np.flatnonzero(counts)
-            if len(slots):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(slots), table, np.int32)), pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["table", "slot", "n"]
-                )
-
-    rows = map_batches(docs.select(utf8("text").alias("text"), "target"), run, "table int, slot int, n bigint")
-    return rows.groupBy("table", "slot").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 65_536, weight: float = 0.5) -> Models:
-    """docs(doc_id, text), target_ids(doc_id) -> both models. Null doc_ids are never targets; repeated ids count once.
-
-    What reaches the driver is bounded: at most ``vocabulary`` words and two tables of each size.
+            kind = batch.schema.field(0).type
+            for i, text, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = text.as_py().split()
+                ids.append(i)
+                targets.append(target)
+                seqs.append(np.fromiter((0, *map(numbers.__getitem__, words)), np.int32, len(words) + 1))
+                tokens += len(words) + 1
+                size += len(text.as_py()) if len(words) < 2 else 0
+                if tokens >= HELD_TOKENS or size >= HELD_BYTES:
+                    yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
+                    number += 1
+                    ids, targets, seqs, numbers, tokens, size = [], [], [], Numbers(sent.value), 0, 0
+        if ids:
+            yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
+
+    of = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(
+        docs.select("doc_id", utf8("text").alias("text"), "target"),
+        run,
+        f"chunk bigint, doc int, doc_id {of}, n_tokens bigint, context binary, word binary, n0 bigint, n1 bigint, posts array<bigint>",
+    )
+
+
+def pair_losses(rows: DataFrame, weight: float) -> DataFrame:
+    """pair rows -> (context, word, loss0, loss1): loss of each pair under the background and the target model, in nats.
+
+    A word is counted where it is the second of a pair, the start where it is the first. The joins have the same plan at
+    every size, and each side comes from its own exchange, so that Spark can split a frequent word's.
     """
-    counts = stored(word_counts(docs), "lm-words")
-    frequent = counts.where(F.col("n") >= least_count(counts, vocabulary)).collect()
-    top = sorted(frequent, key=lambda r: (-r["n"], bytes(r["word"])))
-    ids = {bytes(r["word"]): k + 2 for k, r in enumerate(top)}
-    marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
-    marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
-    marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").select("text", F.coalesce("__hit", F.lit(False)).alias("target"))
-    size = len(ids) + 2
-    sums = [np.zeros(size), np.zeros(size), np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for part in stored(ngram_counts(marked, ids), "lm-counts").toArrow().to_batches():
-        table, slot, n = (c.to_numpy() for c in part.columns)
-        for k in range(4):
-            sums[k][slot[table == k]] = n[table == k]
-    one = np.stack(sums[:2])
-    words = one.copy()
-    words[:, 0] = 0  # the start is never predicted
-    unigram = (words + 1) / (words.sum(axis=1, keepdims=True) + size)
-    return Models(ids, unigram, np.stack(sums[2:]), one, weight)
-
-
-def losses(seq: np.ndarray, models: Models) -> np.ndarray:
-    """(2, tokens): loss of each token under the background and the target model, in nats."""
-    two = buckets(seq)
-    seen = models.context[:, seq[:-1]]
-    share = np.minimum(models.bigram[:, two], seen) / np.maximum(seen, 1)
-    return -np.log(models.weight * share + (1 - models.weight) * models.unigram[:, seq[1:]])
+    ends = rows.select("word", "n0", "n1").unionAll(rows.where(F.col("context") == F.lit(START)).select(F.col("context"), "n0", "n1"))
+    words = stored(ends.groupBy("word").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")), "lm-words")
+    real = words.where(F.col("word") != F.lit(START))
+    total = real.agg(F.sum("c0"), F.sum("c1"), F.sum((F.col("word") != F.lit(REST)).cast("long"))).first()
+    size = (total[2] or 0) + 2
+    before = words.select(F.col("word").alias("context"), F.col("c0").alias("a0"), F.col("c1").alias("a1"))
+    counts = rows.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    known = counts.join(before.hint("merge"), "context").join(real.hint("merge"), "word")
+
+    def loss(k: int) -> F.Column:
+        share = F.col(f"n{k}") / F.greatest(F.col(f"a{k}"), F.lit(1))
+        return -F.log(F.lit(weight) * share + F.lit(1 - weight) * (F.col(f"c{k}") + 1) / F.lit(float((total[k] or 0) + size)))
+
+    return known.select("context", "word", loss(0).alias("loss0"), loss(1).alias("loss1"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 65_536, weight: float = 0.5) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_tokens, target_loss, background_loss, difference (per token).
+    """docs(doc_id, text), target_ids(doc_id) -> doc_id, n_tokens, target_loss, background_loss, difference (per token).
 
-    A null text or one without words has no tokens and null losses. Repeated rows are counted and scored one by one. Without
-    targets the target model knows its smoothing only. An empty table gives an empty result. Other columns are not read.
+    The vocabulary is the ``vocabulary`` most frequent words of all documents, and one id for the rest. Null doc_ids are
+    never targets; repeated ids count once. A null text or one without words has no tokens and null losses. Repeated rows
+    are counted and scored one by one. Without targets the target model knows its smoothing only. An empty table gives an
+    empty result. Other columns are not read.
     """
-    models = fit(docs, target_ids, vocabulary, weight)
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            counts, target, background = [], [], []
-            for text in batch.column(1):
-                seq = encode(text.as_py(), m.ids)
-                counts.append(len(seq) - 1)
-                loss = losses(seq, m).mean(axis=1).tolist() if len(seq) > 1 else (None, None)
-                background.append(loss[0])
-                target.append(loss[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(docs.select("doc_id", utf8("text").alias("text")), run, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
-    return rows.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    counted = stored(word_counts(docs), "lm-vocabulary")
+    known = frozenset(bytes(r["word"]) for r in counted.where(F.col("n") >= least_count(counted, vocabulary)).select("word").collect())
+    marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
+    marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
+    marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__hit", F.lit(False)).alias("target"))
+    held = stored(postings(marked, known), "lm-postings")
+    pairs = held.where("context IS NOT NULL")
+    losses = stored(pair_losses(pairs, weight), "lm-losses")
+    sums = []
+    for k in (0, 1):  # a loss is high / 2^20 + low / 2^52, both whole
+        scaled = F.col(f"loss{k}") * float(1 << 20)
+        sums += [F.floor(scaled).alias(f"high{k}"), F.round((scaled - F.floor(scaled)) * float(1 << 32)).cast("long").alias(f"low{k}")]
+    parts = [f"{p}{k}" for k in (0, 1) for p in ("high", "low")]
+    found = (
+        pairs.select("chunk", "context", "word", "posts")
+        .join(losses.select("context", "word", *sums).hint("merge"), ["context", "word"])
+        .select("chunk", F.explode("posts").alias("post"), *parts)
+        .select("chunk", F.shiftright("post", 32).cast("int").alias("doc"), F.col("post").bitwiseAND(0xFFFFFFFF).alias("n"), *parts)
+        .groupBy("chunk", "doc").agg(*(F.sum(F.col("n") * F.col(p)).alias(p) for p in parts))
+    )
+    each = held.where("context IS NULL").select("chunk", "doc", "doc_id", "n_tokens")
+
+    def mean(k: int) -> F.Column:
+        return (F.col(f"high{k}") + F.col(f"low{k}") / float(1 << 32)) / float(1 << 20) / F.col("n_tokens")
+
+    scored = each.join(found.hint("merge"), ["chunk", "doc"], "left")
+    scored = scored.select("doc_id", "n_tokens", mean(1).alias("target_loss"), mean(0).alias("background_loss"))
+    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -366,6 +366,26 @@ def test_cross_entropy_difference(spark, docs, no_docs, rows):
     assert lm_score.cross_entropy_difference(no_docs, good).count() == 0
 
 
+def test_pairs_are_counted_exactly(spark):
+    """More distinct pairs than any fixed table of 2^18 counts tells apart."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(4000)) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(frame, frame.where("doc_id < 10").select("doc_id")).collect()}
+    often = Counter(w for t in texts for w in t.split())
+    for name, chosen in (("background_loss", texts), ("target_loss", texts[:10])):
+        one, two = Counter(), Counter()
+        for t in chosen:
+            s = ["", *t.split()]
+            one.update(s)
+            two.update(zip(s, s[1:]))
+        total = sum(n for w, n in one.items() if w)
+        for i, t in enumerate(texts[:20]):
+            s = ["", *t.split()]
+            want = np.mean([-np.log(0.5 * two[a, b] / max(one[a], 1) + 0.5 * (one[b] + 1) / (total + len(often) + 2)) for a, b in zip(s, s[1:])])
+            assert abs(got[i][name] - want) < 1e-9
+
+
 # --- language
 
 
