@@ -1,7 +1,7 @@
 """Cross-entropy difference: how much more a document looks like the target than like the background.
 
-Two interpolated bigram models, one of the target documents and one of all documents, have the same vocabulary and the
-same smoothing. A document's score is the mean over its tokens of the loss under the target model minus the loss under
+Two interpolated bigram models, one of the target documents and one of all documents, have the same vocabulary (every
+word of all documents, unless a caller limits it) and the same smoothing. A document's score is the mean over its tokens of the loss under the target model minus the loss under
 the background model: the lower, the closer to the target.
 
 1. A task numbers the words of about ``HELD_TOKENS`` tokens at a time and writes each (context, word) pair of these once,
@@ -14,6 +14,7 @@ the background model: the lower, the closer to the target.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,19 +28,23 @@ from anomark.llm.common import map_batches, stored, utf8
 
 HELD_WORDS = 300_000
 HELD_TOKENS = 1_000_000
-HELD_BYTES = 64_000_000
 # No word is empty or has white space.
 START, REST = b"", b"\t"
 
 
+def word_key(word: bytes) -> bytes:
+    """A word as it is, or a 128-bit hash of a long one, after a byte that no word has."""
+    return word if len(word) <= 16 else b"\n" + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; words are split at ASCII white space."""
+    """(key of the word, n) over all documents; words are split at ASCII white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                held.update(text.as_py().split())
+                held.update(map(word_key, text.as_py().split()))
                 if len(held) > HELD_WORDS:
                     yield batch_of(held)
                     held.clear()
@@ -74,15 +79,17 @@ def buckets(ids: np.ndarray) -> np.ndarray:
 
 
 class Numbers(dict):
-    """word -> its number among the words of a chunk; words outside ``known`` (None: no limit) are one word."""
+    """word -> its number among the words of a chunk; words with keys outside ``known`` (None: no limit) are one word."""
 
     def __init__(self, known: frozenset[bytes] | None):
         self.known = known
         self.of = {START: 0}
 
     def __missing__(self, word: bytes) -> int:
-        number = self.of.setdefault(word if self.known is None or word in self.known else REST, len(self.of))
-        self[word] = number
+        key = word_key(word)
+        number = self.of.setdefault(key if self.known is None or key in self.known else REST, len(self.of))
+        if len(word) <= 64:
+            self[word] = number
         return number
 
 
@@ -124,7 +131,7 @@ def postings(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, targets, seqs, numbers, tokens, size = [], [], [], Numbers(sent.value), 0, 0
+        ids, targets, seqs, numbers, tokens = [], [], [], Numbers(sent.value), 0
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -134,11 +141,10 @@ def postings(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
                 targets.append(target)
                 seqs.append(np.fromiter((0, *map(numbers.__getitem__, words)), np.int32, len(words) + 1))
                 tokens += len(words) + 1
-                size += len(text.as_py()) if len(words) < 2 else 0
-                if tokens >= HELD_TOKENS or size >= HELD_BYTES:
+                if tokens >= HELD_TOKENS:
                     yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
                     number += 1
-                    ids, targets, seqs, numbers, tokens, size = [], [], [], Numbers(sent.value), 0, 0
+                    ids, targets, seqs, numbers, tokens = [], [], [], Numbers(sent.value), 0
         if ids:
             yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
 
@@ -172,16 +178,19 @@ def pair_losses(rows: DataFrame, weight: float) -> DataFrame:
     return known.select("context", "word", loss(0).alias("loss0"), loss(1).alias("loss1"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 65_536, weight: float = 0.5) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, weight: float = 0.5) -> DataFrame:
     """docs(doc_id, text), target_ids(doc_id) -> doc_id, n_tokens, target_loss, background_loss, difference (per token).
 
-    The vocabulary is the ``vocabulary`` most frequent words of all documents, and one id for the rest. Null doc_ids are
+    The vocabulary is every word of all documents; with ``vocabulary`` it is at most so many of the most frequent ones (those
+    of one count in or out together), collected and sent to the tasks, and one word stands for the rest. Null doc_ids are
     never targets; repeated ids count once. A null text or one without words has no tokens and null losses. Repeated rows
     are counted and scored one by one. Without targets the target model knows its smoothing only. An empty table gives an
     empty result. Other columns are not read.
     """
-    counted = stored(word_counts(docs), "lm-vocabulary")
-    known = frozenset(bytes(r["word"]) for r in counted.where(F.col("n") >= least_count(counted, vocabulary)).select("word").collect())
+    known = None
+    if vocabulary is not None:
+        counted = stored(word_counts(docs), "lm-vocabulary")
+        known = frozenset(bytes(r["word"]) for r in counted.where(F.col("n") >= least_count(counted, vocabulary)).select("word").collect())
     marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
     marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
     marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__hit", F.lit(False)).alias("target"))

@@ -386,6 +386,23 @@ def test_pairs_are_counted_exactly(spark):
             assert abs(got[i][name] - want) < 1e-9
 
 
+def test_every_word_is_its_own(spark):
+    """More distinct words than 65,536, all of one count, and a word of a megabyte."""
+    texts = [" ".join(f"w{k}" for k in range(n, n + 1000)) for n in range(0, 70_000, 1000)] + ["x" * (1 << 20), "x" * (1 << 20) + "y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = lm_score.cross_entropy_difference(frame, frame.where("doc_id = 0").select("doc_id")).collect()
+    size = 70_002 + 2
+    unigram = {0: 2 / (70_002 + size), 1: 2 / (1000 + size)}
+    first = {0: 1 / 72, 1: 1}
+    for r in got:
+        background = [first[0], *[1] * 999][: r["n_tokens"]]
+        assert r["n_tokens"] == (1000 if r["doc_id"] < 70 else 1)
+        assert abs(r["background_loss"] - np.mean([-np.log(0.5 * x + 0.5 * unigram[0]) for x in background])) < 1e-9
+        seen = r["doc_id"] == 0
+        target = -np.log(0.5 * seen + 0.5 * (unigram[1] if seen else 1 / (1000 + size)))
+        assert abs(r["target_loss"] - target) < 1e-9
+
+
 # --- language
 
 
