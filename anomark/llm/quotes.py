@@ -2,10 +2,13 @@
 
 1. A message's lines are parsed into passages: stretches of non-blank lines at one quote level ('>' marks).
 2. A passage is normalised (case, white space) and hashed. Level 0 passages are a message's own.
-3. A quoted passage's original is the first message with that passage as its own. Only one row per passage hash is
-   joined, so a passage that half of all messages quote meets one original, not all its holders.
-4. A message replies to the original of its least deep linked quotes; of several the one with most quoted characters,
-   then the latest. An original is earlier than the message that quotes it, so links form trees.
+3. Every earlier message with a quoted passage as its own may be the original. A passage is looked for alone, together
+   with the next passage one level deeper (which the original quotes itself), and together with all passages of its level
+   and of the level below. Each of these finds its nearest earlier holder and the number of earlier holders: quotes and
+   holders are ordered by (hash, message) in written ranges, so no pairs are formed and a frequent hash spreads.
+4. A message replies to the original of its least deep linked quotes; of several the one whose quote has the fewest
+   earlier holders, then the one found with more context, with most quoted characters, and the latest. An original is
+   earlier than the message that quotes it, so links form trees.
 5. Pointer doubling finds each message's conversation (its root) and depth in rounds of joins, as many as the
    logarithm of the deepest reply chain. Ordered by (depth, message) every message follows the one it replies to.
 """
@@ -15,12 +18,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomark.llm.common import map_batches, stored
+from anomark.llm.common import map_batches, stored, task_count
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 
@@ -48,46 +52,113 @@ def passage_hash(passage: str) -> bytes:
     return hashlib.blake2b(" ".join(passage.lower().split()).encode(), digest_size=16).digest()
 
 
+ALONE, WITH_NEXT, WITH_ALL = 2, 1, 0
+
+
+def context_hashes(found: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    """(level, hash) of a message's passages in order -> (place, kind, hash) of passages with their context.
+
+    A passage's next one is the last of the level below it that stands before it, or else the first after it. A message
+    that is quoted whole has the same hashes one level down.
+    """
+    after: list[bytes | None] = []
+    seen: dict[int, bytes] = {}
+    for level, own in reversed(found):
+        after.append(seen.get(level + 1))
+        seen[level] = own
+    after.reverse()
+    seen = {}
+    levels: dict[int, list[bytes]] = {}
+    first: dict[int, int] = {}
+    for place, (level, own) in enumerate(found):
+        seen[level] = own
+        levels.setdefault(level, []).append(own)
+        first.setdefault(level, place)
+        if below := seen.get(level + 1) or after[place]:
+            yield place, WITH_NEXT, hashlib.blake2b(b"next" + own + below, digest_size=16).digest()
+    for level, owns in levels.items():
+        below = levels.get(level + 1, [])
+        for deeper in ([], below) if below else ([],):
+            if len(owns) > 1 or len(deeper) > 1:
+                parts = [b"all", *sorted(set(owns)), b"/", *sorted(set(deeper))]
+                yield first[level], WITH_ALL, hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """messages(msg_id, text) -> (msg_id, place, level, hash, chars, body: the passage itself at level 0). Null text has none."""
+    """messages(msg_id, text) -> (msg_id, place, level, kind, hash, chars, body: the passage itself at level 0).
+
+    Rows of the kinds with context have no body. Null text has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, levels, hashes, chars, bodies = [], [], [], [], [], []
+            rows, places, levels, kinds, hashes, chars, bodies = [], [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
-                for place, (level, passage) in enumerate(passages(text.as_py())):
+                found = passages(text.as_py())
+                own = [(level, passage_hash(passage)) for level, passage in found]
+                alone = ((place, ALONE, code) for place, (_, code) in enumerate(own))
+                for place, kind, code in chain(alone, context_hashes(own)):
+                    level, passage = found[place]
                     rows.append(k)
                     places.append(place)
                     levels.append(level)
-                    hashes.append(passage_hash(passage))
+                    kinds.append(kind)
+                    hashes.append(code)
                     chars.append(len(passage))
-                    bodies.append(passage if level == 0 else None)
+                    bodies.append(passage if level == 0 and kind == ALONE else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(levels, pa.int32()),
-                 pa.array(hashes, pa.binary()), pa.array(chars, pa.int64()), pa.array(bodies, pa.string())],
-                names=["msg_id", "place", "level", "hash", "chars", "body"],
+                 pa.array(kinds, pa.int32()), pa.array(hashes, pa.binary()), pa.array(chars, pa.int64()), pa.array(bodies, pa.string())],
+                names=["msg_id", "place", "level", "kind", "hash", "chars", "body"],
             )
 
     kind = messages.schema["msg_id"].dataType.simpleString()
     return map_batches(
         messages.where("msg_id IS NOT NULL").select("msg_id", F.coalesce("text", F.lit("")).alias("text")),
         run,
-        f"msg_id {kind}, place int, level int, hash binary, chars bigint, body string",
+        f"msg_id {kind}, place int, level int, kind int, hash binary, chars bigint, body string",
+    )
+
+
+def nearest_holders(parsed: DataFrame) -> DataFrame:
+    """parsed passages -> (msg_id, level, kind, chars, parent, holders): a row per quoted hash that an earlier message holds.
+
+    ``parent`` is the nearest earlier holder, ``holders`` the number of earlier ones. A message's own quotes come before its
+    own passages, so that it never finds itself. Rows are dealt by range on (hash, msg_id) and written with their range's
+    number; what earlier ranges of a hash hold is a table of one row per hash and range.
+    """
+    quoted = parsed.where("level > 0").groupBy("hash", "msg_id", "level").agg(F.min("kind").alias("kind"), F.sum("chars").alias("chars"))
+    holding = parsed.where("level = 0").select("hash", "msg_id").distinct()
+    both = quoted.withColumn("holds", F.lit(False)).unionByName(holding.withColumn("holds", F.lit(True)), allowMissingColumns=True)
+    spread = both.repartitionByRange(task_count(parsed.sparkSession), "hash", "msg_id", "holds")
+    rows = stored(spread.withColumn("part", F.spark_partition_id()), "quotes-ranges")
+    holder = F.when(F.col("holds"), F.col("msg_id"))
+    here = Window.partitionBy("hash", "part").orderBy("msg_id", "holds").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("hash", "part").agg(F.max(holder).alias("last"), F.count(holder).alias("n"))
+    before = sums.select("hash", "part", F.max("last").over(earlier).alias("last"), F.sum("n").over(earlier).alias("n")).where("last IS NOT NULL")
+    near = rows.withColumn("near", F.max(holder).over(here)).withColumn("holders", F.count(holder).over(here)).where("NOT holds")
+    return (
+        near.join(before, ["hash", "part"], "left")
+        .select(
+            "msg_id", "level", "kind", "chars", F.coalesce("near", "last").alias("parent"),
+            (F.col("holders") + F.coalesce("n", F.lit(0))).alias("holders"),
+        )
+        .where("parent IS NOT NULL")
     )
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
     """parsed passages -> (msg_id, parent): one row per message that quotes an earlier one."""
-    origin = parsed.where("level = 0").groupBy("hash").agg(F.min("msg_id").alias("parent"))
-    quoted = parsed.where("level > 0").groupBy("msg_id", "level", "hash").agg(F.sum("chars").alias("chars"))
     votes = (
-        quoted.join(origin, "hash")
-        .where(F.col("parent") < F.col("msg_id"))
+        nearest_holders(parsed)
         .groupBy("msg_id", "level", "parent")
-        .agg(F.sum("chars").alias("chars"))
+        .agg(F.min(F.struct("holders", "kind")).alias("found"), F.sum("chars").alias("chars"))
+    )
+    best = F.max(
+        F.struct((-F.col("level")).alias("l"), (-F.col("found.holders")).alias("h"), (-F.col("found.kind")).alias("k"), "chars", "parent")
     )
-    best = F.min(F.struct(F.col("level"), (-F.col("chars")).alias("c"), (-F.col("parent")).alias("p")))
-    return votes.groupBy("msg_id").agg(best.alias("best")).select("msg_id", (-F.col("best.p")).alias("parent"))
+    return votes.groupBy("msg_id").agg(best.alias("best")).select("msg_id", F.col("best.parent").alias("parent"))
 
 
 def trees(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,7 +198,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     parsed = stored(parse(once), "quotes-passages")
     links = stored(reply_links(parsed), "quotes-links")
     placed = trees(once.select("msg_id"), links)
-    own = parsed.groupBy("msg_id").agg(
+    own = parsed.where(F.col("kind") == ALONE).groupBy("msg_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("place", "body")))), lambda p: p["body"]), "\n\n").alias("text"),
         F.sum((F.col("level") > 0).cast("long")).alias("n_quotes"),
     )

@@ -472,6 +472,38 @@ def test_conversations(spark):
     assert quotes.conversations(frame.where("false")).count() == 0
 
 
+def test_every_earlier_holder_may_be_the_original(spark):
+    """A common passage links within its own conversation; a copied conversation stays one of its own."""
+    talk = ["Hello all", "> Hello all\n\nA question", ">> Hello all\n\n> A question\n\nThanks", ">> A question\n\n> Thanks\n\nDone"]
+    mail = [
+        *enumerate(talk, 1),
+        (11, "Thanks"),
+        (12, "> Thanks\n\nFor what?"),
+        *enumerate(talk, 21),
+        # two conversations with turns in between: the other level, then the rarer passage, tell them apart
+        (31, "Offer one"),
+        (32, "Offer two"),
+        (33, "> Offer one\n\nThanks\n\nAs ever"),
+        (34, "> Offer two\n\nThanks"),
+        (35, ">> Offer one\n\n> Thanks\n\nWelcome"),
+        (36, "> Thanks\n> \n> As ever\n\nFine"),
+    ]
+    frame = spark.createDataFrame(mail, "msg_id long, text string").repartition(3)
+    got = {r["msg_id"]: (r["parent"], r["conversation"], r["depth"]) for r in quotes.conversations(frame).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [(None, 1, 0), (1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    assert [got[k] for k in (11, 12)] == [(None, 11, 0), (11, 11, 1)]
+    assert [got[k] for k in (21, 22, 23, 24)] == [(None, 21, 0), (21, 21, 1), (22, 21, 2), (23, 21, 3)]
+    assert [got[k][0] for k in (33, 34, 35, 36)] == [31, 32, 33, 33]
+
+
+def test_nearest_holder_of_a_frequent_passage(spark):
+    """A passage that a third of all messages hold is cut into ranges; each quote finds the holder just before it."""
+    mail = [(3 * k + j, t) for k in range(400) for j, t in enumerate(("Thanks", f"> Thanks\n\nreply {k}", f"> reply {k}\n\nend {k}"))]
+    frame = spark.createDataFrame(mail, "msg_id long, text string").repartition(5)
+    got = quotes.conversations(frame).collect()
+    assert all((r["conversation"], r["depth"]) == (r["msg_id"] // 3 * 3, r["msg_id"] % 3) for r in got) and len(got) == 1200
+
+
 def test_quoted_mail_round_trip(spark):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = quotes.conversations(quotes.quoted_mail(turns))
