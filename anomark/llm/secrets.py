@@ -8,6 +8,8 @@
    bins of that width: a part probes the summaries (least and greatest start) of its own and the two next bins, so
    no pair of parts is ever emitted. A weak secret is reported with an identifier in scope, a weak identifier with
    a secret, an endpoint with both.
+4. ``redact`` measures from the end of a part to the start of the next, and takes secrets that only a line break parts as
+   one, so that nothing of a long secret stays in a text: a running greatest end over the parts in order.
 """
 
 from __future__ import annotations
@@ -118,15 +120,50 @@ def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     return parts.where(F.col("kind") < KINDS.index("id")).unionByName(linked.select("uid", "kind", "start", "end"))
 
 
-def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scope: int = 256) -> DataFrame:
+def gap_linked_parts(parts: DataFrame, scope: int, line_break: int = 2) -> DataFrame:
+    """All base parts, and those weak parts with their complement at most ``scope`` after their end or before their start.
+
+    Secrets at most ``line_break`` apart count as one part from the first one's start to the last one's end. A complement is
+    in scope if, of those that start up to ``scope`` after a part's end, the greatest end is ``scope`` before its start or later.
+    """
+    role = F.when(F.col("kind").isin(_code(IDENTIFIERS)), F.lit("i")).when(F.col("kind").isin(_code(SECRETS)), F.lit("s")).otherwise("e")
+    order = Window.partitionBy("uid", "role").orderBy("start", "end", "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("role") != "s") | reach.isNull() | (F.col("start") > reach + line_break)
+    run = Window.partitionBy("uid", "role", "run")
+    whole = (
+        parts.withColumn("role", role)
+        .withColumn("fresh", fresh.cast("long"))
+        .withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("low", F.min("start").over(run))
+        .withColumn("high", F.max("end").over(run))
+    )
+    need = F.when(F.col("role") == "s", F.array(F.lit("i"))).when(F.col("role") == "i", F.array(F.lit("s"))).otherwise(F.array(F.lit("i"), F.lit("s")))
+    asked = whole.where(F.col("kind") >= KINDS.index("id")).select(
+        "uid", F.explode(need).alias("role"), (F.col("high") + scope).alias("at"), F.lit(1).alias("asks"), "kind", "start", "end", "low", F.size(need).alias("needs")
+    )
+    given = whole.where("role <> 'e'").select("uid", "role", F.col("low").alias("at"), F.lit(0).alias("asks"), "high")
+    upto = Window.partitionBy("uid", "role").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = (
+        given.unionByName(asked, allowMissingColumns=True)
+        .withColumn("reached", F.max("high").over(upto))
+        .where(F.col("asks") == 1)
+        .where(F.col("reached") >= F.col("low") - scope)
+    )
+    linked = met.groupBy("uid", "kind", "start", "end", "needs").agg(F.count_distinct("role").alias("met")).where("met = needs")
+    return parts.where(F.col("kind") < KINDS.index("id")).unionByName(linked.select("uid", "kind", "start", "end"))
+
+
+def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scope: int = 256, link=linked_parts) -> DataFrame:
     """docs(doc_id, text) -> ``keep`` columns, ``__found``, ``__spans``: array of (start, kind, end) in order, null without one.
 
+    ``link`` is ``linked_parts`` (distance of starts) or ``gap_linked_parts``.
     Places count code points from 0, end exclusive. Null text is empty and has no span. Repeated rows are scanned one
     by one. An empty table gives an empty result. Only ``keep`` and text are read, so other columns' names don't matter.
     """
     found = candidates(docs, keep)
     spans = (
-        linked_parts(_parts(found), scope)
+        link(_parts(found), scope)
         .groupBy("uid")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__spans"))
     )
@@ -149,12 +186,12 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, scope: int = 256, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of ``find_secrets`` in ``text`` replaced by ``mark`` (overlapping spans by one), n_chars following.
+    """docs with every span of ``find_secrets`` by ``gap_linked_parts`` in ``text`` replaced by ``mark`` (overlapping spans by one), n_chars following.
 
     All columns come back. Null text stays null. Column names that start with ``__`` are the operator's own.
     """
     names = docs.columns
-    spans = find_secrets(docs, tuple(names), scope)
+    spans = find_secrets(docs, tuple(names), scope, gap_linked_parts)
     # overlapping spans become one: (last end of the piece before, start) pairs
     merged = F.aggregate(
         F.col("__spans"),

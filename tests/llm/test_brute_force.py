@@ -313,6 +313,24 @@ def test_redact(docs, rows):
     same([(r["doc_id"], r["text"]) for r in got.collect()], expected)
 
 
+def test_redact_of_long_secrets(spark):
+    """Parts beside a secret longer than the scope, and every line of a key that is broken over many."""
+    rng = random.Random(6)
+    line = lambda n: "aB1" + "".join(rng.choice("abcXYZ019+/") for _ in range(n - 3))
+    lines = "\n".join(line(64) for _ in range(20))
+    words = " and" * 80
+    mail = [
+        (1, f"{line(400)} login: someone", "[secret] [secret]"),
+        (2, f"client_id: svc-7\n{lines}\nend", "[secret]\n" + "\n".join(["[secret]"] * 20) + "\nend"),
+        (3, f"{lines}\r\nhttps://example.org login: someone", "\n".join(["[secret]"] * 20) + "\r\n[secret] [secret]"),
+        (4, f"{line(400)}{words} login: someone", None),
+        (5, f"login: someone{words} {lines}", None),
+        (6, f"https://example.org {line(400)}{words} login: someone", None),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in mail], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()} == {i: t if want is None else want for i, t, want in mail}
+
+
 # --- SentencePiece
 
 
