@@ -34,6 +34,7 @@ class Model:
     bias: np.ndarray  # (widths * filters)
     out: np.ndarray  # (widths * filters, langs)
     out_bias: np.ndarray
+    spread: float = 1.0  # what most learned windows of the language with the least sure ones stay within
 
 
 def windows_of(text: bytes, window: int) -> np.ndarray:
@@ -59,6 +60,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def perplexity(p: np.ndarray) -> np.ndarray:
+    return np.exp(-(p * np.log(np.maximum(p, 1e-30))).sum(axis=1))
+
+
 def train(
     x: np.ndarray, y: np.ndarray, langs: list[str], widths: tuple[int, ...] = (2, 3, 4), filters: int = 16,
     steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 5,
@@ -136,13 +141,19 @@ class Predictor:
         hidden = np.maximum(np.concatenate(pooled, axis=1) + self.model.bias, 0)
         return softmax(hidden @ self.model.out + self.model.out_bias)
 
-    def scores(self, texts: list[bytes], at_once: int = 64) -> np.ndarray:
-        """(texts, langs): mean probability over each text's windows. Texts are not empty."""
+    def scores(self, texts: list[bytes], at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, langs): mean probability over each text's windows; (texts): share of its windows that are sure.
+
+        A window is sure if its probabilities are as good as a choice among half of the languages (by their perplexity), or
+        among as many as learned windows are, whichever these are. Texts are not empty.
+        """
         counts = np.array([-(-len(t) // self.model.window) for t in texts])
         x = np.concatenate([windows_of(t, self.model.window) for t in texts])
         p = np.concatenate([self.probabilities(x[a : a + at_once]) for a in range(0, len(x), at_once)])
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        return np.add.reduceat(p, first, axis=0) / counts[:, None]
+        most = max(len(self.model.langs) / 2, self.model.spread)
+        sure = np.add.reduceat((perplexity(p) <= most).astype(float), first) / counts
+        return np.add.reduceat(p, first, axis=0) / counts[:, None], sure
 
 
 def training_windows(labelled: DataFrame, docs_per_lang: int, sample_docs: int, windows_per_doc: int, window: int) -> list:
@@ -181,34 +192,44 @@ def fit(
     langs = sorted({lang for lang, _ in rows})
     y = np.array([langs.index(lang) for lang, _ in rows])
     x = np.frombuffer(b"".join(part for _, part in rows), np.uint8).reshape(len(rows), window)
-    return train(x, y, langs, **options)
+    model = train(x, y, langs, **options)
+    predictor = Predictor(model)
+    for k in range(len(langs)):
+        own = x[y == k]
+        some = own[np.unique(np.linspace(0, len(own) - 1, min(256, len(own))).astype(int))]
+        model.spread = max(model.spread, float(np.quantile(perplexity(predictor.probabilities(some)), 0.95)))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 18) -> DataFrame:
-    """docs(text) -> ``keep``, lang_pred, score (0 to 1).
+    """docs(text) -> ``keep``, lang_pred, score (0 to 1), sure (share of sure windows).
 
-    A null text, or one without a letter, is ``und`` with score 0, as is every text without a model. A text longer than
+    A null text, or one without a letter, is ``und`` with score 0, as is every text without a model; with a letter the
+    latter is sure, as nothing speaks against it. A text longer than
     ``batch_bytes`` is a batch of its own. Rows are predicted one by one, so repeated rows agree; an empty table gives an
     empty result. Only ``keep`` and text are read.
     """
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, "lang_pred", "score", "sure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model) if model else None
         for batch in batches:
             langs: list[str] = [UNDETERMINED] * batch.num_rows
-            scores = np.zeros(batch.num_rows)
+            scores, sures = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             held: list[tuple[int, bytes]] = []
             size = 0
 
             def settle() -> None:
-                found = predictor.scores([t for _, t in held])
-                for (k, _), best, score in zip(held, found.argmax(axis=1).tolist(), found.max(axis=1).tolist()):
-                    langs[k], scores[k] = model.langs[best], min(1.0, score)
+                found, sure = predictor.scores([t for _, t in held])
+                for (k, _), best, score, share in zip(held, found.argmax(axis=1).tolist(), found.max(axis=1).tolist(), sure.tolist()):
+                    langs[k], scores[k], sures[k] = model.langs[best], min(1.0, score), share
 
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 raw = text.as_py()
-                if predictor is None or not raw or not LETTER.search(raw.decode("utf-8", "replace")):
+                if not raw or not LETTER.search(raw.decode("utf-8", "replace")):
+                    continue
+                if predictor is None:
+                    sures[k] = 1.0
                     continue
                 held.append((k, raw))
                 size += len(raw)
@@ -217,10 +238,10 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                     held, size = [], 0
             if held:
                 settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores), pa.array(sures)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return map_batches(docs.select(*keep, utf8("text").alias("__text")), run, f"{schema}, lang_pred string, score double")
+    return map_batches(docs.select(*keep, utf8("text").alias("__text")), run, f"{schema}, lang_pred string, score double, sure double")
 
 
 def held_out() -> Column:
@@ -235,10 +256,14 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.35, **options) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language with at least ``least_score``; the others are rejected."""
+def accepted(docs: DataFrame, least_score: float = 0.35, least_sure: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, all columns, whose text is language; the others are rejected.
+
+    A text is language if one has at least ``least_score``, or if at least ``least_sure`` of its windows are sure, each of
+    its own language or of several that are alike. Without a model every text with a letter is.
+    """
     model = fit(docs.where(~held_out()).select("doc_id", "lang", "text"), **options)
     names = docs.columns
     found = predict(docs.withColumn("__all", F.struct(*names)), model, ("__all",))
-    good = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    good = found.where((F.col("score") >= least_score) | (F.col("sure") >= least_sure))
     return good.select(*(F.col("__all")[c].alias(c) for c in names))

@@ -443,6 +443,22 @@ def test_language(spark, docs, no_docs, rows):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang IS NULL")).collect()} == {"und"}
 
 
+def test_accepted_texts_of_many_languages(spark):
+    """A text of six languages in turn, and languages that no model tells apart, stay; a table without labels keeps its texts."""
+    rng = random.Random(9)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    said = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    labelled = [(i, said(i % 6, 80), f"l{i % 6}") for i in range(240)]
+    mixed = [(1000 + i, " ".join(said(k, 64) for k in range(6)), None) for i in range(5)]
+    alike = [(2000 + i, said(0, 80), f"same{i % 8}") for i in range(400)]
+    kinds = "doc_id long, text string, lang string"
+    for rows in (labelled + mixed, labelled + alike):
+        got = {r["doc_id"] for r in language.accepted(spark.createDataFrame([*rows, (9999, "123 456", None)], kinds)).collect()}
+        assert got == {i for i, _, _ in rows}
+    bare = spark.createDataFrame([(i, t, None) for i, t, _ in mixed] + [(9999, "123 456", None), (9998, None, None)], kinds)
+    assert {r["doc_id"] for r in language.accepted(bare).collect()} == {i for i, _, _ in mixed}
+
+
 def test_language_pairs_equal_plain_convolution():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 256, (40, 32), dtype=np.uint8)
