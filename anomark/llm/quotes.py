@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anomark.llm.common import map_batches, stored, task_count
+from anomark.operators.sequence import position_within
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 
@@ -213,17 +214,24 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def quoted_mail(turns: DataFrame) -> DataFrame:
-    """Stand-in input: each turn of conversations(conv_id, turn, text) as a message that quotes the two turns before it."""
-    base = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    """Stand-in input: each turn of conversations(conv_id, turn, text) as a message that quotes the two before it.
+
+    Turns are numbered from 0 within their conversation, whatever their values; differing rows of one turn are messages of
+    their own, in the order of their texts, and repeated rows are one. msg_id is conv_id times a million, or times the
+    number of messages of the longest conversation if that is more, plus that number.
+    """
+    said = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text").distinct()
+    base = stored(position_within(said, ["conv_id"], ["turn", "text"], "place", start=0).select("conv_id", "place", "text"), "quotes-turns")
+    stride = max(1_000_000, (base.agg(F.max("place")).first()[0] or 0) + 1)
 
     def before(k: int) -> DataFrame:
-        return base.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"text{k}"))
+        return base.select("conv_id", (F.col("place") + k).alias("place"), F.col("text").alias(f"text{k}"))
 
     def marked(name: str, mark: str):
         return F.when(F.col(name).isNotNull(), F.concat(F.lit(mark), F.replace(name, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n\n"))).otherwise("")
 
-    mail = base.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    mail = base.join(before(1), ["conv_id", "place"], "left").join(before(2), ["conv_id", "place"], "left")
     return mail.select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("msg_id"),
+        (F.col("conv_id") * F.lit(stride).cast("bigint") + F.col("place")).alias("msg_id"),
         F.concat(marked("text2", ">> "), marked("text1", "> "), F.coalesce("text", F.lit(""))).alias("text"),
     )

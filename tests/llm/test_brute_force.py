@@ -545,3 +545,15 @@ def test_quoted_mail_round_trip(spark):
     assert got.where("parent >= msg_id").count() == 0
     lost = got.join(turns.selectExpr("conv_id * 1000000 + turn AS msg_id", "text AS said"), "msg_id")
     assert lost.where("trim(both '\n' from text) <> trim(both '\n' from regexp_replace(said, '\n\\s*\n', '\n\n'))").count() == 0
+
+
+def test_quoted_mail_loses_no_turn(spark):
+    """Turn values from a million up, and differing and repeated rows of one turn."""
+    rows = [(0, 0, "a"), (0, 1_000_000, "b"), (0, 1_000_001, "b2"), (1, 0, "c"), (1, 0, "d"), (1, 0, "d"), (1, 1, "e"), (1, 1, None), (None, 1, "x")]
+    mail = quotes.quoted_mail(spark.createDataFrame(rows, "conv_id long, turn int, text string"))
+    got = quotes.conversations(mail).collect()
+    assert sorted((r["msg_id"], r["text"]) for r in got) == [
+        (0, "a"), (1, "b"), (2, "b2"), (1_000_000, "c"), (1_000_001, "d"), (1_000_002, ""), (1_000_003, "e"),
+    ]
+    assert {r["msg_id"]: r["parent"] for r in got}[2] == 1
+    assert quotes.quoted_mail(spark.createDataFrame([], "conv_id long, turn int, text string")).count() == 0
