@@ -9,7 +9,7 @@
    no pair of parts is ever emitted. A weak secret is reported with an identifier in scope, a weak identifier with
    a secret, an endpoint with both.
 4. ``redact`` measures from the end of a part to the start of the next, and takes secrets that only a line break parts as
-   one, so that nothing of a long secret stays in a text: a running greatest end over the parts in order.
+   one, by a running greatest end over the parts in order. A line that no pattern finds (a key's short last one) stays.
 """
 
 from __future__ import annotations
