@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anomark.llm import (
+    hard_negatives,
     language,
     lm_score,
     oracles,
     order_minhash,
     packing,
+    prefix_trie,
     quality,
     quotes,
     repeats,
@@ -77,6 +79,21 @@ def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
+def q_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt with the first turns of its hundred's first conversation."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_beginnings(turns, every=100, most=6))
+
+
+def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector against all vectors, every seventh of which is relabelled first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        vectors.withColumn("label", label), "vec_id % 50 = 0", positives=5, negatives=3, low=50, high=95, scale=256
+    )
+
+
 QUERIES = {
     "op1_quotes": q_quotes,
     "op2_order_minhash": q_order_minhash,
@@ -88,10 +105,14 @@ QUERIES = {
     "op8_repeats": q_repeats,
     "op9_simhash": q_simhash,
     "op10_secrets": q_secrets,
+    "op11_prefix_trie": q_prefix_trie,
+    "op12_hard_negatives": q_hard_negatives,
 }
 
 ORACLES = {
     "op7_quality": oracles.quality(),
     "op8_repeats": oracles.repeats(),
     "op10_secrets": oracles.secrets(),
+    "op11_prefix_trie": oracles.prefix_trie(),
+    "op12_hard_negatives": oracles.hard_negatives(),
 }

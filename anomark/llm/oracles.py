@@ -109,3 +109,51 @@ SELECT doc_id, (length(h) // 2)::bigint AS n_bytes,
        sha256(unhex(array_to_string(kept, ''))) AS kept_sha256
 FROM s
 """
+
+
+def hard_negatives() -> str:
+    """All scores of each anchor, ranked by window functions."""
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::bigint AS score
+      FROM v AS a, v AS b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::int AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def prefix_trie() -> str:
+    """Every beginning of every rebuilt conversation as text, grouped; subtrees by the beginnings of each beginning."""
+    return """
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || ':' || length(coalesce(text, '')) AS turn,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(turn ORDER BY i) AS own FROM t GROUP BY conv_id),
+-- crc32, eight shifts a byte
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::bigint ELSE 0 END))),
+             4294967295::bigint) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS turns
+      FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, n, depth, array_to_string(turns[1:depth], ',') AS node, array_to_string(turns[1:depth - 1], ',') AS parent,
+             coalesce(string_split(turns[depth], ':')[2]::bigint, 0) AS chars FROM p),
+m AS (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS value,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM k GROUP BY node, depth),
+x AS (SELECT m.*, coalesce(o.n, 0) AS n_children, u.conv_id AS parent_conv_id FROM m
+      LEFT JOIN (SELECT parent, depth - 1 AS depth, count(*) AS n FROM m WHERE depth > 0 GROUP BY ALL) AS o ON o.parent = m.node AND o.depth = m.depth
+      LEFT JOIN m AS u ON u.node = m.parent AND u.depth = m.depth - 1),
+-- every node under each beginning of its least member
+s AS (SELECT k.node, k.depth, sum(x.value) AS saved, count(*) FILTER (x.n_children = 0) AS leaves
+      FROM x JOIN k ON k.conv_id = x.conv_id AND k.depth <= x.depth GROUP BY k.node, k.depth)
+SELECT x.conv_id, x.depth::bigint AS depth, parent_conv_id, n_convs, n_children::bigint AS n_children, leaves::bigint AS n_leaves,
+       saved::bigint AS saved_tokens, ends_sha256
+FROM x JOIN s ON s.node = x.node AND s.depth = x.depth
+"""
