@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anomark.llm import (
+    bottom_k,
     hard_negatives,
     language,
     lm_score,
@@ -94,6 +95,11 @@ def q_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 2-word shingles, Jaccard similarity of 0.8 or more on full sets."""
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
+
+
 QUERIES = {
     "op1_quotes": q_quotes,
     "op2_order_minhash": q_order_minhash,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_secrets": q_secrets,
     "op11_prefix_trie": q_prefix_trie,
     "op12_hard_negatives": q_hard_negatives,
+    "op13_minhash": q_minhash,
 }
 
 ORACLES = {
