@@ -1,7 +1,7 @@
-"""One-dimensional Lloyd k-means with a warm start: the only Python kernel of the detector.
+"""One-dimensional Lloyd k-means with a warm start.
 
-It runs inside ``mapInArrow`` tasks on windows that Spark has already partitioned by
-(machine, property) and sorted by window number; one call handles one window (W values).
+``warm_step`` handles one window; ``lloyd_windows`` runs many windows at once, for
+``anomark.functions.lanes``.
 
 Semantics (those of ``scipy.cluster.vq.kmeans`` called with an array of seeds):
   * assign each value to the nearest centroid, the lowest index on ties;
@@ -57,38 +57,44 @@ def lloyd_1d(values: Sequence[float], seeds: Sequence[float], tol: float) -> Cen
             total += best_d
         avg = total / n
         cent = [sums[j] / counts[j] for j in range(k) if counts[j] > 0]
-        if abs(prev_avg - avg) <= tol:
+        if not abs(prev_avg - avg) > tol:  # also ends on a change that is undefined
             return cent
         prev_avg = avg
 
 
 def lloyd_windows(values: np.ndarray, seeds: np.ndarray, tol: float) -> np.ndarray:
-    """``lloyd_1d`` of many windows of one length at once: values (n, W), seeds (n, K) padded with NaN.
+    """``lloyd_1d`` of many windows at once: values (n, W) and seeds (n, K), both filled up with NaN.
 
     Sums run over the window's places in order, so every result equals ``lloyd_1d``'s bit for bit;
     a centroid without members becomes NaN in its place.
     """
     cent = seeds.astype(float)
+    filled = ~np.isnan(values)
+    full = bool(filled.all())
+    size = filled.sum(axis=1)
     before = np.full(len(values), np.inf)
     live = np.arange(len(values))
-    while len(live):
-        v, c = values[live], cent[live]
-        gap = np.abs(v[:, :, None] - c[:, None, :])
-        gap[np.isnan(gap)] = np.inf
-        best = gap.argmin(axis=2)
-        near = gap.min(axis=2)
-        sums, counts, total = np.zeros_like(c), np.zeros_like(c), np.zeros(len(live))
-        rows = np.arange(len(live))
-        for w in range(v.shape[1]):
-            sums[rows, best[:, w]] += v[:, w]
-            counts[rows, best[:, w]] += 1
-            total += near[:, w]
-        with np.errstate(invalid="ignore"):
-            cent[live] = sums / counts
-        mean = total / v.shape[1]
-        moved = ~(np.abs(before[live] - mean) <= tol)
-        before[live] = mean
-        live = live[moved]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        while len(live):
+            v, c = values[live], cent[live]
+            gap = np.abs(v[:, :, None] - c[:, None, :])
+            gap[np.isnan(gap)] = np.inf
+            best = gap.argmin(axis=2)
+            near = gap.min(axis=2)
+            if not full:
+                there = filled[live]
+                v, near = np.where(there, v, 0.0), np.where(there, near, 0.0)
+            sums, counts, total = np.zeros_like(c), np.zeros_like(c), np.zeros(len(live))
+            rows = np.arange(len(live))
+            for w in range(v.shape[1]):
+                sums[rows, best[:, w]] += v[:, w]
+                counts[rows, best[:, w]] += 1 if full else there[:, w]
+                total += near[:, w]
+            cent[live] = np.where(counts > 0, sums / counts, np.nan)
+            mean = total / size[live]
+            moved = np.abs(before[live] - mean) > tol
+            before[live] = mean
+            live = live[moved]
     return cent
 
 

@@ -1,9 +1,8 @@
 """Seeds, cold and warm-started k-means per window, and nearest-centroid labels.
 
 The warm start makes a window's centroids depend on the whole history of its
-(machine, property) key, so the fold is sequential within a key: it runs in ``mapInArrow``
-over partitions hashed on the key and sorted by window, keeping only the current key's state
-(K doubles and one value) in memory. Everything else here is native Spark expressions.
+(machine, property) key, so the fold is sequential within a key and parallel over keys
+(``anomark.operators.fold``). Everything else here is native Spark expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anomark.config import DetectorConfig
-from anomark.functions.kmeans import first_distinct, lloyd_windows, warm_step
+from anomark.functions.kmeans import first_distinct, lloyd_windows
 from anomark.operators.markov import bind
 
 KEY = ["machine_id", "property_id"]
@@ -71,37 +70,11 @@ def warm_kmeans(
         from anomark.operators.fold import split_warm_kmeans
 
         return split_warm_kmeans(windows, cfg)
-    tol = cfg.kmeans_tol
-    ordered = windows if partitioned else windows.repartition(*KEY)
-    ordered = ordered.sortWithinPartitions(*KEY, "group_seq")
-    schema = T.StructType(
-        windows.schema.fields
-        + [
-            T.StructField("centroids", T.ArrayType(T.DoubleType())),
-            T.StructField("skipped", T.BooleanType()),
-        ]
-    )
-
-    def fold(batches):
-        key = None
-        state = None
-        for batch in batches:
-            machines = batch.column("machine_id").to_pylist()
-            props = batch.column("property_id").to_pylist()
-            vals = batch.column("values").to_pylist()
-            ks = batch.column("num_clusters").to_pylist()
-            cents, skips = [], []
-            for m, p, v, k in zip(machines, props, vals, ks):
-                if (m, p) != key:
-                    key, state = (m, p), None
-                cent, state, skipped = warm_step(state, v, k, tol)
-                cents.append(cent)
-                skips.append(skipped)
-            yield batch.append_column(
-                "centroids", pa.array(cents, pa.list_(pa.float64()))
-            ).append_column("skipped", pa.array(skips, pa.bool_()))
-
-    return ordered.mapInArrow(fold, schema)
+    from anomark.operators.fold import fold_windows
+
+    rows = windows if "chunk" in windows.columns else windows.withColumn("chunk", F.lit(0).cast("bigint"))
+    folded = fold_windows(rows if partitioned else rows.repartition(*KEY), cfg)
+    return folded.select(*windows.columns, "centroids", "skipped")
 
 
 def nearest_label(value: Column, centroids: Column) -> Column:

@@ -52,9 +52,3 @@ def with_property_params(observations: DataFrame, machines: DataFrame, model_pro
         "machine_id", "model_id", "property_id", "num_clusters", "prob_threshold", "stateful"
     )
     return observations.join(params, ["machine_id", "property_id"])
-
-
-def missing_params(observations: DataFrame, machines: DataFrame, model_properties: DataFrame) -> DataFrame:
-    """Observations whose machine, model or property is unknown (rejects of the lookup)."""
-    params = machines.join(model_properties, "model_id").select("machine_id", "property_id")
-    return observations.join(params, ["machine_id", "property_id"], "left_anti")

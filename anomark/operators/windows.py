@@ -88,7 +88,7 @@ def window_rows_from_events(events: DataFrame, machine_props: DataFrame) -> Data
 
     events: (machine_id, group_seq, seq, timestamp_id, timestamp_value,
              obs array<struct<obs_pos, property_id, value>>), one row per event.
-    Each event meets the (broadcast, size-checked) property list of its machine once and
+    Each event meets the property list of its machine once and
     yields its anchor row and its values of that property: no union of two scans.
     """
     seq_type = events.schema["seq"].dataType
@@ -119,6 +119,31 @@ def window_rows_from_events(events: DataFrame, machine_props: DataFrame) -> Data
     )
 
 
+def lane_events(rows: DataFrame) -> DataFrame:
+    """Anchor and value rows (``window_rows``) as one row per event and property, for ``fold.lane_rows``."""
+    keys = ["machine_id", "property_id", "group_seq"]
+    gathered = rows.groupBy(*keys).agg(
+        F.max("seq").alias("seq"), F.max("num_clusters").alias("num_clusters"), F.max("prob_threshold").alias("prob_threshold"),
+        F.array_sort(F.collect_list("obs")).alias("obs"),
+    )
+    return gathered.where(F.col("num_clusters").isNotNull()).select(
+        *keys, "seq", "num_clusters", "prob_threshold", F.col("obs.value").alias("vals"),
+        F.col("obs")[0]["timestamp_id"].alias("timestamp_id"), F.col("obs")[0]["timestamp_value"].alias("timestamp_value"),
+    )
+
+
+def lane_events_from_events(events: DataFrame, machine_props: DataFrame) -> DataFrame:
+    """``lane_events`` in one pass over events that carry their values (``window_rows_from_events``)."""
+    grid = events.join(
+        machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"), "machine_id"
+    )
+    own = F.filter("obs", lambda o: (o["property_id"] == F.col("property_id")) & o["value"].isNotNull())
+    return grid.select(
+        "machine_id", "property_id", "group_seq", "seq", "num_clusters", "prob_threshold",
+        F.transform(own, lambda o: o["value"]).alias("vals"), "timestamp_id", "timestamp_value",
+    )
+
+
 def sliding_windows(
     ranked_groups: DataFrame,
     observations: DataFrame,

@@ -76,15 +76,18 @@ def q_cold_kmeans(spark: SparkSession, data_dir: str) -> DataFrame:
     return _centroid_rows(cold_kmeans(_stages(spark, data_dir).windows))
 
 
+FOLDED = ["machine_id", "property_id", "chunk", "window_no", "group_seq", "num_clusters", "values"]
+
+
 def q_warm_kmeans(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _centroid_rows(warm_kmeans(_stages(spark, data_dir).windows, partitioned=True))
+    return _centroid_rows(warm_kmeans(_stages(spark, data_dir).windows.select(*FOLDED), partitioned=True))
 
 
 def q_warm_kmeans_split(spark: SparkSession, data_dir: str) -> DataFrame:
     """The warm-start fold with every key cut into chunks of 4 W events: speculative chunks
     plus fix-up rounds (two rounds on the sf0.01 events) give the sequential fold's centroids."""
     cfg = DetectorConfig(fold_chunk_events=4 * DetectorConfig().window_size)
-    return _centroid_rows(warm_kmeans(_stages(spark, data_dir, cfg).windows, cfg, partitioned=True))
+    return _centroid_rows(warm_kmeans(_stages(spark, data_dir, cfg).windows.select(*FOLDED), cfg, partitioned=True))
 
 
 def _seed_labels(spark, data_dir) -> DataFrame:
@@ -173,7 +176,7 @@ def q_warm_kmeans_discrete(spark: SparkSession, data_dir: str) -> DataFrame:
     """The split fold on a sensor with three levels, whose runs may never meet their speculative run."""
     levels = _events(spark, data_dir).withColumn("value", F.pmod(F.floor("value"), F.lit(3)).cast("double"))
     cfg = DetectorConfig(fold_chunk_events=SPLIT)
-    return _centroid_rows(warm_kmeans(event_stages(levels, cfg).windows, cfg, partitioned=True))
+    return _centroid_rows(warm_kmeans(event_stages(levels, cfg).windows.select(*FOLDED), cfg, partitioned=True))
 
 
 VALUE_PROPERTIES = tuple(f"_{m}_0" for m in range(5))
@@ -396,7 +399,8 @@ def _faulty(ev: DataFrame):
         "machine_id", F.when(every(7), F.lit(None)).when(every(19), F.lit("Machine_unknown")).otherwise(F.col("machine_id"))
     )
     first = F.col("obs_pos") == 0
-    obs = observations_from_events(ev).withColumn("raw_value", F.when(every(11) & first, F.lit("n/a")).otherwise(F.col("raw_value")))
+    undefined = F.get(F.array(F.lit("NaN"), F.lit("Infinity"), F.lit("-Infinity")), (F.col("seq") % 3).cast("int"))
+    obs = observations_from_events(ev).withColumn("raw_value", F.when(every(11) & first, F.lit("n/a")).when(every(23) & first, undefined).otherwise(F.col("raw_value")))
     obs = obs.withColumn("property_id", F.when(every(13) & first, F.lit("_unknown")).otherwise(F.col("property_id")))
     bad = groups.where(every(17)).select(F.col("seq"), F.concat(F.lit("<broken> line "), F.col("seq").cast("string")).alias("value"))
     return groups, obs, bad

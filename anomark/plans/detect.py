@@ -1,10 +1,10 @@
 """Batch anomaly detection: observations -> windows -> warm k-means -> Markov chain -> anomalies.
 
 Shuffles of the plan (all on fine-grained or split keys):
-  1. hash exchange on (machine, slice of seq) to number each machine's events (hot machines split)
-  2. hash exchange on (machine, property, chunk): windows, fold, labels, chain in one stage
+  1. range exchange on (machine, seq) to number each machine's events (hot machines split), written once
+  2. hash exchange on (machine, property, chunk): windows, fold, labels, chain test in one pass over the events
   3. hash exchange on (property, timestamp id) of the abnormal windows only (map-side min)
-  4. hash exchange of the de-duplicated anomalies by slice for their global numbering
+  4. range exchange of the de-duplicated anomalies for their global numbering
 Metadata joins are left to Spark, which broadcasts by measured bytes.
 """
 
@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anomark.config import DetectorConfig
+from anomark.functions.numbers import is_finite
 from anomark.operators.anomalies import abnormal_windows, dedupe_first, number_anomalies
-from anomark.operators.clustering import label_values, warm_kmeans
 from anomark.operators.fold import split_detect
-from anomark.operators.markov import detect_first_anomaly, transition_pairs, transition_probabilities
 from anomark.operators.metadata import machine_properties
-from anomark.session import stored
 from anomark.operators.windows import (
     attach_group_seq,
+    lane_events,
+    lane_events_from_events,
     sequence_events,
     stream_tail,
     window_rows,
@@ -35,12 +35,12 @@ class DetectionStages:
     on first use: with the split fold it runs Spark jobs, which a caller that only needs the
     windows should not pay for."""
 
-    def __init__(self, ranked_groups, machine_props, observations, rows, cfg):
+    def __init__(self, ranked_groups, machine_props, observations, rows, events, cfg):
         self.ranked_groups = ranked_groups
         self.machine_props = machine_props
         self.observations = observations
         self._cfg = cfg
-        self._rows = rows
+        self._events = events
         # the stream's last event comes from all events, also those without a clustered property
         self._tail = stream_tail(ranked_groups) if cfg.tail != "none" else None
         self.windows = windows_from_rows(rows, cfg, self._tail)
@@ -49,7 +49,7 @@ class DetectionStages:
     @property
     def chains(self) -> DataFrame:
         if self._chains is None:
-            self._chains = evaluate_windows(self.windows, self._cfg, self._rows, self._tail)
+            self._chains = split_detect(self._events, self._cfg, self._tail)
         return self._chains
 
     @property
@@ -61,33 +61,6 @@ class DetectionStages:
         return number_anomalies(dedupe_first(self.abnormal))
 
 
-def chain_test(clustered: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Labels, transition probabilities and the first-anomaly test of clustered windows."""
-    return (
-        clustered.transform(label_values)
-        .transform(transition_pairs)
-        .transform(transition_probabilities)
-        .transform(lambda d: detect_first_anomaly(d, cfg))
-    )
-
-
-def evaluate_windows(windows: DataFrame, cfg: DetectorConfig, rows: DataFrame, tail: DataFrame | None) -> DataFrame:
-    """Fold, label, build the chain and test it, window by window (one stage).
-
-    With ``cfg.fold_chunk_events`` the split fold runs: narrow per-window results, hot keys
-    split, and only the windows of affected chunks rebuilt, from rows that are written once."""
-    if not cfg.fold_chunk_events:
-        return chain_test(warm_kmeans(windows, cfg, partitioned=True), cfg)
-    held: list[DataFrame] = []
-
-    def windows_of(chunks: DataFrame) -> DataFrame:
-        if not held:
-            held.append(stored(rows, "window-rows"))
-        return windows_from_rows(held[0], cfg, tail, only=chunks)
-
-    return split_detect(windows, cfg, windows_of, lambda d: chain_test(d, cfg))
-
-
 def detection_stages(
     groups: DataFrame,
     observations: DataFrame,
@@ -105,10 +78,10 @@ def detection_stages(
     ranked = ranked_groups if ranked_groups is not None else sequence_events(groups)
     mprops = machine_properties(machines, model_properties, cfg)
     obs = observations.join(mprops.select("machine_id", "property_id"), ["machine_id", "property_id"], "left_semi")
-    obs = obs.where(F.col("value").isNotNull())
+    obs = obs.where(is_finite(F.col("value")))
     obs = attach_group_seq(obs, ranked)
     rows = window_rows(ranked, obs, mprops)
-    return DetectionStages(ranked, mprops, obs, rows, cfg)
+    return DetectionStages(ranked, mprops, obs, rows, lane_events(rows), cfg)
 
 
 def detect_anomalies(
@@ -149,5 +122,6 @@ def event_stages(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
     observations = observations_from_events(ranked_events, keep=("group_seq",))
     mprops = machine_properties(machines_from_events(events), model_properties_from_events(events), cfg)
     # one pass: each numbered event carries its values into the window stage
-    rows = window_rows_from_events(nested_events(ranked_events), mprops)
-    return DetectionStages(ranked_groups, mprops, observations, rows, cfg)
+    nested = nested_events(ranked_events)
+    rows, lanes = window_rows_from_events(nested, mprops), lane_events_from_events(nested, mprops)
+    return DetectionStages(ranked_groups, mprops, observations, rows, lanes, cfg)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anomark.functions.numbers import finite_double
 from anomark.functions.text import python_float_text
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -65,7 +66,7 @@ def _obs_array(user: Column) -> Column:
 
 
 def observations_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """observations in long format, one row per (event, property), ``value`` = try_cast(raw)."""
+    """observations in long format, one row per (event, property), ``value`` null if raw_value is no finite number."""
     user = F.col("user_id")
     e = F.col("event_id")
     base = events.select(
@@ -81,7 +82,7 @@ def observations_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> D
         *keep,
         "machine_id", "seq", "group_id", "timestamp_id", "timestamp_value",
         "o.obs_pos", "o.property_id", "o.raw_value",
-        F.expr("try_cast(o.raw_value as double)").alias("value"),
+        finite_double(F.col("o.raw_value")).alias("value"),
     )
 
 
@@ -124,7 +125,7 @@ def nested_events(events: DataFrame) -> DataFrame:
         _obs_array(user),
         lambda o: F.struct(
             o["obs_pos"].alias("obs_pos"), o["property_id"].alias("property_id"),
-            o["raw_value"].try_cast("double").alias("value"),
+            finite_double(o["raw_value"]).alias("value"),
         ),
     )
     return events.select(

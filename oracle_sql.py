@@ -225,6 +225,8 @@ UNION ALL SELECT 'unknown machine', g FROM e WHERE event_id % 7 <> 0 AND event_i
 UNION ALL SELECT 'unknown property', g || '/_unknown' FROM known WHERE event_id % 13 = 0
 UNION ALL SELECT 'value is not numeric', g || '/_' || (user_id % 5) || '_0' FROM known
           WHERE event_id % 11 = 0 AND event_id % 13 <> 0
+UNION ALL SELECT 'value is not finite', g || '/_' || (user_id % 5) || '_0' FROM known
+          WHERE event_id % 23 = 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0
 UNION ALL SELECT 'subject is not a name#local term', '<broken> line ' || event_id FROM e WHERE event_id % 17 = 0
 UNION ALL SELECT 'stateful property without its parameters', 'MachineModel_4/_4_1' FROM (SELECT DISTINCT user_id % 5 AS m FROM e) WHERE m = 4
 """
