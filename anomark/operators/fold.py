@@ -98,12 +98,13 @@ class _Runs:
 
     def __init__(self, cfg: DetectorConfig, again: bool, chain: bool):
         self.lanes = Lanes(cfg.kmeans_tol, cfg.num_transitions if chain else None)
-        self.again, self.met = again, np.empty(0, bool)
+        self.again, self.met = again, np.empty(0, bool)  # a first run may begin from ``need_in`` too
 
     def slots(self, step: int, rows: pa.RecordBatch) -> np.ndarray:
         slots = self.lanes.slots(step, rows.column("goes_on").to_numpy(zero_copy_only=False).astype(bool))
-        if self.again and step == 1:
+        if step == 1:
             self.met = np.concatenate((self.met, np.zeros(len(slots), bool)))
+        if step == 1 and "need_in" in rows.schema.names:
             carried = rows.column("need_in")
             known = np.flatnonzero(carried.is_valid().to_numpy(zero_copy_only=False))
             if len(known):
@@ -161,7 +162,13 @@ def fold_windows(windows: DataFrame, cfg: DetectorConfig, again: bool = False) -
     return _in_lanes(flagged.repartition(*KEY) if again else flagged).mapInArrow(run, out)
 
 
-def lane_rows(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def lane_rows(
+    events: DataFrame,
+    cfg: DetectorConfig,
+    tail: DataFrame | None = None,
+    only: DataFrame | None = None,
+    carried: DataFrame | None = None,
+) -> DataFrame:
     """One row per event and property -> rows of the lanes, hash-partitioned on (machine, property, chunk).
 
     events: (machine_id, property_id, group_seq, seq, num_clusters, prob_threshold, vals array<double>, timestamp_id,
@@ -169,6 +176,10 @@ def lane_rows(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None = N
     belongs to the chunk of its last event; an event is also sent to the chunks whose windows reach back to it, and
     a chunk's first one to the chunk before, whose last window it triggers. ``ends`` marks the last event of a window
     that is evaluated. ``tail`` and ``only`` as in ``windows_from_rows``.
+
+    A stream's micro-batch also has ``since``: a machine's events up to this number were there before, and only windows
+    that a later event triggers are evaluated. ``carried`` (machine_id, property_id, st) is the state that the fold goes on
+    from, given to a key's first chunk as ``need_in``.
     """
     W, C = cfg.window_size, cfg.fold_chunk_events
     if cfg.tail != "none" and tail is None:
@@ -183,6 +194,10 @@ def lane_rows(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None = N
     if only is not None:
         rows = rows.join(only, KEY, "left_semi")
     rows = rows.repartition(*KEY)
+    if carried is not None:
+        first = chunk_of(F.greatest("since", F.lit(1))) if C else F.lit(0)
+        rows = rows.join(carried.withColumnRenamed("st", "carried"), ["machine_id", "property_id"], "left")
+        rows = rows.withColumn("need_in", F.when(F.col("chunk") == first, F.col("carried"))).repartition(*KEY)
     lane = Window.partitionBy(*KEY).orderBy("group_seq")
     rows = rows.withColumns({
         "step": F.row_number().over(lane),
@@ -201,10 +216,13 @@ def lane_rows(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None = N
             ends = ends | (
                 (F.col("machine_id") == F.col("tail_machine")) & (g == F.col("tail_group_seq") - 1) & (g >= 1) & (g < F.lit(W))
             )
+    if "since" in events.columns:
+        ends = ends & (g >= F.col("since"))
     return rows.select(
         *KEY, F.greatest(F.lit(1), g - F.lit(W - 1)).cast("bigint").alias("window_no"), "group_seq",
         F.col("next_seq" if cfg.lag == 1 else "seq").alias("trigger_seq"), "num_clusters", "prob_threshold", "vals",
         "timestamp_id", "timestamp_value", F.coalesce(F.col("own") & ends, F.lit(False)).alias("ends"), "step", "goes_on", "wide",
+        *(["need_in"] if carried is not None else []),
     )
 
 
@@ -280,14 +298,18 @@ def _walk(ends: DataFrame, transfers: DataFrame) -> DataFrame:
     return rows.groupBy("machine_id", "property_id").applyInPandas(walk, schema)
 
 
-def split_fold(rows: DataFrame, cfg: DetectorConfig, columns: list[str], fixed: list[str], fold, rows_of) -> DataFrame:
+def split_fold(
+    rows: DataFrame, cfg: DetectorConfig, columns: list[str], fixed: list[str], fold, rows_of, keep_state: bool = False
+) -> DataFrame:
     """``columns`` of every window after the exact fold. Runs Spark jobs eagerly.
 
     fold(rows, cfg, again) runs lanes; rows_of(chunks, spec) gives the rows of the given chunks again, with their places
-    in the lane where ``fold`` needs them; ``fixed`` are the columns that a second run changes."""
+    in the lane where ``fold`` needs them; ``fixed`` are the columns that a second run changes. ``keep_state``: with ``st``."""
+    given = [*columns, "st"] if keep_state else columns
+    fixed = [*fixed, "st"] if keep_state else fixed
     spec = stored(fold(rows, cfg).select(*columns, "st"), "fold-spec")
     if spec.where(F.col("chunk") > 0).isEmpty():
-        return spec.drop("st")  # no key spans two chunks: the speculative pass is the fold
+        return spec.select(given)  # no key spans two chunks: the speculative pass is the fold
     ends = stored(spec.groupBy(*KEY).agg(F.max_by("st", "group_seq").alias("spec_end")), "fold-ends")
     transfers = ends.where("false").select(*KEY, F.col("spec_end").alias("need_in"), F.col("spec_end").alias("end"), F.lit(0).alias("round"))
     fixes: DataFrame | None = None
@@ -309,14 +331,14 @@ def split_fold(rows: DataFrame, cfg: DetectorConfig, columns: list[str], fixed:
         fixes = run if fixes is None else fixes.unionByName(run)
         log.info("fold round %d: %d windows run again", rounds, run.count())
     if fixes is None:
-        return spec.drop("st")
+        return spec.select(given)
     sure = plan.select(*KEY, F.col("need_in").alias("true_in"))
     latest = fixes.join(sure, KEY).where(F.col("need_in").eqNullSafe(F.col("true_in"))).select(
         *KEY, "window_no", F.struct(*fixed).alias("fixed")
     )
     merged = spec.join(latest, [*KEY, "window_no"], "left")
     return merged.select(
-        *(F.when(F.col("fixed").isNotNull(), F.col("fixed")[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in columns)
+        *(F.when(F.col("fixed").isNotNull(), F.col("fixed")[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in given)
     )
 
 
@@ -327,10 +349,17 @@ def split_warm_kmeans(windows: DataFrame, cfg: DetectorConfig) -> DataFrame:
     return split_fold(windows, cfg, columns, columns[-2:], fold_windows, again)
 
 
-def split_detect(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None = None) -> DataFrame:
-    """Exact per-window detection results (NARROW columns) of events(``lane_rows``), hot keys split in chunks."""
+def split_detect(
+    events: DataFrame,
+    cfg: DetectorConfig,
+    tail: DataFrame | None = None,
+    carried: DataFrame | None = None,
+    keep_state: bool = False,
+) -> DataFrame:
+    """Exact per-window detection results (NARROW columns) of events (``lane_rows``), hot keys split in chunks."""
     if not cfg.fold_chunk_events:
-        return fold_events(lane_rows(events, cfg, tail), cfg).drop("st")
+        whole = fold_events(lane_rows(events, cfg, tail, carried=carried), cfg)
+        return whole if keep_state else whole.drop("st")
     held: list[DataFrame] = []
 
     def rows_of(chunks: DataFrame, _spec: DataFrame) -> DataFrame:
@@ -338,4 +367,4 @@ def split_detect(events: DataFrame, cfg: DetectorConfig, tail: DataFrame | None
             held.append(stored(events, "fold-events"))
         return lane_rows(held[0], cfg, tail, only=chunks)
 
-    return split_fold(lane_rows(events, cfg, tail), cfg, NARROW, NARROW[6:], fold_events, rows_of)
+    return split_fold(lane_rows(events, cfg, tail, carried=carried), cfg, NARROW, NARROW[6:], fold_events, rows_of, keep_state)

@@ -23,6 +23,11 @@ def _iri(ns: str, local) -> F.Column:
     return F.concat(F.lit(f"<{ns}"), local, F.lit(">"))
 
 
+def triple_lines(system_uri: str) -> F.Column:
+    """The lines of an anomaly in output order, as one array without nulls."""
+    return F.array_compact(_lines(system_uri))
+
+
 def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
     """Seven N-Triples lines per anomaly, in output order: (anomaly_no, ord, value).
 
@@ -30,6 +35,13 @@ def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
     The probability literal is written as Python writes a float; a missing timestamp text
     omits the last line.
     """
+    out = anomalies.select("anomaly_no", F.posexplode(_lines(system_uri)).alias("ord", "value"))
+    return out.where(F.col("value").isNotNull()).select(
+        F.col("anomaly_no").cast("bigint").alias("anomaly_no"), F.col("ord").cast("int").alias("ord"), "value"
+    )
+
+
+def _lines(system_uri: str) -> F.Column:
     sys_ns = f"{system_uri}#"
     anomaly = _iri(sys_ns, F.concat(F.lit("Anomaly_"), F.col("anomaly_no").cast("string")))
     ts = _iri(sys_ns, F.col("timestamp_id"))
@@ -37,7 +49,7 @@ def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
     def triple(s, p, o):
         return F.concat(s, F.lit(" "), p, F.lit(" "), o, F.lit(" ."))
 
-    lines = F.array(
+    return F.array(
         triple(anomaly, F.lit(RDF_TYPE), F.lit(f"<{RESULT_NS}Anomaly>")),
         triple(anomaly, F.lit(MACHINE_PRED), _iri(WMM_NS, F.col("machine_id"))),
         triple(anomaly, F.lit(f"<{RESULT_NS}inAbnormalDimension>"), _iri(WMM_NS, F.col("property_id"))),
@@ -54,10 +66,6 @@ def anomalies_to_triples(anomalies: DataFrame, system_uri: str) -> DataFrame:
             F.concat(F.lit('"'), F.col("timestamp_value"), F.lit(f'"^^{XSD_DATETIME}')),
         ),
     )
-    out = anomalies.select("anomaly_no", F.posexplode(lines).alias("ord", "value"))
-    return out.where(F.col("value").isNotNull()).select(
-        F.col("anomaly_no").cast("bigint").alias("anomaly_no"), F.col("ord").cast("int").alias("ord"), "value"
-    )
 
 
 def write_triples(lines: DataFrame, path: str) -> None:

@@ -132,15 +132,15 @@ def lane_events(rows: DataFrame) -> DataFrame:
     )
 
 
-def lane_events_from_events(events: DataFrame, machine_props: DataFrame) -> DataFrame:
-    """``lane_events`` in one pass over events that carry their values (``window_rows_from_events``)."""
+def lane_events_from_events(events: DataFrame, machine_props: DataFrame, *keep: str) -> DataFrame:
+    """``lane_events`` in one pass over events that carry their values (``window_rows_from_events``), with ``keep`` columns."""
     grid = events.join(
         machine_props.select("machine_id", "property_id", "num_clusters", "prob_threshold"), "machine_id"
     )
     own = F.filter("obs", lambda o: (o["property_id"] == F.col("property_id")) & o["value"].isNotNull())
     return grid.select(
         "machine_id", "property_id", "group_seq", "seq", "num_clusters", "prob_threshold",
-        F.transform(own, lambda o: o["value"]).alias("vals"), "timestamp_id", "timestamp_value",
+        F.transform(F.array_sort(own), lambda o: o["value"]).alias("vals"), "timestamp_id", "timestamp_value", *keep,
     )
 
 

@@ -499,30 +499,76 @@ def q_stream_equals_batch(spark: SparkSession, data_dir: str) -> DataFrame:
     return _stream_result(spark, out)
 
 
-def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Text to anomalies as two streams: N-Triples files -> stage A -> stage B. Files and arrivals are
-    cut inside observation groups; the end-of-stream line comes last."""
+def _stream_run(spark: SparkSession, data_dir: str, start, cfg: DetectorConfig = DetectorConfig(), arrivals: int = 2) -> str:
+    """Folder of the anomalies of the events given as text: N-Triples files -> stage A -> ``start`` (a form of stage B).
+
+    Files and arrivals are cut inside observation groups, stage A takes a third of an arrival a micro-batch, and the
+    end-of-stream line comes last. After each arrival both queries are started again from their checkpoints."""
     from anomark.session import scratch_path
     from anomark.sources.triples import END_OF_STREAM
+    from anomark.streaming.files import caught_up
     from anomark.streaming.stage_a import start_stage_a
-    from anomark.streaming.stage_b import start_stage_b
 
     lines = _event_triples(spark, data_dir)
-    lo, hi = lines.agg(F.min("seq.line"), F.max("seq.line")).first()
-    lines = lines.withColumn("chunk", _chunk_of(F.col("seq.line"), lo, hi))
+    lo, hi, size = lines.agg(F.min("seq.line"), F.max("seq.line"), F.sum(F.octet_length("value") + 1)).first()
+    lines = lines.withColumn("chunk", _chunk_of(F.col("seq.line"), lo, hi, arrivals))
     txt, evdir, out = (scratch_path(spark, n) for n in ("stream-triples", "stream-events", "stream-anomalies"))
     ckpt_a, ckpt_b = scratch_path(spark, "ckpt-a"), scratch_path(spark, "ckpt-b")
     machines, model_properties = _parsed_metadata(spark, data_dir)
     end = spark.range(1).select(F.lit(END_OF_STREAM).alias("value"))
-    for c in range(STREAM_CHUNKS + 1):
-        if c < STREAM_CHUNKS:
+    for c in range(arrivals + 1):
+        if c < arrivals:
             arrival = lines.where(F.col("chunk") == c).repartitionByRange(3, "seq.line").sortWithinPartitions("seq.line").select("value")
         else:
             arrival = end
         arrival.write.text(f"{txt}/chunk={c:05d}")
-        start_stage_a(spark, txt, machines, model_properties, evdir, ckpt_a).awaitTermination()
-        start_stage_b(spark, evdir, machines, model_properties, out, ckpt_b).awaitTermination()
-    return _stream_result(spark, out).drop("trigger_seq")
+        caught_up(start_stage_a(spark, txt, machines, model_properties, evdir, ckpt_a, cfg, max_bytes=size // (3 * arrivals)))
+        caught_up(start(spark, evdir, machines, model_properties, out, ckpt_b, cfg))
+    return out
+
+
+def _typed(*args):
+    from anomark.streaming.stage_b import start_stage_b
+
+    return start_stage_b(*args, ordered=True)
+
+
+def q_stream_anomalies(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Text to anomalies as two streams, the second with typed state by machine."""
+    return _stream_result(spark, _stream_run(spark, data_dir, _typed, arrivals=2)).drop("trigger_seq")
+
+
+def q_stream_tables(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Text to anomalies as two streams, the second with its state in tables and every machine cut into chunks of 20 events."""
+    from anomark.streaming.tables import start_table_detector
 
+    cfg = DetectorConfig(fold_chunk_events=2 * DetectorConfig().window_size)
+    return _stream_result(spark, _stream_run(spark, data_dir, start_table_detector, cfg, 2)).drop("trigger_seq")
 
-QUERIES.update({"stream_equals_batch": q_stream_equals_batch, "stream_anomalies": q_stream_anomalies})
+
+def q_stream_triples(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Text to text: the stream's anomalies as N-Triples files, by the streaming sink."""
+    from anomark.session import scratch_path
+    from anomark.streaming.stage_b import start_triple_sink
+
+    found = _stream_run(spark, data_dir, _typed, arrivals=1)
+    out, ckpt = scratch_path(spark, "stream-text"), scratch_path(spark, "ckpt-text")
+    start_triple_sink(spark, found, out, ckpt, SYSTEM_URI).awaitTermination()
+    return spark.read.text(out)
+
+
+def q_stream_tail(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Windows too long for all machines: only the last machine's short window is evaluated, when the end-of-stream line comes."""
+    cfg = DetectorConfig(window_size=SHORT_WINDOW, tail="reference")
+    return _stream_result(spark, _stream_run(spark, data_dir, _typed, cfg, 1)).drop("trigger_seq")
+
+
+QUERIES.update(
+    {
+        "stream_equals_batch": q_stream_equals_batch,
+        "stream_anomalies": q_stream_anomalies,
+        "stream_tables": q_stream_tables,
+        "stream_triples": q_stream_triples,
+        "stream_tail": q_stream_tail,
+    }
+)

@@ -1,94 +1,119 @@
-"""Stage B: event rows -> anomalies with keyed, bounded state per machine.
-
-Per machine and in stream order, every incoming event first evaluates the window of the
-machine's previous W events (if it holds W), then enters the window: the same count window
-with ``lag=1`` as the batch detector. Per property the state keeps the warm-start centroids
-and the outgoing value; per machine the timestamp ids already reported for the events still
-in the window (an anomaly's timestamp always lies in its window, so older ids can never be
-reported again). State size: W events + K doubles per property.
+"""Stage B: event rows -> anomalies by two stateful operators with typed state.
+
+1. ``MachineDetector``, keyed by machine. In stream order, every incoming event first evaluates the window of the machine's
+   previous W events (if it holds W), then enters the window: the same count window with ``lag=1`` as the batch detector. State:
+   ``events``, a map of W slots with the last W events (an event rewrites its slot only); ``folds``, a map from property to the
+   warm start of its k-means (only properties of evaluated windows are rewritten); ``count``. It does not grow with the stream.
+2. ``FirstReport``, keyed by (property, timestamp id): of the reports of all machines and micro-batches the first counts. Its
+   state is one position for each anomaly that has been reported.
+
+Both keep their state in RocksDB, and it can be read through the state data source. For a machine whose share of a micro-batch
+is too large for one task see ``anomark.streaming.tables``.
 """
 
 from __future__ import annotations
 
-import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from anomark.config import DetectorConfig
 from anomark.functions.kmeans import warm_step
 from anomark.functions.markov import first_anomaly, labels_of, transition_probabilities
 from anomark.operators.metadata import machine_properties
+from anomark.operators.output import triple_lines
+from anomark.operators.sequence import number_rows
+from anomark.streaming.batches import OrderedEvents
+from anomark.streaming.files import prune, register
+from anomark.streaming.triple_sink import AnomalyTriples
 
 ANOMALY_SCHEMA = (
     "machine_id string, property_id string, timestamp_id string, timestamp_value string, "
     "probability double, window_no bigint, trigger_file string, trigger_line bigint"
 )
-STATE_SCHEMA = "state string"
-
-
-def _evaluate(window: list, props: dict, params: dict, state: dict, cfg: DetectorConfig) -> list[tuple]:
-    """Evaluate one full window: list of (property, ts_id, ts_val, probability) hits."""
-    values: dict[str, list] = {}
-    for ev in window:
-        for pos, prop, val in ev["obs"]:
-            values.setdefault(prop, []).append((val, ev["tid"], ev["tval"]))
-    hits = []
-    for prop in sorted(values):
-        if cfg.properties and prop not in cfg.properties:
-            continue
-        if prop not in params:
-            continue
-        k, thr = params[prop]
-        vals = [v for v, _, _ in values[prop]]
-        prev = props.get(prop)
-        prev_state = None if prev is None else (prev[0], prev[1])
-        cent, nxt, _ = warm_step(prev_state, vals, k, cfg.kmeans_tol)
-        props[prop] = [nxt[0], nxt[1]]
-        labels = labels_of(vals, cent)
-        p = transition_probabilities(labels, len(cent))
-        found, idx, prob = first_anomaly(p, thr, cfg.num_transitions)
-        if found:
-            _, tid, tval = values[prop][idx]
-            hits.append((prop, tid, tval, prob))
-    return hits
-
-
-def detector_state_fn(cfg: DetectorConfig):
-    W = cfg.window_size
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        machine = key[0]
-        st = json.loads(state.get[0]) if state.exists else {"window": [], "props": {}, "reported": {}, "n": 0}
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows = rows.sort_values(["seq_file", "seq_line"], kind="stable")
-        # (K, threshold) per property of this machine, carried on every row by the join
-        first = rows["params"].iloc[0] if len(rows) else None
-        params = {} if first is None else {k: (int(v["k"]), float(v["t"])) for k, v in dict(first).items()}
-        out = []
-        for r in rows.itertuples(index=False):
-            window = st["window"]
-            if len(window) == W:
-                hits = _evaluate(window, st["props"], params, st, cfg)
-                alive = {ev["tid"] for ev in window}
-                rep = {p: [t for t in ids if t in alive] for p, ids in st["reported"].items()}
-                for prop, tid, tval, prob in hits:
-                    if tid in rep.get(prop, []):
-                        continue
-                    rep.setdefault(prop, []).append(tid)
-                    out.append((machine, prop, tid, tval, prob, st["n"] - W + 1, r.seq_file, int(r.seq_line)))
-                st["reported"] = rep
-                window.pop(0)
-            obs = [] if r.obs is None else [(int(o["obs_pos"]), o["property_id"], float(o["value"])) for o in r.obs]
-            window.append({"tid": r.timestamp_id, "tval": r.timestamp_value, "obs": obs})
-            st["n"] += 1
-        state.update((json.dumps(st),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ANOMALY_SCHEMA.split(", ")])
-
-    return fn
+COLUMNS = [c.split()[0] for c in ANOMALY_SCHEMA.split(", ")]
+EVENT_STATE = "timestamp_id string, timestamp_value string, properties array<string>, values array<double>"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class MachineDetector(StatefulProcessor):
+    def __init__(self, cfg: DetectorConfig):
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getMapState("events", "slot int", EVENT_STATE)
+        self.folds = handle.getMapState("folds", "property_id string", "centroids array<double>, gone double")
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        W = self.cfg.window_size
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["seq_file", "seq_line"], kind="stable")
+        known = new["params"].iloc[0]
+        params = {} if known is None else {p: (int(v["k"]), float(v["t"])) for p, v in dict(known).items()}
+        n = self.count.get()[0] if self.count.exists() else 0
+        window = deque(self.events.getValue((i % W,)) for i in range(max(0, n - W), n))
+        folds: dict[str, tuple] = {}
+        begun, out = n, []
+        for r in new.itertuples(index=False):
+            forced = self.cfg.tail == "reference" and bool(r.forced) and len(window) > 0
+            if len(window) == W or forced:
+                for hit in self._evaluate(window, params, folds):
+                    out.append((key[0], *hit, max(1, n - W + 1), r.seq_file, int(r.seq_line)))
+                window.popleft()
+            obs = [] if r.obs is None else sorted((int(o["obs_pos"]), o["property_id"], float(o["value"])) for o in r.obs)
+            window.append((r.timestamp_id, r.timestamp_value, [p for _, p, _ in obs], [v for _, _, v in obs]))
+            n += 1
+        for back, event in enumerate(reversed(list(window)[-min(len(window), n - begun) :])):
+            self.events.updateValue(((n - 1 - back) % W,), event)
+        for p, (centroids, gone) in folds.items():
+            self.folds.updateValue((p,), (centroids, gone))
+        self.count.update((n,))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def _evaluate(self, window, params: dict, folds: dict) -> list[tuple]:
+        """(property, timestamp id and value, probability) of each property whose chain crosses its threshold."""
+        values: dict[str, list] = {}
+        for tid, tval, properties, numbers in window:
+            for p, v in zip(properties, numbers):
+                values.setdefault(p, []).append((v, tid, tval))
+        hits = []
+        for p in sorted(values):
+            if p not in params or (self.cfg.properties and p not in self.cfg.properties):
+                continue
+            k, threshold = params[p]
+            numbers = [v for v, _, _ in values[p]]
+            if p not in folds and self.folds.containsKey((p,)):
+                centroids, gone = self.folds.getValue((p,))
+                folds[p] = (list(centroids), gone)
+            centroids, folds[p], _ = warm_step(folds.get(p), numbers, k, self.cfg.kmeans_tol)
+            chain = transition_probabilities(labels_of(numbers, centroids), len(centroids))
+            found, index, probability = first_anomaly(chain, threshold, self.cfg.num_transitions)
+            if found:
+                hits.append((p, *values[p][index][1:], probability))
+        return hits
+
+    def close(self) -> None:
+        pass
+
+
+class FirstReport(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.reported = handle.getValueState("reported", "file string, line bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        order = ["trigger_file", "trigger_line", "machine_id", "window_no"]
+        found = pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable").head(1)
+        if not self.reported.exists():
+            self.reported.update((str(found["trigger_file"].iloc[0]), int(found["trigger_line"].iloc[0])))
+            yield found[COLUMNS]
+
+    def close(self) -> None:
+        pass
 
 
 def stage_b(
@@ -97,7 +122,7 @@ def stage_b(
     model_properties: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
 ) -> DataFrame:
-    """Streaming anomalies (unnumbered) from a stream of event rows."""
+    """Streaming anomalies (unnumbered, each reported once) from a stream of event rows."""
     mp = machine_properties(machines, model_properties, cfg)
     # (K, threshold) of every stateful property, one map per machine, joined to the stream
     # (stream-static join; Spark broadcasts it by its bytes or shuffles): nothing goes through the driver
@@ -108,15 +133,24 @@ def stage_b(
     )
     flat = events.select(
         "machine_id", F.col("seq.file").alias("seq_file"), F.col("seq.line").alias("seq_line"),
-        "timestamp_id", "timestamp_value", "obs",
+        "timestamp_id", "timestamp_value", "obs", F.coalesce("forced", F.lit(False)).alias("forced"),
     ).join(per_machine, "machine_id", "left")
-    return flat.groupBy("machine_id").applyInPandasWithState(
-        detector_state_fn(cfg),
-        ANOMALY_SCHEMA,
-        STATE_SCHEMA,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    found = flat.groupBy("machine_id").transformWithStateInPandas(MachineDetector(cfg), ANOMALY_SCHEMA, "append", "none")
+    return found.groupBy("property_id", "timestamp_id").transformWithStateInPandas(FirstReport(), ANOMALY_SCHEMA, "append", "none")
+
+
+def number_batch(spark: SparkSession, found: DataFrame, batch_id: int, base: str) -> None:
+    """Write a micro-batch's anomalies (trigger_seq as a position) numbered after those of earlier batches, in output order.
+
+    ``_next/batch_id=`` holds the number that the next batch starts from; a batch after the first that cannot read its
+    predecessor's stops the query."""
+    offset = 0
+    if batch_id:
+        offset = spark.read.schema("n bigint").parquet(f"{base}/_next/batch_id={batch_id - 1}").first()["n"]
+    numbered = number_rows(found, ["trigger_seq", "property_id"], "anomaly_no", start=offset)
+    numbered.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+    found.agg((F.count("*") + offset).alias("n")).write.mode("overwrite").parquet(f"{base}/_next/batch_id={batch_id}")
+    prune(base, "_next", batch_id)
 
 
 def start_stage_b(
@@ -127,36 +161,46 @@ def start_stage_b(
     out_dir: str,
     checkpoint: str,
     cfg: DetectorConfig = DetectorConfig(),
+    ordered: bool = False,
 ):
-    """Run stage B with ``availableNow`` into numbered anomaly folders (one per batch id).
+    """Start stage B into numbered anomaly folders (one per batch id).
 
-    A micro-batch's anomalies are written once before they are numbered, so the state function
-    runs once. Beside them ``_next/batch_id=`` holds the number that the next batch starts from;
-    a batch after the first that cannot read its predecessor's stops the query."""
+    ``ordered``: the events are stage A's folders, taken one a micro-batch in their order; ``files.caught_up`` runs the query over
+    all that are there. Otherwise ``events_dir`` holds any Parquet files, all new ones of which are one arrival: the query takes
+    them with ``availableNow`` and ends. A micro-batch's anomalies are written once before they are numbered, so the state
+    operators run once. The state needs RocksDB, which is set for the session if it names no other store."""
     from anomark.streaming.stage_a import EVENT_SCHEMA
 
-    events = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(events_dir)
-    anomalies = stage_b(events, machines, model_properties, cfg)
+    named = spark.conf.get(PROVIDER, "")
+    if not named or named.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
     base = out_dir.rstrip("/")
+    if ordered:
+        register(spark, OrderedEvents)
+        events = spark.readStream.format("ordered_events").option("path", events_dir).option("record", f"{base}/_read").load()
+    else:
+        events = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(events_dir)
+    anomalies = stage_b(events, machines, model_properties, cfg)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        from anomark.operators.sequence import number_rows
-
         raw = f"{base}/_raw/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(raw)
         found = spark.read.schema(batch.schema).parquet(raw)
-        offset = 0
-        if batch_id:
-            offset = spark.read.schema("n bigint").parquet(f"{base}/_next/batch_id={batch_id - 1}").first()["n"]
-        ordered = found.withColumn("trigger_seq", F.struct(F.col("trigger_file").alias("file"),
-                                                           F.col("trigger_line").alias("line")))
-        numbered = number_rows(ordered, ["trigger_seq", "property_id"], "anomaly_no", start=offset)
-        numbered.drop("trigger_file", "trigger_line").write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
-        found.agg((F.count("*") + offset).alias("n")).write.mode("overwrite").parquet(f"{base}/_next/batch_id={batch_id}")
+        position = F.struct(F.col("trigger_file").alias("file"), F.col("trigger_line").alias("line"))
+        number_batch(spark, found.withColumn("trigger_seq", position).drop("trigger_file", "trigger_line"), batch_id, base)
+        prune(base, "_raw", batch_id)
+
+    writer = anomalies.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return writer.start() if ordered else writer.trigger(availableNow=True).start()
+
 
+def start_triple_sink(spark: SparkSession, anomalies_dir: str, out_dir: str, checkpoint: str, system_uri: str):
+    """Start a stream of stage B's numbered anomalies into N-Triples text (``anomark.streaming.triple_sink``), with ``availableNow``."""
+    register(spark, AnomalyTriples)
+    schema = spark.read.parquet(anomalies_dir).drop("batch_id").schema
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(anomalies_dir)
+    lines = rows.select("anomaly_no", triple_lines(system_uri).alias("lines"))
     return (
-        anomalies.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        lines.writeStream.format("anomaly_triples").option("path", out_dir).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )

@@ -150,9 +150,9 @@ def _chain_with_hits(src: str) -> str:
     return chain_cte(src).replace("FROM chain_hits c", "FROM (SELECT * FROM c WHERE found) c")
 
 
-def anomalies_body(cluster_cte: str, centroid_table: str, prop_filter: str = "true") -> str:
+def anomalies_body(cluster_cte: str, centroid_table: str, prop_filter: str = "true", windows: str | None = None) -> str:
     return f"""
-WITH {BASE}, {windows_cte()}, {SEEDS}, {cluster_cte},
+WITH {BASE}, {windows or windows_cte()}, {SEEDS}, {cluster_cte},
 lab AS (SELECT *, {labels_of('cent', 'vals')} AS labels FROM {centroid_table} WHERE {prop_filter}),
 pr AS (SELECT *, {probs_of('labels', 'len(cent)')} AS p FROM lab),
 {_chain_with_hits('pr')},
@@ -191,11 +191,18 @@ FROM win WHERE {where}
 """
 
 
+def _flushed(w: int) -> str:
+    return (f"(a.gs >= {w} AND a.nxt IS NOT NULL) OR "
+            f"(a.user_id = (SELECT user_id FROM ev WHERE event_id = last_event) AND "
+            f"a.nxt = a.last_event AND a.gs < {w})")
+
+
 def tail_flush(w: int = W) -> str:
-    return _window_sums(
-        f"(a.gs >= {w} AND a.nxt IS NOT NULL) OR "
-        f"(a.user_id = (SELECT user_id FROM ev WHERE event_id = last_event) AND "
-        f"a.nxt = a.last_event AND a.gs < {w})", w)
+    return _window_sums(_flushed(w), w)
+
+
+def stream_tail(w: int) -> str:
+    return anomalies_body(WARM, "warm", windows=windows_cte(_flushed(w), w)) + ANOMALY_SELECT.replace(", trigger_seq\nFROM", "\nFROM")
 
 
 def tail_file(where: str = "true") -> str:
