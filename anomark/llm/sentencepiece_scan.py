@@ -5,7 +5,7 @@ know of what lies before it are the best scores at its border and at the L - 1 p
 algebra a chunk maps that vector linearly, by an L x L matrix. So texts of at most ``chunk`` characters are encoded
 at once, and giant ones in passes that all work on chunks alone:
 
-1. each chunk's matrix;   2. per document, matrices are combined (associatively, in a tree) to each chunk's entry vector;
+1. each chunk's matrix, with the words between its first and its last cut segmented once;   2. per document, matrices are combined (associatively, in a tree) to each chunk's entry vector;
 3. each chunk's back-trace from each of its L possible ends, as a map from end to beginning;
 4. per document, maps are combined from the last chunk back;   5. each chunk's ids from its now known end.
 
@@ -85,7 +85,8 @@ class Vocabulary:
         self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         # a piece never runs from a non-space into a space, so it never crosses such a place
         self.cuts = not any(" " in p.lstrip(" ") for p in self.id)
-        self.remembered, self.known = remembered, {}
+        # segmented words, and those of the time before ``known`` was last full: a word that is met again moves up
+        self.remembered, self.known, self.older = remembered, {}, {}
 
     def pieces_at(self, text: str, at: int) -> list[tuple[int, int]]:
         """(length, score) of the pieces that begin at ``at``; always one of length 1."""
@@ -125,7 +126,7 @@ class Vocabulary:
 
     def word(self, text: str) -> tuple[int, bytes]:
         """Score and little-endian ids of a text on its own."""
-        got = self.known.get(text)
+        got = self.known.get(text) or self.older.get(text)
         if got is None:
             score, back = self.best(text, [0])
             ids: list[int] = []
@@ -135,11 +136,14 @@ class Vocabulary:
                 at -= back[at]
             got = (score[-1], np.array(ids, "<u4").tobytes())
             if len(text) <= 64:
-                if len(self.known) >= self.remembered:
-                    self.known.clear()
+                self._room(1)
                 self.known[text] = got
         return got
 
+    def _room(self, words: int) -> None:
+        if self.known and len(self.known) + words > self.remembered:
+            self.older, self.known = self.known, {}
+
     def _tables(self) -> None:
         """Pieces and their beginnings by the hash of their characters: an open table of 2^20 places with linear probing."""
         texts = list(self.prefixes)
@@ -176,9 +180,13 @@ class Vocabulary:
         if not hasattr(self, "_slot"):
             self._tables()
         new = words.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
+        self._room(len(new))
+        if not self.known:
             new = words
+        for w in self.older.keys() & new:
+            self.known[w] = self.older[w]
+            new = new if new is not words else set(words)
+            new.discard(w)
         by_length: dict[int, list[str]] = {}
         for w in new:
             if len(w) <= longest:
@@ -239,14 +247,21 @@ class Vocabulary:
     def encode_all(self, texts: list[str]) -> list[tuple[int, bytes]]:
         parts = [_WORDS.findall(t) if self.cuts else [t] for t in texts]
         self.learn(set().union(*parts))
-        known, out = self.known, []
-        for words in parts:
-            try:
-                got = [known[w] for w in words]
-            except KeyError:  # a word too long to keep
-                got = [known[w] if w in known else self.word(w) for w in words]
-            out.append((sum([s for s, _ in got]), b"".join([i for _, i in got])) if words != [""] else (0, b""))
-        return out
+        return [self._joined(words) if words != [""] else (0, b"") for words in parts]
+
+    def _joined(self, words: list[str]) -> tuple[int, bytes]:
+        known = self.known
+        try:
+            got = [known[w] for w in words]
+        except KeyError:  # a word too long to keep
+            got = [known[w] if w in known else self.word(w) for w in words]
+        return sum([s for s, _ in got]), b"".join([i for _, i in got])
+
+    def between_cuts(self, texts: list[str | None]) -> list[tuple[int, bytes] | None]:
+        """Score and ids of texts that begin and end at cuts: those of their words, learned together."""
+        parts = [None if t is None else _WORDS.findall(t) for t in texts]
+        self.learn(set().union(*filter(None, parts)))
+        return [None if words is None else self._joined(words) for words in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -267,31 +282,33 @@ def marked(text: str) -> str:
 # indexed by the distance of a position before the border: 0 is the border itself.
 
 
-def transfer(v: Vocabulary, text: str, lead: int) -> np.ndarray:
-    """M[a, b]: best score from position b before the chunk's beginning to position a before its end."""
+def split(v: Vocabulary, text: str, lead: int) -> tuple[str, str | None, str | None]:
+    """A chunk's text up to its first cut, from there to its last cut, and from there on; no cut: all of it, None, None.
+
+    No piece crosses a cut, so that every segmentation is one of each part, and only the first depends on the entry."""
+    cut = _first_cut(v, text, lead)
+    if cut is None or len(text) - cut < v.longest:
+        return text, None, None
+    last = _last_cut(v, text, cut)
+    return text[:cut], text[cut:last], text[last:]
+
+
+def transfer(v: Vocabulary, head: str, middle: int | None, tail: str | None, lead: int) -> np.ndarray:
+    """M[a, b]: best score from position b before the chunk's beginning to position a before its end; ``middle`` is a score."""
     width = v.longest
     m = np.full((width, width), NONE, np.int64)
-    cut = _first_cut(v, text, lead)
-    if cut is None or len(text) - cut < width:
-        for b in range(min(width, lead + 1)):
-            first = [NONE] * (lead + 1)
-            first[lead - b] = 0
-            score, _ = v.best(text, first)
-            for a in range(min(width, len(text) - lead + 0)):
-                m[a, b] = score[len(text) - a]
-        return m
-    # every segmentation passes the cut: beginnings up to it, one score from it on
-    last = max((k for k in _cuts(text, lead) if len(text) - k >= width), default=cut)
-    middle = sum(s for s, _ in map(v.word, _WORDS.findall(text[cut:last])))
-    tail, _ = v.best(text[last:], [0])
+    behind = None if tail is None else v.best(tail, [0])[0]
     for b in range(min(width, lead + 1)):
         first = [NONE] * (lead + 1)
         first[lead - b] = 0
-        head = v.best(text[:cut], first)[0][cut]
-        if head > NONE:
+        score, _ = v.best(head, first)
+        if behind is None:
+            for a in range(min(width, len(head) - lead)):
+                m[a, b] = score[len(head) - a]
+        elif score[len(head)] > NONE:
             for a in range(width):
-                if tail[len(tail) - 1 - a] > NONE:
-                    m[a, b] = head + middle + tail[len(tail) - 1 - a]
+                if behind[len(behind) - 1 - a] > NONE:
+                    m[a, b] = score[len(head)] + middle + behind[len(behind) - 1 - a]
     return m
 
 
@@ -303,6 +320,14 @@ def _first_cut(v: Vocabulary, text: str, lead: int) -> int | None:
     return next(_cuts(text, lead), None) if v.cuts else None
 
 
+def _last_cut(v: Vocabulary, text: str, first: int) -> int:
+    """The last cut with a whole piece's length behind it: every end that matters lies behind it."""
+    at = len(text) - v.longest
+    while at > first and not (text[at] == " " and text[at - 1] != " "):
+        at -= 1
+    return max(at, first)
+
+
 def combine(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     """Max-plus products of stacks of matrices."""
     out = (later[:, :, :, None] + earlier[:, None, :, :]).max(axis=2)
@@ -318,20 +343,30 @@ def prefix_products(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def ends_to_beginnings(v: Vocabulary, text: str, lead: int, entry: np.ndarray) -> np.ndarray:
+def ends_to_beginnings(v: Vocabulary, head: str, tail: str | None, lead: int, entry: np.ndarray) -> np.ndarray:
     """For each distance a of an end, the distance b of the beginning that its back-trace reaches; -1: no such end."""
-    score, back = v.best(text, _first(entry, lead))
+    score, back = v.best(head, _first(entry, lead))
     out = np.full(v.longest, -1, np.int32)
+
+    def beginning(at: int) -> int:
+        while at > lead:
+            at -= back[at]
+        return lead - at
+
+    if tail is not None:  # every back-trace passes the cuts: one beginning for all ends
+        if score[len(head)] > NONE:
+            behind, _ = v.best(tail, [0])
+            start = beginning(len(head))
+            for a in range(v.longest):
+                if behind[len(behind) - 1 - a] > NONE:
+                    out[a] = start
+        return out
     for a in range(v.longest):
-        at = len(text) - a
+        at = len(head) - a
         if at <= lead:
             out[a] = lead - at if 0 <= at and lead - at < v.longest else -1
-            continue
-        if score[at] <= NONE:
-            continue
-        while at > lead:
-            at -= back[at]
-        out[a] = lead - at
+        elif score[at] > NONE:
+            out[a] = beginning(at)
     return out
 
 
@@ -339,12 +374,21 @@ def _first(entry: np.ndarray, lead: int) -> list[int]:
     return [int(entry[lead - k]) if lead - k < len(entry) else NONE for k in range(lead + 1)]
 
 
-def trace(v: Vocabulary, text: str, lead: int, entry: np.ndarray, end: int) -> tuple[int, bytes]:
+def trace(
+    v: Vocabulary, head: str, middle: tuple[int, bytes] | None, tail: str | None, lead: int, entry: np.ndarray, end: int
+) -> tuple[int, bytes]:
     """Score at the end and ids of the pieces that end after the chunk's beginning, up to distance ``end`` before its end."""
-    score, back = v.best(text, _first(entry, lead))
-    at, parts = len(text) - end, []
-    total = score[at]
-    while at > lead:
+    if tail is None:
+        return _back(v, head, *v.best(head, _first(entry, lead)), len(head) - end, lead)
+    before, first = _back(v, head, *v.best(head, _first(entry, lead)), len(head), lead)
+    behind, last = _back(v, tail, *v.best(tail, [0]), len(tail) - end, 0)
+    return before + middle[0] + behind, first + middle[1] + last
+
+
+def _back(v: Vocabulary, text: str, score: list[int], back: list[int], at: int, begin: int) -> tuple[int, bytes]:
+    """Score at ``at`` and the ids of its best segmentation from ``begin`` on."""
+    total, parts = score[at], []
+    while at > begin:
         parts.append(v.ids_of(text[at - back[at] : at]))
         at -= back[at]
     return total, np.array([i for p in reversed(parts) for i in p], "<u4").tobytes()
@@ -353,7 +397,7 @@ def trace(v: Vocabulary, text: str, lead: int, entry: np.ndarray, end: int) -> t
 KEY = "k1 bigint, k2 bigint"
 
 
-def _parts(texts: pa.Array, characters: int = 1 << 20) -> Iterator[list[str]]:
+def _parts(texts: pa.Array, characters: int = 1 << 22) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for text in texts:
@@ -417,8 +461,20 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            found = [transfer(v, t, lead).tobytes() for t, lead in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["k1", "k2", "chunk", "m"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                leads = part.column(3).to_pylist()
+                cut = [split(v, text, lead) for text, lead in zip(part.column(4).to_pylist(), leads)]
+                middles = v.between_cuts([m for _, m, _ in cut])
+                found = [
+                    transfer(v, head, m and m[0], tail, lead).tobytes() for (head, _, tail), m, lead in zip(cut, middles, leads)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.array([h for h, _, _ in cut], pa.string()), pa.array([t for _, _, t in cut], pa.string()),
+                     pa.array([m and m[0] for m in middles], pa.int64()), pa.array([m and m[1] for m in middles], pa.binary()),
+                     pa.array(found, pa.binary())],
+                    names=["k1", "k2", "chunk", "lead", "head", "tail", "middle", "ids", "m"],
+                )
 
     def entries(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk", ignore_index=True)
@@ -429,18 +485,19 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
         found = [start, *np.maximum((products + start).max(axis=2), NONE)[:-1]]
         return group[["k1", "k2", "chunk"]].assign(entry=[x.tobytes() for x in found])
 
+    parts = f"{KEY}, chunk int, lead int, head string, tail string, middle bigint, ids binary, m binary"
+    segmented = stored(map_batches(chunks, matrices, parts), "sp-matrices")
     entry = stored(
-        map_batches(chunks, matrices, f"{KEY}, chunk int, m binary").groupBy("k1", "k2").applyInPandas(entries, f"{KEY}, chunk int, entry binary"),
-        "sp-entries",
+        segmented.select("k1", "k2", "chunk", "m").groupBy("k1", "k2").applyInPandas(entries, f"{KEY}, chunk int, entry binary"), "sp-entries"
     )
-    ready = chunks.join(entry, ["k1", "k2", "chunk"])
+    ready = segmented.drop("m").join(entry, ["k1", "k2", "chunk"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
             found = [
-                ends_to_beginnings(v, t, lead, np.frombuffer(e, np.int64)).tobytes()
-                for lead, t, e in zip(*(batch.column(c).to_pylist() for c in ("lead", "text", "entry")))
+                ends_to_beginnings(v, head, tail, lead, np.frombuffer(e, np.int64)).tobytes()
+                for head, tail, lead, e in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "lead", "entry")))
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["k1", "k2", "chunk", "way"])
 
@@ -453,15 +510,17 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
         return group[["k1", "k2", "chunk"]].assign(end=found[::-1])
 
     end = stored(
-        map_batches(ready, maps, f"{KEY}, chunk int, way binary").groupBy("k1", "k2").applyInPandas(ends, f"{KEY}, chunk int, end int"), "sp-ends"
+        map_batches(ready.select("k1", "k2", "chunk", "head", "tail", "lead", "entry"), maps, f"{KEY}, chunk int, way binary").groupBy("k1", "k2").applyInPandas(ends, f"{KEY}, chunk int, end int"), "sp-ends"
     )
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
             found = [
-                trace(v, t, lead, np.frombuffer(e, np.int64), stop)
-                for lead, t, e, stop in zip(*(batch.column(c).to_pylist() for c in ("lead", "text", "entry", "end")))
+                trace(v, head, None if tail is None else (middle, ids), tail, lead, np.frombuffer(e, np.int64), stop)
+                for head, tail, middle, ids, lead, e, stop in zip(
+                    *(batch.column(c).to_pylist() for c in ("head", "tail", "middle", "ids", "lead", "entry", "end"))
+                )
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([s for s, _ in found], pa.int64()), pa.array([i for _, i in found], pa.binary()),
