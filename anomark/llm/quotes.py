@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anomark.llm.common import map_batches, stored, task_count
-from anomark.operators.sequence import position_within
+from anomark.operators.sequence import number_rows, position_within
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 
@@ -218,7 +218,8 @@ def quoted_mail(turns: DataFrame) -> DataFrame:
 
     Turns are numbered from 0 within their conversation, whatever their values; differing rows of one turn are messages of
     their own, in the order of their texts, and repeated rows are one. msg_id is conv_id times a million, or times the
-    number of messages of the longest conversation if that is more, plus that number.
+    number of messages of the longest conversation if that is more, plus that number. Where some conv_id is no integer, or
+    too large for that, messages are numbered in the order of (conv_id, number) instead.
     """
     said = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text").distinct()
     base = stored(position_within(said, ["conv_id"], ["turn", "text"], "place", start=0).select("conv_id", "place", "text"), "quotes-turns")
@@ -230,8 +231,17 @@ def quoted_mail(turns: DataFrame) -> DataFrame:
     def marked(name: str, mark: str):
         return F.when(F.col(name).isNotNull(), F.concat(F.lit(mark), F.replace(name, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n\n"))).otherwise("")
 
-    mail = base.join(before(1), ["conv_id", "place"], "left").join(before(2), ["conv_id", "place"], "left")
+    if base.schema["conv_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        far = base.agg(F.max(F.greatest(F.col("conv_id"), -(F.col("conv_id") + 1)).cast("bigint"))).first()[0] or 0
+    else:
+        far = None
+    if far is not None and (far + 1) * stride < 1 << 63:
+        numbered = base.withColumn("msg_id", F.col("conv_id").cast("bigint") * F.lit(stride).cast("bigint") + F.col("place"))
+    else:
+        numbered = stored(number_rows(base, ["conv_id", "place"], "msg_id"), "quotes-numbered")
+
+    mail = numbered.join(before(1), ["conv_id", "place"], "left").join(before(2), ["conv_id", "place"], "left")
     return mail.select(
-        (F.col("conv_id") * F.lit(stride).cast("bigint") + F.col("place")).alias("msg_id"),
+        "msg_id",
         F.concat(marked("text2", ">> "), marked("text1", "> "), F.coalesce("text", F.lit(""))).alias("text"),
     )
