@@ -125,8 +125,8 @@ def sum_of_squares(lengths: list[int], window: int) -> tuple[np.ndarray, np.ndar
 def packed(parts: DataFrame, window: int = 1024, group_rows: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to parts(doc_id, start, length, ...). Sequence ids are unique, not dense.
 
-    ``group_rows`` bounds what one packer sees; the number of packers grows with the pieces. Rows of one
-    group arrive ordered by all their columns, so equal inputs give equal packings; equal rows are interchangeable.
+    ``parts`` is a written table: its rows are dealt in turn, by their place in it, so that equal rows are spread like others
+    and one packer sees about ``group_rows``; the number of packers grows with the pieces.
     """
     groups = max(1, -(-parts.count() // group_rows))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -140,7 +140,10 @@ def packed(parts: DataFrame, window: int = 1024, group_rows: int = 50_000) -> Da
         sequence, offset = sum_of_squares(rows["length"].tolist(), window)
         return rows.assign(sequence_id=sequence * groups + group, offset=offset)
 
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(groups)))
+    # places begin anew in each part of the table, at a group of its own
+    place = F.monotonically_increasing_id()
+    own, first = place.bitwiseAND((1 << 33) - 1), F.shiftright(place, 33)
+    dealt = parts.withColumn("__group", F.pmod(own + F.xxhash64(first), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(pack, schema)
 
 
@@ -150,11 +153,6 @@ def pack_documents(
     """docs(doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text packs as an empty text. Repeated rows are packed as often as they come. A sequence is padded to the
-    window, except when its fill is a power of two (``padding_of``). An empty table gives an empty result.
+    window, except when its fill is a power of two. An empty table gives an empty result.
     """
     return packed(stored(pieces(docs, vocabulary, ranks, window, end_id), "packing-pieces"), window, group_rows)
-
-
-def padding_of(fill: F.Column, window: int) -> F.Column:
-    """Padding of a sequence with ``fill`` tokens: up to the window, none at a power of two."""
-    return F.when(F.bit_count(fill) == 1, F.lit(0)).otherwise(F.lit(window) - fill)
