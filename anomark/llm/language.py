@@ -10,7 +10,6 @@ The model is fitted on a documented, bounded sample (``docs_per_lang`` labelled
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,14 @@ from pyspark.sql import functions as F
 
 from anomark.llm.common import map_batches, utf8
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode categories L): numerals such as a half or a superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -157,28 +160,34 @@ class Predictor:
 
 
 def training_windows(labelled: DataFrame, docs_per_lang: int, sample_docs: int, windows_per_doc: int, window: int) -> list:
-    """(lang, window bytes) rows of a bounded sample: documents by the least hash of their id, windows evenly spread."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = min(docs_per_lang, max(1, sample_docs // max(1, len(counts))))
-    if not counts:
+    """(lang, window bytes) rows of a bounded sample: documents by the least hash of their id, windows evenly spread.
+
+    Only the number of languages and the sample itself reach the driver."""
+    counts = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
+    languages = counts.count()
+    if not languages:
         return []
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, float(each) / n)))
+    each = min(docs_per_lang, max(1, sample_docs // languages))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, parts = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not LETTER.search(text.decode("utf-8", "replace")):
+            draws, langs, parts = [], [], []
+            for lang, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if not has_letter(text.decode("utf-8", "replace")):
                     continue
                 x = windows_of(text, window)
                 for k in np.unique(np.linspace(0, len(x) - 1, min(windows_per_doc, len(x))).astype(int)).tolist():
+                    draws.append(at)
                     langs.append(lang)
                     parts.append(x[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(draws, pa.float64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["draw", "lang", "part"]
+            )
 
-    drawn = labelled.where(draw < share[F.col("lang")]).select("lang", utf8("text").alias("text"))
-    rows = map_batches(drawn, cut, "lang string, part binary").limit(2 * windows_per_doc * each * len(counts)).collect()
+    drawn = labelled.withColumn("draw", draw).join(counts, F.col("lang") == F.col("__lang")).where(F.col("draw") < F.lit(float(each)) / F.col("__n"))
+    parts = map_batches(drawn.select("lang", utf8("text").alias("text"), "draw"), cut, "draw double, lang string, part binary")
+    rows = parts.orderBy("draw", "lang", "part").limit(2 * windows_per_doc * each * languages).collect()
     return sorted((r["lang"], bytes(r["part"])) for r in rows)
 
 
@@ -226,7 +235,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 raw = text.as_py()
-                if not raw or not LETTER.search(raw.decode("utf-8", "replace")):
+                if not raw or not has_letter(raw.decode("utf-8", "replace")):
                     continue
                 if predictor is None:
                     sures[k] = 1.0
