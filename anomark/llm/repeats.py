@@ -284,7 +284,9 @@ def _spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["g", "p", "n", "offset", "span", "large"])
 
-    joined = _keyed(docs).join(wanted, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select("__bytes", "parts")
+    # repeated rows have one key: each is cut once
+    once = _keyed(docs).groupBy("__k1", "__k2").agg(F.first("__bytes").alias("__bytes"))
+    joined = once.join(wanted, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select("__bytes", "parts")
     return map_batches(joined, cut, "g bigint, p bigint, n bigint, offset int, span binary, large boolean")
 
 
@@ -358,8 +360,11 @@ def repeated_bytes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length:
 
     A byte belongs to a repeated string if a ``length``-byte string that covers it also starts anywhere else, in any row of
     the table (repeated rows are documents of their own) or in the same text. Null text is empty; a text shorter than
-    ``length`` repeats nothing; an empty table gives an empty result. Only doc_id, text and ``keep`` are read.
+    ``length`` repeats nothing; an empty table gives an empty result. Only doc_id, text and ``keep`` are read. A length
+    of more than 256 is refused, as a run's place holds its windows and its anchor in a byte each.
     """
+    if not gram <= length <= 256:
+        raise ValueError("length must be at least gram and at most 256")
     found = _all_runs(docs, length, gram)
     # written, so that the join below reads two plain exchanges, of which Spark can split a hot anchor's side
     groups = stored(
