@@ -8,11 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from anomark.llm import language, lm_score, order_minhash, packing, quality, quotes, repeats, secrets, sentencepiece_scan, simhash
 from anomark.llm.common import piece_model, vocabulary
+from anomark.session import scratch_path
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -557,3 +560,44 @@ def test_quoted_mail_loses_no_turn(spark):
     ]
     assert {r["msg_id"]: r["parent"] for r in got}[2] == 1
     assert quotes.quoted_mail(spark.createDataFrame([], "conv_id long, turn int, text string")).count() == 0
+
+
+# --- cases of earlier operators
+
+
+def test_texts_of_numerals_are_undetermined(spark):
+    rows = [(k, "ni hao shi jie" if k % 2 else "hello there world", "zh" if k % 2 else "en") for k in range(1, 60)]
+    odd = [(100, "½ ² ①", None), (101, "Ⅷ ٣ 42 ___", None), (102, "5 µ", None), (103, None, None), (104, "", None)]
+    table = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table).collect()}
+    assert [got[i] for i, *_ in odd] == ["und", "und", got[102], "und", "und"] and got[102] in ("en", "zh")
+
+
+def test_quoted_mail_of_any_conversation_id(spark):
+    rows = [("b", 0, "one"), ("b", 1, "two"), ("a", 0, "three")]
+    for ids, kind in (({"a": 10**13, "b": 2**62}, "long"), ({"a": "x", "b": "y"}, "string"), ({"a": -(2**63), "b": 5}, "long")):
+        table = spark.createDataFrame([(ids[c], t, x) for c, t, x in rows], f"conv_id {kind}, turn int, text string")
+        got = quotes.conversations(quotes.quoted_mail(table)).collect()
+        assert sorted((r["msg_id"], r["text"], r["parent"]) for r in got) == [(0, "three", None), (1, "one", None), (2, "two", 1)]
+
+
+def test_equal_rows_are_spread_over_packers(spark):
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    parts = spark.createDataFrame([(1, 0, 700, 5, 700)] * 2000, schema).repartition(4)
+    path = scratch_path(spark, "equal-parts")
+    parts.write.parquet(path)
+    got = packing.packed(spark.read.parquet(path), 1024, group_rows=100)
+    groups = [r["count"] for r in got.groupBy((got["sequence_id"] % 20).alias("g")).count().collect()]
+    assert len(groups) == 20 and max(groups) <= 130
+    assert got.select("sequence_id").distinct().count() == 2000
+
+
+def test_repeats_of_repeated_rows(spark):
+    """Each span of a repeated row is cut once, and no length is taken that a run's place cannot hold."""
+    text = prose(3, 200)
+    table = spark.createDataFrame([(1, text)] * 200 + [(2, prose(4, 100) + text[100:600]), (3, "x" * 500)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.digest(table).collect()}
+    size = len(text.encode())
+    assert (got[1]["n_removed"], got[1]["n_spans"]) == (size, 1) and got[2]["n_spans"] == 1 and got[3]["n_removed"] == 500
+    with pytest.raises(ValueError):
+        repeats.digest(table, length=300)
