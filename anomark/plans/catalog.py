@@ -279,6 +279,23 @@ def q_build_metadata(spark: SparkSession, data_dir: str) -> DataFrame:
     return _metadata_rows(*_parsed_metadata(spark, data_dir))
 
 
+def q_metadata_shared(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Metadata in which all models share a property, each with parameters of its own."""
+    from anomark.operators.assembly import build_metadata
+    from anomark.sources.events import machines_from_events, model_properties_from_events
+    from anomark.sources.triples import render_metadata_triples
+
+    ev = _events(spark, data_dir)
+    own = model_properties_from_events(ev)
+    number = F.regexp_extract("model_id", "[0-9]+", 0).cast("int")
+    shared = own.select("model_id").distinct().select(
+        "model_id", F.lit("_shared").alias("property_id"), (number + 2).alias("num_clusters"),
+        ((number + 1) / 1000).alias("prob_threshold"), (number != 3).alias("stateful"),
+    )
+    lines = render_metadata_triples(machines_from_events(ev), own.unionByName(shared))
+    return _metadata_rows(*build_metadata(_stored_triples(spark, lines, "shared-triples")))
+
+
 def q_metadata_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
     """Metadata parsed from triples, saved as a snapshot in the shared folder, loaded back."""
     from anomark.session import scratch_path
@@ -436,6 +453,7 @@ QUERIES.update(
         "parse_triples": q_parse_triples,
         "build_metadata": q_build_metadata,
         "metadata_roundtrip": q_metadata_roundtrip,
+        "metadata_shared": q_metadata_shared,
         "assemble_observations": q_assemble_observations,
         "assemble_by_position": q_assemble_by_position,
         "triples_anomalies": q_triples_anomalies,

@@ -384,6 +384,16 @@ FROM u, (SELECT unnest(range(3)) AS j)
 """
 
 
+def metadata_shared() -> str:
+    """Each model with its own cluster count, threshold and flag of the property that all share."""
+    return build_metadata() + """
+UNION ALL
+SELECT 'Machine_' || user_id, 'MachineModel_' || (user_id % 5), '_shared', CAST(user_id % 5 + 2 AS INTEGER),
+       (user_id % 5 + 1) / 1000.0::DOUBLE, user_id % 5 <> 3
+FROM u
+"""
+
+
 def assemble_observations() -> str:
     return f"""
 WITH {EV3}
