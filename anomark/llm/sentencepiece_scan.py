@@ -375,14 +375,15 @@ def _first(entry: np.ndarray, lead: int) -> list[int]:
 
 
 def trace(
-    v: Vocabulary, head: str, middle: tuple[int, bytes] | None, tail: str | None, lead: int, entry: np.ndarray, end: int
-) -> tuple[int, bytes]:
-    """Score at the end and ids of the pieces that end after the chunk's beginning, up to distance ``end`` before its end."""
+    v: Vocabulary, head: str, tail: str | None, lead: int, entry: np.ndarray, end: int
+) -> tuple[int, bytes, bytes | None]:
+    """Score and ids of the pieces that end after the chunk's beginning, up to distance ``end`` before its end: without those
+    between its cuts, before and behind which the ids stand."""
     if tail is None:
-        return _back(v, head, *v.best(head, _first(entry, lead)), len(head) - end, lead)
+        return *_back(v, head, *v.best(head, _first(entry, lead)), len(head) - end, lead), None
     before, first = _back(v, head, *v.best(head, _first(entry, lead)), len(head), lead)
     behind, last = _back(v, tail, *v.best(tail, [0]), len(tail) - end, 0)
-    return before + middle[0] + behind, first + middle[1] + last
+    return before + behind, first, last
 
 
 def _back(v: Vocabulary, text: str, score: list[int], back: list[int], at: int, begin: int) -> tuple[int, bytes]:
@@ -490,7 +491,8 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
     entry = stored(
         segmented.select("k1", "k2", "chunk", "m").groupBy("k1", "k2").applyInPandas(entries, f"{KEY}, chunk int, entry binary"), "sp-entries"
     )
-    ready = segmented.drop("m").join(entry, ["k1", "k2", "chunk"])
+    ends_only = segmented.select("k1", "k2", "chunk", "lead", "head", "tail", "middle")
+    ready = ends_only.join(entry, ["k1", "k2", "chunk"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -517,29 +519,30 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = 32_768) -> DataFr
         v = vocabulary(model)
         for batch in batches:
             found = [
-                trace(v, head, None if tail is None else (middle, ids), tail, lead, np.frombuffer(e, np.int64), stop)
-                for head, tail, middle, ids, lead, e, stop in zip(
-                    *(batch.column(c).to_pylist() for c in ("head", "tail", "middle", "ids", "lead", "entry", "end"))
-                )
+                trace(v, head, tail, lead, np.frombuffer(e, np.int64), stop)
+                for head, tail, lead, e, stop in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "lead", "entry", "end")))
             ]
+            scores = [s + (m or 0) for (s, _, _), m in zip(found, batch.column("middle").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([s for s, _ in found], pa.int64()), pa.array([i for _, i in found], pa.binary()),
-                 pa.array([v.decode(i) for _, i in found], pa.binary())],
-                names=["k1", "k2", "chunk", "score", "ids", "raw"],
+                [*batch.columns[:3], pa.array(scores, pa.int64()), pa.array([i for _, i, _ in found], pa.binary()), pa.array([i for _, _, i in found], pa.binary())],
+                names=["k1", "k2", "chunk", "score", "first", "last"],
             )
 
-    pieces = map_batches(ready.join(end, ["k1", "k2", "chunk"]), traced, f"{KEY}, chunk int, score bigint, ids binary, raw binary")
-    whole = pieces.groupBy("k1", "k2").agg(
-        F.max_by("score", "chunk").alias("score"),
-        F.count("*").cast("int").alias("n_chunks"),
-        F.array_sort(F.collect_list(F.struct("chunk", "ids", "raw"))).alias("parts"),
+    pieces = map_batches(ready.join(end, ["k1", "k2", "chunk"]), traced, f"{KEY}, chunk int, score bigint, first binary, last binary")
+    # ids move once, to their document: those before, between and behind the cuts of a chunk are three parts of it
+    part = lambda k, ids: F.struct((F.col("chunk") * 3 + k).alias("at"), F.col(ids).alias("ids"))
+    outer = pieces.select("k1", "k2", "chunk", "score", F.explode(F.array(part(0, "first"), part(2, "last"))).alias("p"))
+    inner = segmented.select("k1", "k2", "chunk", F.lit(None).cast("bigint").alias("score"), part(1, "ids").alias("p"))
+    whole = outer.unionAll(inner).where("p.ids IS NOT NULL").groupBy("k1", "k2").agg(
+        F.max_by("score", F.when(F.col("score").isNotNull(), F.col("chunk"))).alias("score"),
+        (F.max("chunk") + 1).cast("int").alias("n_chunks"),
+        F.array_sort(F.collect_list("p")).alias("parts"),
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column(3).to_pylist()
-            ids = [b"".join(p["ids"] for p in doc) for doc in parts]
-            texts = [b"".join(p["raw"] for p in doc).decode()[1:] for doc in parts]
+            ids = [b"".join(p["ids"] for p in doc) for doc in batch.column(3).to_pylist()]
+            texts = [vocabulary(model).decode(i).decode()[1:] for i in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=names)
 
     large = giant.select("doc_id", "k1", "k2").join(whole, ["k1", "k2"]).select("doc_id", "score", "n_chunks", "parts")
