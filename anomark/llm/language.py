@@ -162,12 +162,12 @@ class Predictor:
 def training_windows(labelled: DataFrame, docs_per_lang: int, sample_docs: int, windows_per_doc: int, window: int) -> list:
     """(lang, window bytes) rows of a bounded sample: documents by the least hash of their id, windows evenly spread.
 
-    Only the number of languages and the sample itself reach the driver."""
-    counts = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
-    languages = counts.count()
-    if not languages:
+    At most ``sample_docs`` languages are learned, the most frequent ones: no more than these counts and the sample reach the driver."""
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(sample_docs).collect()
+    if not found:
         return []
-    each = min(docs_per_lang, max(1, sample_docs // languages))
+    each = min(docs_per_lang, max(1, sample_docs // len(found)))
+    share = F.create_map(*(F.lit(v) for r in found for v in (r["lang"], float(each) / r["n"])))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +185,9 @@ def training_windows(labelled: DataFrame, docs_per_lang: int, sample_docs: int,
                 [pa.array(draws, pa.float64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["draw", "lang", "part"]
             )
 
-    drawn = labelled.withColumn("draw", draw).join(counts, F.col("lang") == F.col("__lang")).where(F.col("draw") < F.lit(float(each)) / F.col("__n"))
+    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
     parts = map_batches(drawn.select("lang", utf8("text").alias("text"), "draw"), cut, "draw double, lang string, part binary")
-    rows = parts.orderBy("draw", "lang", "part").limit(2 * windows_per_doc * each * languages).collect()
+    rows = parts.orderBy("draw", "lang", "part").limit(2 * windows_per_doc * each * len(found)).collect()
     return sorted((r["lang"], bytes(r["part"])) for r in rows)
 
 
