@@ -4,17 +4,23 @@ Two interpolated bigram models, one of the target documents and one of all docum
 word of all documents, unless a caller limits it) and the same smoothing. A document's score is the mean over its tokens of the loss under the target model minus the loss under
 the background model: the lower, the closer to the target.
 
-1. A task numbers the words of about ``HELD_TOKENS`` tokens at a time and writes each (context, word) pair of these once,
-   with its counts and the documents that hold it. A pair that every document holds is so one row a chunk.
-2. Both models are one Spark table of exact pairs that grows with the input: their counts summed over the chunks, joined
-   with the counts of the context and of the word.
-3. The chunks' pairs are joined to their losses, which are summed per document as whole numbers, so that a score does not
-   depend on the order of the rows.
+1. A task numbers the words of about ``HELD_TOKENS`` tokens at a time and writes this chunk once: its words, and its
+   documents as word numbers. All that follows is made from the chunks, whatever task is run again.
+2. Words: a chunk sends each of its words with its counts to the word's bucket, a bucket sums the chunks' counts and gives
+   each word its number in the corpus, frequent words the small ones, and answers the chunk.
+3. Pairs: a chunk sends each (context, word) pair of corpus numbers once with its counts to the pair's bucket, and has the
+   pair's counts in the corpus back. So a word or pair that every document has is one entry a chunk, and both models are
+   tables of exact counts that grow with the input.
+4. A chunk has now the counts of all its pairs, contexts and words and sums the losses of its documents in token order.
+
+What is sent is one row per chunk and bucket, with whole numbers as compressed columns. The number of buckets grows with
+the input, so that a bucket has about as many entries at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,17 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomark.llm.common import map_batches, stored, utf8
+from anomark.llm.common import map_batches, stored, task_count, utf8
 
 HELD_WORDS = 300_000
 HELD_TOKENS = 1_000_000
+# Entries of a bucket: about so many words, so many pairs.
+BUCKET_WORDS = 250_000
+BUCKET_PAIRS = 1_000_000
 # No word is empty or has white space.
 START, REST = b"", b"\t"
+# Kinds of rows that meet at a chunk, in the order in which they are read.
+CHUNK, TARGETS, WORDS, PAIRS = range(4)
 
 
 def word_key(word: bytes) -> bytes:
     """A word as it is, or a 128-bit hash of a long one, after a byte that no word has."""
-    return word if len(word) <= 16 else b"\n" + hashlib.blake2b(word, digest_size=16).digest()
+    return word if len(word) <= 16 else b"\n" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -78,6 +89,31 @@ def buckets(ids: np.ndarray) -> np.ndarray:
     return ids[:-1].astype(np.int64) << 32 | ids[1:].astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more as compressed planes of their bytes."""
+    planes = np.asarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = 8 - int(np.argmax(planes.any(axis=1)[::-1])) if planes.any() else 0
+    body = pa.compress(np.ascontiguousarray(planes[:width]).tobytes(), "zstd", asbytes=True) if width else b""
+    return len(values).to_bytes(8, "little") + bytes([width]) + body
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    planes = np.zeros((n, 8), np.uint8)
+    if width:
+        body = pa.decompress(data[9:], n * width, "zstd", asbytes=True)
+        planes[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
+    return planes.view("<u8").ravel().astype(np.int64)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return packed(np.frombuffer(b" ".join(words), np.uint8))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return unpacked(data).astype(np.uint8).tobytes().split(b" ")
+
+
 class Numbers(dict):
     """word -> its number among the words of a chunk; words with keys outside ``known`` (None: no limit) are one word."""
 
@@ -93,89 +129,221 @@ class Numbers(dict):
         return number
 
 
-def chunk_rows(number: int, ids: pa.Array, targets: list[bool], seqs: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """A chunk's documents (doc_id, n_tokens), then its pairs with counts and holders (document's place << 32 | count)."""
+CHUNK_NAMES = ["chunk", "doc", "doc_id", "n_tokens", "n_words", "ids", "sizes", "words"]
+
+
+def chunk_rows(number: int, ids: pa.Array, seqs: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents (doc_id, n_tokens), then the chunk: its documents' word numbers after the start's, one by one."""
     n = len(seqs)
+    sizes = np.array([len(s) for s in seqs], np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array([len(s) - 1 for s in seqs], pa.int64()),
-         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.nulls(n, pa.int64()),) * 2, pa.nulls(n, pa.list_(pa.int64()))],
-        names=NAMES,
+        [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(sizes - 1), pa.nulls(n, pa.int64()),
+         *(pa.nulls(n, pa.binary()),) * 3],
+        names=CHUNK_NAMES,
     )
-    order = np.array(sorted(range(len(words)), key=words.__getitem__))
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    pairs, at = np.unique(np.concatenate([buckets(rank[s]) for s in seqs]), return_inverse=True)
-    if not len(pairs):
-        return
-    held, times = np.unique(at * n + np.repeat(np.arange(n), [len(s) - 1 for s in seqs]), return_counts=True)
-    pair, doc = held // n, held % n
-    first = np.searchsorted(pair, np.arange(len(pairs) + 1))
-    both = [np.add.reduceat(x, first[:-1]) for x in (times, times * np.array(targets)[doc])]
-    named = pa.array([words[k] for k in order], pa.binary())
-    posts = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(doc << 32 | times))
-    whole = pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(pairs), number)), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), ids.type), pa.nulls(len(pairs), pa.int64()),
-         named.take(pa.array(pairs >> 32)), named.take(pa.array(pairs & 0xFFFFFFFF)), *map(pa.array, both), posts],
-        names=NAMES,
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, ids.type), pa.array([int(sizes.sum())]), pa.array([len(words)]),
+         *(pa.array([x], pa.binary()) for x in (packed(np.concatenate(seqs)), packed(sizes), packed_words(words)))],
+        names=CHUNK_NAMES,
     )
-    for k in range(0, len(pairs), 50_000):
-        yield whole.slice(k, 50_000)
-
 
-NAMES = ["chunk", "doc", "doc_id", "n_tokens", "context", "word", "n0", "n1", "posts"]
 
-
-def postings(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
-    """docs(doc_id, text, target boolean) -> a row per document and one per chunk and pair (n0 of all, n1 of the targets)."""
+def chunks(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
+    """docs(doc_id, text) -> a row per document and one per chunk."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, targets, seqs, numbers, tokens = [], [], [], Numbers(sent.value), 0
+        ids, seqs, numbers, tokens = [], [], Numbers(sent.value), 0
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for i, text, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = text.as_py().split()
                 ids.append(i)
-                targets.append(target)
                 seqs.append(np.fromiter((0, *map(numbers.__getitem__, words)), np.int32, len(words) + 1))
                 tokens += len(words) + 1
                 if tokens >= HELD_TOKENS:
-                    yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
+                    yield from chunk_rows(number, pa.array(ids, kind), seqs, list(numbers.of))
                     number += 1
-                    ids, targets, seqs, numbers, tokens = [], [], [], Numbers(sent.value), 0
+                    ids, seqs, numbers, tokens = [], [], Numbers(sent.value), 0
         if ids:
-            yield from chunk_rows(number, pa.array(ids, kind), targets, seqs, list(numbers.of))
+            yield from chunk_rows(number, pa.array(ids, kind), seqs, list(numbers.of))
 
     of = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(
-        docs.select("doc_id", utf8("text").alias("text"), "target"),
+        docs.select("doc_id", utf8("text").alias("text")),
         run,
-        f"chunk bigint, doc int, doc_id {of}, n_tokens bigint, context binary, word binary, n0 bigint, n1 bigint, posts array<bigint>",
+        f"chunk bigint, doc int, doc_id {of}, n_tokens bigint, n_words bigint, ids binary, sizes binary, words binary",
     )
 
 
-def pair_losses(rows: DataFrame, weight: float) -> DataFrame:
-    """pair rows -> (context, word, loss0, loss1): loss of each pair under the background and the target model, in nats.
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each value of ``key``, by which the rows come in order."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and rows[0][key] != row[key]:
+                yield rows[0][key], rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows[0][key], rows
+
+
+def batch_of(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
+    n = max(len(c) for c in columns.values())
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
+
+
+def split(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by bucket, (bucket, begin, end) of each one in that order)."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first[1:], len(bucket))
+    return order, list(zip(found.tolist(), first.tolist(), ends.tolist()))
+
+
+class Chunk:
+    """A chunk's documents, and the counts of its words and pairs as far as they are known."""
+
+    def __init__(self, rows: list[dict], word_buckets: int, pair_buckets: int):
+        of = {k: [r for r in rows if r["kind"] == k] for k in (CHUNK, TARGETS, WORDS, PAIRS)}
+        self.seq, self.sizes = unpacked(of[CHUNK][0]["a"]), unpacked(of[CHUNK][0]["b"])
+        self.words = unpacked_words(of[CHUNK][0]["c"])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        target = np.zeros(len(self.sizes), bool)
+        target[[place for r in of[TARGETS] for place in r["places"]]] = True
+        self.target = np.repeat(target, self.sizes)
+        # a token and the one before it; the start is a context of the first one, and counted where it is one
+        self.second = np.delete(np.arange(len(self.seq)), self.first)
+        self.word_order, self.word_parts = split(np.array([zlib.crc32(w) for w in self.words], np.int64) % word_buckets)
+        if of[WORDS]:
+            self.numbers, *self.counts = self.gathered(of[WORDS], "abc", self.word_order)
+            self.number_pairs(pair_buckets)
+        if of[PAIRS]:
+            self.pair_counts = self.gathered(of[PAIRS], "ab", self.pair_order)
+
+    @staticmethod
+    def gathered(rows: list[dict], names: str, order: np.ndarray) -> list[np.ndarray]:
+        """Answers of all buckets, in their order, at the places of what was asked."""
+        found = []
+        for name in names:
+            values = np.empty(len(order), np.int64)
+            values[order] = np.concatenate([unpacked(r[name]) for r in sorted(rows, key=lambda r: r["bucket"])])
+            found.append(values)
+        return found
+
+    def word_counts(self) -> list[np.ndarray]:
+        counted = np.concatenate([self.second, self.first[self.sizes > 1]])
+        return [np.bincount(self.seq[x], minlength=len(self.words)) for x in (counted, counted[self.target[counted]])]
+
+    def number_pairs(self, pair_buckets: int) -> None:
+        """The chunk's distinct pairs in the order of their corpus numbers, and each token's pair."""
+        order = np.argsort(self.numbers)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = rank[self.seq[self.second - 1]] * len(order) + rank[self.seq[self.second]]
+        pairs, self.pair_of = np.unique(key, return_inverse=True)
+        self.context, self.word = order[pairs // len(order)], order[pairs % len(order)]
+        mixed = self.numbers[self.context].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.numbers[self.word].astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.pair_order, self.pair_parts = split(((mixed >> np.uint64(33)) % np.uint64(pair_buckets)).astype(np.int64))
+
+    def counts_of_pairs(self) -> list[np.ndarray]:
+        return [np.bincount(x, minlength=len(self.context)) for x in (self.pair_of, self.pair_of[self.target[self.second]])]
+
+
+SENT = "bucket int, chunk bigint, a binary, b binary, c binary, d binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+ANSWER = "chunk bigint, bucket int, a binary, b binary, c binary, real bigint, s0 bigint, s1 bigint"
+ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "abc"), *((x, pa.int64()) for x in ("real", "s0", "s1"))])
+
+
+def at_chunks(frames: list[DataFrame], each, schema: str, word_buckets: int, pair_buckets: int) -> DataFrame:
+    """Rows of the chunks and of the answers to them meet by chunk; ``each`` (number, Chunk) gives record batches."""
+    every = frames[0]
+    for frame in frames[1:]:
+        every = every.unionByName(frame, allowMissingColumns=True)
 
-    A word is counted where it is the second of a pair, the start where it is the first. The joins have the same plan at
-    every size, and each side comes from its own exchange, so that Spark can split a frequent word's.
-    """
-    ends = rows.select("word", "n0", "n1").unionAll(rows.where(F.col("context") == F.lit(START)).select(F.col("context"), "n0", "n1"))
-    words = stored(ends.groupBy("word").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")), "lm-words")
-    real = words.where(F.col("word") != F.lit(START))
-    total = real.agg(F.sum("c0"), F.sum("c1"), F.sum((F.col("word") != F.lit(REST)).cast("long"))).first()
-    size = (total[2] or 0) + 2
-    before = words.select(F.col("word").alias("context"), F.col("c0").alias("a0"), F.col("c1").alias("a1"))
-    counts = rows.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    known = counts.join(before.hint("merge"), "context").join(real.hint("merge"), "word")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in groups(batches, "chunk"):
+            yield from each(number, Chunk(rows, word_buckets, pair_buckets))
 
-    def loss(k: int) -> F.Column:
-        share = F.col(f"n{k}") / F.greatest(F.col(f"a{k}"), F.lit(1))
-        return -F.log(F.lit(weight) * share + F.lit(1 - weight) * (F.col(f"c{k}") + 1) / F.lit(float((total[k] or 0) + size)))
+    return map_batches(every.repartition(task_count(every.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket"), run, schema)
 
-    return known.select("context", "word", loss(0).alias("loss0"), loss(1).alias("loss1"))
+
+def at_buckets(sent: DataFrame, each) -> DataFrame:
+    """Rows of the chunks meet by bucket; ``each`` (bucket, rows) gives answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in groups(batches, "bucket"):
+            yield from each(bucket, rows)
+
+    return map_batches(sent.repartition(task_count(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "chunk"), run, ANSWER)
+
+
+def send_words(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    n0, n1 = (x[chunk.word_order] for x in chunk.word_counts())
+    for bucket, i, j in chunk.word_parts:
+        names = [chunk.words[k] for k in chunk.word_order[i:j]]
+        yield batch_of(SENT_SCHEMA, bucket=[bucket], chunk=[number], a=[packed_words(names)], b=[packed(n0[i:j])], c=[packed(n1[i:j])])
+
+
+def answer_words(bucket: int, rows: list[dict], word_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Numbers and counts in the corpus of each chunk's words; one row without a chunk has the bucket's sums."""
+    at: dict[bytes, int] = {}
+    places = [np.array([at.setdefault(w, len(at)) for w in unpacked_words(r["a"])], np.int64) for r in rows]
+    place = np.concatenate(places)
+    counts = [np.bincount(place, np.concatenate([unpacked(r[x]) for r in rows]), len(at)).astype(np.int64) for x in "bc"]
+    names = list(at)
+    number = np.empty(len(at), np.int64)
+    number[sorted(range(len(at)), key=lambda k: (-counts[0][k], names[k]))] = np.arange(len(at)) * word_buckets + bucket
+    words = np.array([w != START for w in names])
+    sums = [int(c[words].sum()) for c in counts]
+    yield batch_of(ANSWER_SCHEMA, bucket=[bucket], real=[sum(w not in (START, REST) for w in names)], s0=[sums[0]], s1=[sums[1]])
+    for row, p in zip(rows, places):
+        yield batch_of(ANSWER_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[packed(number[p])], b=[packed(counts[0][p])], c=[packed(counts[1][p])])
+
+
+def send_pairs(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    n0, n1 = (x[chunk.pair_order] for x in chunk.counts_of_pairs())
+    context, word = (chunk.numbers[x[chunk.pair_order]] for x in (chunk.context, chunk.word))
+    for bucket, i, j in chunk.pair_parts:
+        gaps = np.diff(context[i:j], prepend=0)
+        yield batch_of(SENT_SCHEMA, bucket=[bucket], chunk=[number], a=[packed(gaps)], b=[packed(word[i:j])], c=[packed(n0[i:j])], d=[packed(n1[i:j])])
+
+
+def answer_pairs(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Counts in the corpus of each chunk's pairs."""
+    context = np.concatenate([np.cumsum(unpacked(r["a"])) for r in rows])
+    word = np.concatenate([unpacked(r["b"]) for r in rows])
+    if max(context.max(), word.max()) < 1 << 31:
+        _, pair = np.unique(context << 32 | word, return_inverse=True)
+    else:
+        _, pair = np.unique(np.stack([context, word]), axis=1, return_inverse=True)
+    counts = [np.bincount(pair, np.concatenate([unpacked(r[x]) for r in rows])).astype(np.int64) for x in "cd"]
+    end = 0
+    for row in rows:
+        begin, end = end, end + int.from_bytes(row["a"][:8], "little")
+        n0, n1 = (c[pair[begin:end]] for c in counts)
+        yield batch_of(ANSWER_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[packed(n0)], b=[packed(n1)])
+
+
+def document_losses(number: int, chunk: Chunk, totals: tuple[int, int, int], weight: float) -> Iterator[pa.RecordBatch]:
+    """(chunk, doc, loss0, loss1): sums over a document's tokens of their losses under both models, in nats."""
+    docs = np.flatnonzero(chunk.sizes > 1)
+    if not len(docs):
+        return
+    begins = np.cumsum(chunk.sizes[docs] - 1) - (chunk.sizes[docs] - 1)
+    sums = []
+    for n, c, total in zip(chunk.pair_counts, chunk.counts, totals[1:]):
+        share = n / np.maximum(c[chunk.context], 1)
+        loss = -np.log(weight * share + (1 - weight) * (c[chunk.word] + 1) / float(total + totals[0] + 2))
+        sums.append(np.add.reduceat(loss[chunk.pair_of], begins))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(docs), number)), pa.array(docs.astype(np.int32)), *map(pa.array, sums)], names=["chunk", "doc", "loss0", "loss1"]
+    )
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, weight: float = 0.5) -> DataFrame:
@@ -191,29 +359,36 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     if vocabulary is not None:
         counted = stored(word_counts(docs), "lm-vocabulary")
         known = frozenset(bytes(r["word"]) for r in counted.where(F.col("n") >= least_count(counted, vocabulary)).select("word").collect())
-    marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__hit", F.lit(True))
+    held = stored(chunks(docs, known), "lm-chunks")
+    each, whole = held.where("doc IS NOT NULL"), held.where("doc IS NULL")
+    sizes = whole.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+    least = 2 * task_count(docs.sparkSession)
+    word_buckets, pair_buckets = (max(least, (n or 0) // most) for n, most in zip(sizes, (BUCKET_WORDS, BUCKET_PAIRS)))
+    cut = (word_buckets, pair_buckets)
+
+    marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
-    marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__hit", F.lit(False)).alias("target"))
-    held = stored(postings(marked, known), "lm-postings")
-    pairs = held.where("context IS NOT NULL")
-    losses = stored(pair_losses(pairs, weight), "lm-losses")
-    sums = []
-    for k in (0, 1):  # a loss is high / 2^20 + low / 2^52, both whole
-        scaled = F.col(f"loss{k}") * float(1 << 20)
-        sums += [F.floor(scaled).alias(f"high{k}"), F.round((scaled - F.floor(scaled)) * float(1 << 32)).cast("long").alias(f"low{k}")]
-    parts = [f"{p}{k}" for k in (0, 1) for p in ("high", "low")]
-    found = (
-        pairs.select("chunk", "context", "word", "posts")
-        .join(losses.select("context", "word", *sums).hint("merge"), ["context", "word"])
-        .select("chunk", F.explode("posts").alias("post"), *parts)
-        .select("chunk", F.shiftright("post", 32).cast("int").alias("doc"), F.col("post").bitwiseAND(0xFFFFFFFF).alias("n"), *parts)
-        .groupBy("chunk", "doc").agg(*(F.sum(F.col("n") * F.col(p)).alias(p) for p in parts))
+    marked = each.join(marks, each["doc_id"] == F.col("__id")).groupBy("chunk").agg(F.collect_list("doc").alias("places"))
+    none = F.lit(0).alias("bucket")
+    texts = whole.select("chunk", F.lit(CHUNK).alias("kind"), none, F.col("ids").alias("a"), F.col("sizes").alias("b"), F.col("words").alias("c"),
+                         F.lit(None).cast("array<int>").alias("places"))
+    targets = stored(marked, "lm-targets").select("chunk", F.lit(TARGETS).alias("kind"), none, "places")
+
+    sent = at_chunks([texts, targets], send_words, SENT, *cut)
+    words = stored(at_buckets(sent, lambda bucket, rows: answer_words(bucket, rows, word_buckets)), "lm-words")
+    totals = tuple(n or 0 for n in words.agg(F.sum("real"), F.sum("s0"), F.sum("s1")).first())
+    numbered = words.where("chunk IS NOT NULL").select("chunk", F.lit(WORDS).alias("kind"), "bucket", "a", "b", "c")
+
+    sent = at_chunks([texts, targets, numbered], send_pairs, SENT, *cut)
+    pairs = stored(at_buckets(sent, answer_pairs), "lm-pairs")
+    answered = pairs.select("chunk", F.lit(PAIRS).alias("kind"), "bucket", "a", "b")
+
+    summed = at_chunks(
+        [texts, numbered, answered],
+        lambda number, chunk: document_losses(number, chunk, totals, weight),
+        "chunk bigint, doc int, loss0 double, loss1 double",
+        *cut,
     )
-    each = held.where("context IS NULL").select("chunk", "doc", "doc_id", "n_tokens")
-
-    def mean(k: int) -> F.Column:
-        return (F.col(f"high{k}") + F.col(f"low{k}") / float(1 << 32)) / float(1 << 20) / F.col("n_tokens")
-
-    scored = each.join(found.hint("merge"), ["chunk", "doc"], "left")
-    scored = scored.select("doc_id", "n_tokens", mean(1).alias("target_loss"), mean(0).alias("background_loss"))
+    scored = each.select("chunk", "doc", "doc_id", "n_tokens").join(summed.hint("merge"), ["chunk", "doc"], "left")
+    scored = scored.select("doc_id", "n_tokens", (F.col("loss1") / F.col("n_tokens")).alias("target_loss"), (F.col("loss0") / F.col("n_tokens")).alias("background_loss"))
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
