@@ -6,11 +6,11 @@ the background model: the lower, the closer to the target.
 
 1. A task numbers the words of about ``HELD_TOKENS`` tokens at a time and writes this chunk once: its words, and its
    documents as word numbers. All that follows is made from the chunks, whatever task is run again.
-2. Words: a chunk sends each of its words with its counts to the word's bucket, a bucket sums the chunks' counts and gives
-   each word its number in the corpus, frequent words the small ones, and answers the chunk.
-3. Pairs: a chunk sends each (context, word) pair of corpus numbers once with its counts to the pair's bucket, and has the
-   pair's counts in the corpus back. So a word or pair that every document has is one entry a chunk, and both models are
-   tables of exact counts that grow with the input.
+2. Words: a chunk sends each of its words to the word's bucket, which gives it a number in the corpus, frequent words the
+   small ones, and answers the chunk.
+3. Counts: a chunk sends each (context, word) pair, and each word alone, once as corpus numbers with its counts to a bucket
+   and has the counts in the corpus back. So a word or pair that every document has is one entry a chunk, and both models
+   are tables of exact counts that grow with the input.
 4. A chunk has now the counts of all its pairs, contexts and words and sums the losses of its documents in token order.
 
 What is sent is one row per chunk and bucket, with whole numbers as compressed columns. The number of buckets grows with
@@ -39,8 +39,9 @@ BUCKET_WORDS = 250_000
 BUCKET_PAIRS = 1_000_000
 # No word is empty or has white space.
 START, REST = b"", b"\t"
+HASHES = (1 << 32) - 1
 # Kinds of rows that meet at a chunk, in the order in which they are read.
-CHUNK, TARGETS, WORDS, PAIRS = range(4)
+CHUNK, TARGETS, WORDS, COUNTS = range(4)
 
 
 def word_key(word: bytes) -> bytes:
@@ -129,21 +130,30 @@ class Numbers(dict):
         return number
 
 
-CHUNK_NAMES = ["chunk", "doc", "doc_id", "n_tokens", "n_words", "ids", "sizes", "words"]
+CHUNK_NAMES = ["chunk", "doc", "doc_id", "n_tokens", "n_words", "ids", "sizes", "hashes", "words"]
 
 
 def chunk_rows(number: int, ids: pa.Array, seqs: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """A chunk's documents (doc_id, n_tokens), then the chunk: its documents' word numbers after the start's, one by one."""
+    """A chunk's documents (doc_id, n_tokens), then the chunk: its documents' word numbers after the start's, one by one.
+
+    Words are numbered from the most frequent, those of one count by hash, so that numbers and hashes take little room.
+    """
     n = len(seqs)
     sizes = np.array([len(s) for s in seqs], np.int64)
+    seq = np.concatenate(seqs)
+    hashes = np.array([zlib.crc32(w) for w in words], np.int64)
+    order = np.lexsort((hashes, -np.bincount(seq, minlength=len(words))))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(sizes - 1), pa.nulls(n, pa.int64()),
-         *(pa.nulls(n, pa.binary()),) * 3],
+         *(pa.nulls(n, pa.binary()),) * 4],
         names=CHUNK_NAMES,
     )
+    blobs = packed(rank[seq]), packed(sizes), packed(np.diff(hashes[order], prepend=0) & HASHES), packed_words([words[k] for k in order])
     yield pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, ids.type), pa.array([int(sizes.sum())]), pa.array([len(words)]),
-         *(pa.array([x], pa.binary()) for x in (packed(np.concatenate(seqs)), packed(sizes), packed_words(words)))],
+         *(pa.array([x], pa.binary()) for x in blobs)],
         names=CHUNK_NAMES,
     )
 
@@ -174,7 +184,7 @@ def chunks(docs: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
     return map_batches(
         docs.select("doc_id", utf8("text").alias("text")),
         run,
-        f"chunk bigint, doc int, doc_id {of}, n_tokens bigint, n_words bigint, ids binary, sizes binary, words binary",
+        f"chunk bigint, doc int, doc_id {of}, n_tokens bigint, n_words bigint, ids binary, sizes binary, hashes binary, words binary",
     )
 
 
@@ -204,60 +214,70 @@ def split(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, list(zip(found.tolist(), first.tolist(), ends.tolist()))
 
 
+def split_words(hashes: bytes, word_buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    return split((np.cumsum(unpacked(hashes)) & HASHES) % word_buckets)
+
+
 class Chunk:
-    """A chunk's documents, and the counts of its words and pairs as far as they are known."""
+    """A chunk's documents with the corpus numbers of its words, and the counts as far as they are known."""
 
     def __init__(self, rows: list[dict], word_buckets: int, pair_buckets: int):
-        of = {k: [r for r in rows if r["kind"] == k] for k in (CHUNK, TARGETS, WORDS, PAIRS)}
+        of = {k: [r for r in rows if r["kind"] == k] for k in (CHUNK, TARGETS, WORDS, COUNTS)}
         self.seq, self.sizes = unpacked(of[CHUNK][0]["a"]), unpacked(of[CHUNK][0]["b"])
-        self.words = unpacked_words(of[CHUNK][0]["c"])
         self.first = np.cumsum(self.sizes) - self.sizes
         target = np.zeros(len(self.sizes), bool)
         target[[place for r in of[TARGETS] for place in r["places"]]] = True
         self.target = np.repeat(target, self.sizes)
-        # a token and the one before it; the start is a context of the first one, and counted where it is one
+        # a token has the one before it as context; the start is counted where it is one
         self.second = np.delete(np.arange(len(self.seq)), self.first)
-        self.word_order, self.word_parts = split(np.array([zlib.crc32(w) for w in self.words], np.int64) % word_buckets)
-        if of[WORDS]:
-            self.numbers, *self.counts = self.gathered(of[WORDS], "abc", self.word_order)
-            self.number_pairs(pair_buckets)
-        if of[PAIRS]:
-            self.pair_counts = self.gathered(of[PAIRS], "ab", self.pair_order)
-
-    @staticmethod
-    def gathered(rows: list[dict], names: str, order: np.ndarray) -> list[np.ndarray]:
-        """Answers of all buckets, in their order, at the places of what was asked."""
-        found = []
-        for name in names:
-            values = np.empty(len(order), np.int64)
-            values[order] = np.concatenate([unpacked(r[name]) for r in sorted(rows, key=lambda r: r["bucket"])])
-            found.append(values)
-        return found
-
-    def word_counts(self) -> list[np.ndarray]:
-        counted = np.concatenate([self.second, self.first[self.sizes > 1]])
-        return [np.bincount(self.seq[x], minlength=len(self.words)) for x in (counted, counted[self.target[counted]])]
-
-    def number_pairs(self, pair_buckets: int) -> None:
-        """The chunk's distinct pairs in the order of their corpus numbers, and each token's pair."""
-        order = np.argsort(self.numbers)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        key = rank[self.seq[self.second - 1]] * len(order) + rank[self.seq[self.second]]
+        self.counted = np.concatenate([self.second, self.first[self.sizes > 1]])
+        numbers = gathered(of[WORDS], "a", split_words(of[CHUNK][0]["c"], word_buckets)[0])
+        self.number_pairs(numbers, pair_buckets)
+        if of[COUNTS]:
+            found = [gathered(of[COUNTS], name, self.order) for name in "ab"]
+            self.counts = [x[self.place] for x in found]
+            self.pair_counts = [x[len(numbers) :] for x in found]
+
+    def number_pairs(self, numbers: np.ndarray, pair_buckets: int) -> None:
+        """The chunk's words and distinct pairs in the order of their corpus numbers, and each token's pair.
+
+        A word alone is sent as a pair with context 0; other contexts are numbered from 1.
+        """
+        by_number = np.argsort(numbers)
+        self.place = np.empty(len(numbers), np.int64)
+        self.place[by_number] = np.arange(len(numbers))
+        key = self.place[self.seq[self.second - 1]] * len(numbers) + self.place[self.seq[self.second]]
         pairs, self.pair_of = np.unique(key, return_inverse=True)
-        self.context, self.word = order[pairs // len(order)], order[pairs % len(order)]
-        mixed = self.numbers[self.context].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.numbers[self.word].astype(np.uint64)
+        self.context, self.word = by_number[pairs // len(numbers)], by_number[pairs % len(numbers)]
+        self.sent_context = np.concatenate([np.zeros(len(numbers), np.int64), numbers[self.context] + 1])
+        self.sent_word = np.concatenate([numbers[by_number], numbers[self.word]])
+        mixed = self.sent_context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.sent_word.astype(np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pair_order, self.pair_parts = split(((mixed >> np.uint64(33)) % np.uint64(pair_buckets)).astype(np.int64))
+        self.order, self.parts = split(((mixed >> np.uint64(33)) % np.uint64(pair_buckets)).astype(np.int64))
+
+    def own_counts(self) -> list[np.ndarray]:
+        """Counts in this chunk of what is sent, under the background and the target model."""
+        out = []
+        for tokens, pairs in (
+            (self.counted, self.pair_of),
+            (self.counted[self.target[self.counted]], self.pair_of[self.target[self.second]]),
+        ):
+            words = np.bincount(self.place[self.seq[tokens]], minlength=len(self.place))
+            out.append(np.concatenate([words, np.bincount(pairs, minlength=len(self.context))]))
+        return out
+
 
-    def counts_of_pairs(self) -> list[np.ndarray]:
-        return [np.bincount(x, minlength=len(self.context)) for x in (self.pair_of, self.pair_of[self.target[self.second]])]
+def gathered(rows: list[dict], name: str, order: np.ndarray) -> np.ndarray:
+    """Answers of all buckets, in their order, at the places of what was asked."""
+    values = np.empty(len(order), np.int64)
+    values[order] = np.concatenate([unpacked(r[name]) for r in sorted(rows, key=lambda r: r["bucket"])])
+    return values
 
 
 SENT = "bucket int, chunk bigint, a binary, b binary, c binary, d binary"
 SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in "abcd")])
-ANSWER = "chunk bigint, bucket int, a binary, b binary, c binary, real bigint, s0 bigint, s1 bigint"
-ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "abc"), *((x, pa.int64()) for x in ("real", "s0", "s1"))])
+ANSWER = "chunk bigint, bucket int, a binary, b binary, n bigint"
+ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "ab"), ("n", pa.int64())])
 
 
 def at_chunks(frames: list[DataFrame], each, schema: str, word_buckets: int, pair_buckets: int) -> DataFrame:
@@ -283,39 +303,44 @@ def at_buckets(sent: DataFrame, each) -> DataFrame:
     return map_batches(sent.repartition(task_count(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "chunk"), run, ANSWER)
 
 
-def send_words(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
-    n0, n1 = (x[chunk.word_order] for x in chunk.word_counts())
-    for bucket, i, j in chunk.word_parts:
-        names = [chunk.words[k] for k in chunk.word_order[i:j]]
-        yield batch_of(SENT_SCHEMA, bucket=[bucket], chunk=[number], a=[packed_words(names)], b=[packed(n0[i:j])], c=[packed(n1[i:j])])
+def word_requests(whole: DataFrame, word_buckets: int) -> DataFrame:
+    """A row per chunk and bucket of words: the words and their counts in the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = unpacked_words(row["words"])
+                n = np.bincount(unpacked(row["ids"]), minlength=len(words))
+                order, parts = split_words(row["hashes"], word_buckets)
+                for bucket, i, j in parts:
+                    a = packed_words([words[k] for k in order[i:j]])
+                    yield batch_of(SENT_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[a], b=[packed(n[order[i:j]])])
+
+    return map_batches(whole.select("chunk", "ids", "hashes", "words"), run, SENT)
 
 
 def answer_words(bucket: int, rows: list[dict], word_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Numbers and counts in the corpus of each chunk's words; one row without a chunk has the bucket's sums."""
+    """Numbers in the corpus of each chunk's words; one row without a chunk has the number of real words."""
     at: dict[bytes, int] = {}
     places = [np.array([at.setdefault(w, len(at)) for w in unpacked_words(r["a"])], np.int64) for r in rows]
-    place = np.concatenate(places)
-    counts = [np.bincount(place, np.concatenate([unpacked(r[x]) for r in rows]), len(at)).astype(np.int64) for x in "bc"]
+    times = np.bincount(np.concatenate(places), np.concatenate([unpacked(r["b"]) for r in rows]), len(at))
     names = list(at)
     number = np.empty(len(at), np.int64)
-    number[sorted(range(len(at)), key=lambda k: (-counts[0][k], names[k]))] = np.arange(len(at)) * word_buckets + bucket
-    words = np.array([w != START for w in names])
-    sums = [int(c[words].sum()) for c in counts]
-    yield batch_of(ANSWER_SCHEMA, bucket=[bucket], real=[sum(w not in (START, REST) for w in names)], s0=[sums[0]], s1=[sums[1]])
+    number[sorted(range(len(at)), key=lambda k: (-times[k], names[k]))] = np.arange(len(at)) * word_buckets + bucket
+    yield batch_of(ANSWER_SCHEMA, bucket=[bucket], n=[sum(w not in (START, REST) for w in names)])
     for row, p in zip(rows, places):
-        yield batch_of(ANSWER_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[packed(number[p])], b=[packed(counts[0][p])], c=[packed(counts[1][p])])
+        yield batch_of(ANSWER_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[packed(number[p])])
 
 
-def send_pairs(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
-    n0, n1 = (x[chunk.pair_order] for x in chunk.counts_of_pairs())
-    context, word = (chunk.numbers[x[chunk.pair_order]] for x in (chunk.context, chunk.word))
-    for bucket, i, j in chunk.pair_parts:
+def send_counts(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    context, word, n0, n1 = (x[chunk.order] for x in (chunk.sent_context, chunk.sent_word, *chunk.own_counts()))
+    for bucket, i, j in chunk.parts:
         gaps = np.diff(context[i:j], prepend=0)
         yield batch_of(SENT_SCHEMA, bucket=[bucket], chunk=[number], a=[packed(gaps)], b=[packed(word[i:j])], c=[packed(n0[i:j])], d=[packed(n1[i:j])])
 
 
-def answer_pairs(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Counts in the corpus of each chunk's pairs."""
+def answer_counts(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Counts in the corpus of each chunk's pairs and words."""
     context = np.concatenate([np.cumsum(unpacked(r["a"])) for r in rows])
     word = np.concatenate([unpacked(r["b"]) for r in rows])
     if max(context.max(), word.max()) < 1 << 31:
@@ -361,27 +386,26 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
         known = frozenset(bytes(r["word"]) for r in counted.where(F.col("n") >= least_count(counted, vocabulary)).select("word").collect())
     held = stored(chunks(docs, known), "lm-chunks")
     each, whole = held.where("doc IS NOT NULL"), held.where("doc IS NULL")
-    sizes = whole.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+    n_words, n_tokens = (n or 0 for n in whole.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     least = 2 * task_count(docs.sparkSession)
-    word_buckets, pair_buckets = (max(least, (n or 0) // most) for n, most in zip(sizes, (BUCKET_WORDS, BUCKET_PAIRS)))
+    word_buckets = max(least, n_words // BUCKET_WORDS)
+    pair_buckets = max(least, (n_words + n_tokens) // BUCKET_PAIRS)
     cut = (word_buckets, pair_buckets)
 
     marks = target_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     marks = marks.hint("merge")  # no bound on the number of targets is known, so the plan is the same at every size
-    marked = each.join(marks, each["doc_id"] == F.col("__id")).groupBy("chunk").agg(F.collect_list("doc").alias("places"))
+    marked = each.join(marks, each["doc_id"] == F.col("__id")).groupBy("chunk").agg(F.collect_list("doc").alias("places"), F.sum("n_tokens").alias("n"))
+    marked = stored(marked, "lm-targets")
+    words = stored(at_buckets(word_requests(whole, word_buckets), lambda bucket, rows: answer_words(bucket, rows, word_buckets)), "lm-words")
+    real = words.where("chunk IS NULL").agg(F.sum("n")).first()[0] or 0
+    totals = (real, each.agg(F.sum("n_tokens")).first()[0] or 0, marked.agg(F.sum("n")).first()[0] or 0)
+
     none = F.lit(0).alias("bucket")
-    texts = whole.select("chunk", F.lit(CHUNK).alias("kind"), none, F.col("ids").alias("a"), F.col("sizes").alias("b"), F.col("words").alias("c"),
-                         F.lit(None).cast("array<int>").alias("places"))
-    targets = stored(marked, "lm-targets").select("chunk", F.lit(TARGETS).alias("kind"), none, "places")
-
-    sent = at_chunks([texts, targets], send_words, SENT, *cut)
-    words = stored(at_buckets(sent, lambda bucket, rows: answer_words(bucket, rows, word_buckets)), "lm-words")
-    totals = tuple(n or 0 for n in words.agg(F.sum("real"), F.sum("s0"), F.sum("s1")).first())
-    numbered = words.where("chunk IS NOT NULL").select("chunk", F.lit(WORDS).alias("kind"), "bucket", "a", "b", "c")
-
-    sent = at_chunks([texts, targets, numbered], send_pairs, SENT, *cut)
-    pairs = stored(at_buckets(sent, answer_pairs), "lm-pairs")
-    answered = pairs.select("chunk", F.lit(PAIRS).alias("kind"), "bucket", "a", "b")
+    texts = whole.select("chunk", F.lit(CHUNK).alias("kind"), none, F.col("ids").alias("a"), F.col("sizes").alias("b"), F.col("hashes").alias("c"))
+    targets = marked.select("chunk", F.lit(TARGETS).alias("kind"), none, "places")
+    numbered = words.where("chunk IS NOT NULL").select("chunk", F.lit(WORDS).alias("kind"), "bucket", "a")
+    counts = stored(at_buckets(at_chunks([texts, targets, numbered], send_counts, SENT, *cut), answer_counts), "lm-counts")
+    answered = counts.select("chunk", F.lit(COUNTS).alias("kind"), "bucket", "a", "b")
 
     summed = at_chunks(
         [texts, numbered, answered],
