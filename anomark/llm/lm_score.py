@@ -9,7 +9,7 @@ the background model: the lower, the closer to the target.
 2. Words: a chunk sends each of its words to the word's bucket, which gives it a number in the corpus, frequent words the
    small ones, and answers the chunk.
 3. Counts: a chunk sends each (context, word) pair, and each word alone, once as corpus numbers with its counts to a bucket
-   and has the counts in the corpus back. So a word or pair that every document has is one entry a chunk, and both models
+   and has its counts in all other chunks back. So a word or pair that every document has is one entry a chunk, and both models
    are tables of exact counts that grow with the input.
 4. A chunk has now the counts of all its pairs, contexts and words and sums the losses of its documents in token order.
 
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from anomark.llm.common import map_batches, stored, task_count, utf8
 
 HELD_WORDS = 300_000
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 2_000_000
 # Entries of a bucket: about so many words, so many pairs.
 BUCKET_WORDS = 250_000
 BUCKET_PAIRS = 1_000_000
 # No word is empty or has white space.
 START, REST = b"", b"\t"
 HASHES = (1 << 32) - 1
+CODEC = "zstd", 3
 # Kinds of rows that meet at a chunk, in the order in which they are read.
 CHUNK, TARGETS, WORDS, COUNTS = range(4)
 
@@ -94,7 +95,7 @@ def packed(values: np.ndarray) -> bytes:
     """Whole numbers of 0 and more as compressed planes of their bytes."""
     planes = np.asarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T
     width = 8 - int(np.argmax(planes.any(axis=1)[::-1])) if planes.any() else 0
-    body = pa.compress(np.ascontiguousarray(planes[:width]).tobytes(), "zstd", asbytes=True) if width else b""
+    body = pa.Codec(*CODEC).compress(np.ascontiguousarray(planes[:width]).tobytes(), asbytes=True) if width else b""
     return len(values).to_bytes(8, "little") + bytes([width]) + body
 
 
@@ -102,7 +103,7 @@ def unpacked(data: bytes) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), data[8]
     planes = np.zeros((n, 8), np.uint8)
     if width:
-        body = pa.decompress(data[9:], n * width, "zstd", asbytes=True)
+        body = pa.Codec(*CODEC).decompress(data[9:], n * width, asbytes=True)
         planes[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
     return planes.view("<u8").ravel().astype(np.int64)
 
@@ -234,7 +235,7 @@ class Chunk:
         numbers = gathered(of[WORDS], "a", split_words(of[CHUNK][0]["c"], word_buckets)[0])
         self.number_pairs(numbers, pair_buckets)
         if of[COUNTS]:
-            found = [gathered(of[COUNTS], name, self.order) for name in "ab"]
+            found = [own + gathered(of[COUNTS], name, self.order) for name, own in zip("ab", self.own_counts())]
             self.counts = [x[self.place] for x in found]
             self.pair_counts = [x[len(numbers) :] for x in found]
 
@@ -340,18 +341,19 @@ def send_counts(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
 
 
 def answer_counts(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Counts in the corpus of each chunk's pairs and words."""
+    """How often each chunk's pairs and words stand in other chunks: nothing, for most pairs."""
     context = np.concatenate([np.cumsum(unpacked(r["a"])) for r in rows])
     word = np.concatenate([unpacked(r["b"]) for r in rows])
     if max(context.max(), word.max()) < 1 << 31:
         _, pair = np.unique(context << 32 | word, return_inverse=True)
     else:
         _, pair = np.unique(np.stack([context, word]), axis=1, return_inverse=True)
-    counts = [np.bincount(pair, np.concatenate([unpacked(r[x]) for r in rows])).astype(np.int64) for x in "cd"]
+    own = [np.concatenate([unpacked(r[x]) for r in rows]) for x in "cd"]
+    other = [np.bincount(pair, x).astype(np.int64)[pair] - x for x in own]
     end = 0
     for row in rows:
         begin, end = end, end + int.from_bytes(row["a"][:8], "little")
-        n0, n1 = (c[pair[begin:end]] for c in counts)
+        n0, n1 = (x[begin:end] for x in other)
         yield batch_of(ANSWER_SCHEMA, bucket=[bucket], chunk=[row["chunk"]], a=[packed(n0)], b=[packed(n1)])
 
 
@@ -408,7 +410,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary:
     answered = counts.select("chunk", F.lit(COUNTS).alias("kind"), "bucket", "a", "b")
 
     summed = at_chunks(
-        [texts, numbered, answered],
+        [texts, targets, numbered, answered],
         lambda number, chunk: document_losses(number, chunk, totals, weight),
         "chunk bigint, doc int, loss0 double, loss1 double",
         *cut,
