@@ -33,7 +33,6 @@ import logging
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -276,26 +275,35 @@ def _walk(ends: DataFrame, transfers: DataFrame) -> DataFrame:
     known = transfers.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("round", "need_in", "end"))).alias("known")
     )
-    rows = ends.join(known, KEY, "left")
+    # a task has whole keys, chunk after chunk: many short walks cost no call each
+    rows = ends.join(known, KEY, "left").repartition(*KEY[:2]).sortWithinPartitions(*KEY)
     schema = T.StructType([ends.schema[c] for c in KEY] + [T.StructField("need_in", STATE), T.StructField("known", T.BooleanType())])
+    state_type = pa.struct([("c", pa.list_(pa.float64())), ("o", pa.float64())])
 
     def plain(state):
         return None if state is None else (tuple(state["c"]), state["o"])
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk", ignore_index=True)
-        out = []
-        state = group["spec_end"].iloc[0]
-        for row in group.iloc[1:].itertuples(index=False):
-            runs = [] if row.known is None else list(row.known)
-            end = next((r["end"] for r in runs if plain(r["need_in"]) == plain(state)), None)
-            out.append((row.machine_id, row.property_id, row.chunk, {"c": list(state["c"]), "o": state["o"]}, end is not None))
-            if end is None:
-                end = runs[-1]["end"] if runs else row.spec_end
-            state = end
-        return pd.DataFrame(out, columns=[*KEY, "need_in", "known"])
-
-    return rows.groupBy("machine_id", "property_id").applyInPandas(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            at, needs, sure = [], [], []
+            for place, row in enumerate(batch.to_pylist()):
+                if key != (row["machine_id"], row["property_id"]):
+                    key, state = (row["machine_id"], row["property_id"]), row["spec_end"]
+                    continue
+                runs = row["known"] or []
+                end = next((r["end"] for r in runs if plain(r["need_in"]) == plain(state)), None)
+                at.append(place)
+                needs.append(state)
+                sure.append(end is not None)
+                if end is None:
+                    end = runs[-1]["end"] if runs else row["spec_end"]
+                state = end
+            if at:
+                kept = batch.select(KEY).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(needs, state_type), pa.array(sure)], names=schema.names)
+
+    return rows.mapInArrow(walk, schema)
 
 
 def split_fold(

@@ -144,3 +144,24 @@ def test_undefined_values_end(spark, value):
     lloyd_1d([1.0, value, 2.0, 3.0], [1.0, 2.0], 1e-5)
     lloyd_windows(np.array([[1.0, value, 2.0, 3.0]]), np.array([[1.0, 2.0]]), 1e-5)
     lloyd_1d([1e308, 1e308, -1e308], [1e308, -1e308], 1e-5)
+
+
+def test_walk_goes_through_many_keys_in_one_task(spark):
+    """Each walk begins with its key's first chunk, takes known transfers and guesses the others, without a call a key."""
+    from anomark.operators.fold import _walk
+
+    state = lambda x: ([float(x)], 0.5)
+    st = "struct<c:array<double>,o:double>"
+    ends = spark.createDataFrame(
+        [(f"M{m}", "p", c, state(10 * m + c)) for m in range(40) for c in range(3)], f"machine_id string, property_id string, chunk bigint, spec_end {st}"
+    )
+    transfers = spark.createDataFrame(
+        [("M1", "p", 1, state(10), state(99), 1), ("M2", "p", 1, state(7), state(98), 1)],
+        f"machine_id string, property_id string, chunk bigint, need_in {st}, end {st}, round int",
+    )
+    walked = _walk(ends, transfers)
+    found = {(r.machine_id, r.chunk): (r.need_in.c[0], r.known) for r in walked.collect()}
+    assert len(found) == 80 and found["M0", 1] == (0.0, False) and found["M0", 2] == (1.0, False)
+    assert found["M1", 1] == (10.0, True) and found["M1", 2] == (99.0, False)
+    assert found["M2", 1] == (20.0, False) and found["M2", 2] == (98.0, False)
+    assert "FlatMapGroups" not in walked._jdf.queryExecution().toString()
