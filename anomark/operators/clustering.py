@@ -79,9 +79,12 @@ def warm_kmeans(
 
 def nearest_label(value: Column, centroids: Column) -> Column:
     """Index of the nearest centroid; on an exact tie the centroid with the larger value."""
-    dist = F.array_min(F.transform(centroids, lambda c: F.abs(c - value)))
-    tied_max = F.array_max(F.filter(centroids, lambda c: F.abs(c - value) == dist))
-    return (F.array_position(centroids, tied_max) - F.lit(1)).cast("int")
+    def nearer(best: Column, c: Column) -> Column:
+        gap, least = F.abs(c - value), F.abs(best - value)
+        return F.when((gap < least) | ((gap == least) & (c > best)), c).otherwise(best)
+
+    found = F.aggregate(F.slice(centroids, 2, F.size(centroids)), F.get(centroids, F.lit(0)), nearer)
+    return (F.array_position(centroids, found) - F.lit(1)).cast("int")
 
 
 def label_values(df: DataFrame, centroids_col: str = "centroids") -> DataFrame:

@@ -84,3 +84,13 @@ def test_windows_at_once_equal_one_by_one():
         padded = np.array([s + [np.nan] * (4 - len(s)) for s in seeds])
         got = [c[~np.isnan(c)].tolist() for c in lloyd_windows(np.array(values), padded, 1e-5)]
         assert got == [lloyd_1d(v, s, 1e-5) for v, s in zip(values, seeds)]
+
+
+def test_a_value_meets_each_centroid_once(spark):
+    """Nearest centroid, the larger one on a tie, the first of equal ones; one pass over the centroids a value."""
+    from anomark.operators.clustering import label_values
+
+    rows = [([1.0, 2.0, 3.0, 9.0], [4.0, 2.0, 0.0]), ([5.0, 5.5], [6.0, 5.0, 5.0]), ([7.0], [7.5]), ([1e308, -1e308], [-1.7e308, 1.7e308])]
+    found = label_values(spark.createDataFrame(rows, "values array<double>, centroids array<double>"))
+    assert [r.labels for r in found.collect()] == [[1, 1, 0, 0], [1, 0], [0], [1, 0]]
+    assert "filter(" not in found._jdf.queryExecution().analyzed().toString()
