@@ -1,7 +1,16 @@
 """How often the streams and the rejects read what they work on."""
 
+import pandas as pd
+from pyspark.sql import functions as F
+
+from anomark.config import DetectorConfig
 from anomark.operators.rejects import observation_rejects
 from anomark.session import scratch_path
+from anomark.sources.triples import END_OF_STREAM, render_observation_triples
+from anomark.streaming.files import caught_up, listed, located
+from anomark.streaming.stage_a import start_stage_a
+from anomark.streaming.stage_b import MachineDetector
+from tests.helpers import build_inputs
 
 
 def test_rejects_read_observations_once(spark):
@@ -23,3 +32,69 @@ def test_rejects_read_observations_once(spark):
     observations.write.parquet(path)
     plan = observation_rejects(groups, spark.read.parquet(path), machines, properties)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
+
+
+class Held:
+    """State in a dictionary that refuses to be read entry by entry."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def iterator(self):
+        return iter(list(self.kept.items()))
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def getValue(self, key):
+        raise AssertionError("one call an entry")
+
+    containsKey = getValue
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept[()]
+
+    def update(self, value):
+        self.kept[()] = value
+
+
+def test_state_is_read_as_a_whole():
+    values = [1.0, 9.0, 1.0, 1.0, 9.0, 9.0, 5.0, 1.0, 9.0, 9.0, 1.0, 9.0, 1.0, 1.0, 9.0]
+    rows = pd.DataFrame({
+        "seq_file": "s", "seq_line": range(len(values)), "timestamp_id": [f"T{i}" for i in range(len(values))], "timestamp_value": "t",
+        "obs": [[{"obs_pos": 0, "property_id": "d", "value": v}] for v in values], "forced": False,
+        "params": [{"d": {"k": 2, "t": 0.6}}] * len(values),
+    })
+
+    def run(cuts):
+        detector = MachineDetector(DetectorConfig(window_size=4, num_transitions=2))
+        detector.events, detector.folds, detector.count = Held(), Held(), Held()
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = rows.iloc[lo:hi].iloc[::-1]  # in any order, in several frames
+            out += [f for f in detector.handleInputRows(("A",), iter([part.iloc[:2], part.iloc[2:]]), None)]
+        assert all(len(f) for f in out) and detector.count.get() == (len(values),)
+        return [tuple(r) for f in out for r in f.itertuples(index=False)]
+
+    assert run([0, 3, 9, len(values)]) == run([0, len(values)]) != []
+
+
+def test_micro_batch_is_assembled_once(spark):
+    """The rejects and the events of a micro-batch come from the groups and observations that it has written."""
+    groups, obs, machines, mp = build_inputs(spark, [("A", {"d": float(v)}) for v in (1, 9, 1, 9)] + [("X", {"d": 1.0})], {"d": (2, 0.6)})
+    machines = machines.where("machine_id <> 'X'")
+    groups = groups.withColumn("cycle", F.lit("C0"))
+    obs = obs.join(groups.select("group_id", "seq"), "group_id").withColumn("raw_value", F.col("value").cast("string"))
+    lines = render_observation_triples(groups, obs)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("once-text", "once-events", "once-ckpt"))
+    lines.coalesce(1).sortWithinPartitions("seq.line").select("value").write.text(f"{src}/a")
+    spark.range(1).select(F.lit(END_OF_STREAM).alias("value")).write.text(f"{src}/b")
+    caught_up(start_stage_a(spark, src, machines, mp, out, ckpt))
+    folders = {f.path.split("/")[-3] for f in listed(located(out)[0], f"{located(out)[1]}/_observations") if f.path.endswith(".parquet")}
+    assert folders == {"_observations"}
+    assert spark.read.parquet(f"{out}/_observations/batch_id=*").count() == 5
+    assert [(r.reason, r["item"]) for r in spark.read.parquet(f"{out}/_rejects/batch_id=*").collect() if r.reason == "unknown machine"]
+    assert spark.read.parquet(f"{out}/batch_id=*").where("size(obs) = 1").count() == 4
