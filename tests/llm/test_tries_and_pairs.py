@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from anomark.llm import bottom_k, hard_negatives, prefix_trie
 
 
@@ -243,6 +245,33 @@ def test_blocks_of_a_list(spark, monkeypatch):
     same(bottom_k.near_duplicates(table, list_limit=12).collect(), components_of(rows))
 
 
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies of one text, some a little too far from its middle: each is compared with a few others, not with the group."""
+    rng = random.Random(8)
+    base = rng.choices([f"w{k}" for k in range(4000)], k=150)
+    rows = [(k, " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.07])))) for k in range(300)] + [(300, " ".join(base))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    compared, verified = [], bottom_k.verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(bottom_k, "verified", counted)
+    same(bottom_k.near_duplicates(table, list_limit=12).collect(), components_of(rows))
+    assert sum(compared) < 12 * len(rows), compared
+
+
+def test_only_wanted_texts_move(spark):
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(50)], "doc_id long, text string")
+    keys = bottom_k.sketches(docs).select("doc_id", "row_key")
+    wanted = keys.where("doc_id < 3").select(F.col("doc_id").alias("uid"), "row_key")
+    sets = bottom_k.full_sets(docs, wanted, 2)
+    assert sorted((r["uid"], r["n"]) for r in sets.collect()) == [(0, 2), (1, 2), (2, 2)]
+    texts = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in texts and texts.index("Aggregate") < texts.index("LeftSemi")  # picked below the aggregate
+
+
 def test_shingle_hashes_are_sets():
     for text in ("", " \n", "One", "one two", "a b a b a b", "A b\ta B", "x " * 50, "é É e"):
         assert len(bottom_k.shingle_hashes(text.encode(), 2)) == len(sets_of(text))
