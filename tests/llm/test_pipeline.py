@@ -48,7 +48,8 @@ def test_run(spark):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     for name, sql in catalog.ORACLES.items():
         frame = catalog.QUERIES[name](spark, SMALL)
         result = con.execute(sql)
