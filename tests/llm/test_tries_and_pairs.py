@@ -276,3 +276,38 @@ def test_shingle_hashes_are_sets():
     for text in ("", " \n", "One", "one two", "a b a b a b", "A b\ta B", "x " * 50, "é É e"):
         assert len(bottom_k.shingle_hashes(text.encode(), 2)) == len(sets_of(text))
     assert set(bottom_k.shingle_hashes(b"a b", 2)).isdisjoint(bottom_k.shingle_hashes(b"a", 2))
+
+
+# --- few rows in many partitions
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    from anomark.llm import components
+
+    written = []
+    keep = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(keep(df, name)) or written[-1])
+    rng = random.Random(5)
+    stars = [(10 * k + j, 10 * k) for k in range(5) for j in range(1, 4)]
+    chains = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    for edges, rounds in ((stars, 0), (stars + [(4, 4), (None, 1), *stars], 0), (chains, None), ([(1, 2)], 1), ([], 0)):
+        written.clear()
+        df = spark.createDataFrame(edges, "u long, v long").repartition(16)
+        found = {tuple(r) for r in components.connected_components(df, 300).collect()}
+        root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+        for _ in root:
+            for u, v in edges:
+                if u in root and v in root:
+                    root[u] = root[v] = min(root[u], root[v])
+        assert found == set(root.items())
+        assert rounds is None or len(written) == 1 + rounds
+
+
+def test_few_rows_are_written_by_few_tasks(spark):
+    from anomark.llm.common import in_few
+
+    most = 2 * spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(most + 50)
+    assert in_few(many, 1000).rdd.getNumPartitions() == most
+    assert in_few(many, 1000, each=1).rdd.getNumPartitions() == most + 50
+    assert in_few(many, 1000).distinct().count() == 1000
