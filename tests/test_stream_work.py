@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import CaseInsensitiveDict
 
 from anomark.config import DetectorConfig
 from anomark.operators.rejects import observation_rejects
@@ -9,6 +10,7 @@ from anomark.session import scratch_path
 from anomark.sources.triples import END_OF_STREAM, render_observation_triples
 from anomark.streaming.files import caught_up, listed, located
 from anomark.streaming.stage_a import start_stage_a
+from anomark.streaming.lines import LineReader
 from anomark.streaming.stage_b import MachineDetector
 from tests.helpers import build_inputs
 
@@ -98,3 +100,10 @@ def test_micro_batch_is_assembled_once(spark):
     assert spark.read.parquet(f"{out}/_observations/batch_id=*").count() == 5
     assert [(r.reason, r["item"]) for r in spark.read.parquet(f"{out}/_rejects/batch_id=*").collect() if r.reason == "unknown machine"]
     assert spark.read.parquet(f"{out}/batch_id=*").where("size(obs) = 1").count() == 4
+
+
+def test_line_source_heeds_its_options():
+    """Spark hands a source its options in lower case."""
+    options = dict(CaseInsensitiveDict({"path": "p", "maxBytesPerTrigger": "1000", "splitBytes": "10", "record": None}))
+    reader = LineReader(options)
+    assert (reader.most, reader.split) == (1000, 10)
