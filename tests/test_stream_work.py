@@ -1,17 +1,21 @@
 """How often the streams and the rejects read what they work on."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import CaseInsensitiveDict
 
 from anomark.config import DetectorConfig
+from anomark.functions.markov import first_anomaly
 from anomark.operators.rejects import observation_rejects
 from anomark.session import scratch_path
 from anomark.sources.triples import END_OF_STREAM, render_observation_triples
+from anomark.streaming import stage_b
 from anomark.streaming.files import caught_up, listed, located
 from anomark.streaming.stage_a import start_stage_a
 from anomark.streaming.lines import LineReader
-from anomark.streaming.stage_b import MachineDetector
+from anomark.streaming.stage_b import COLUMNS, FirstReport, MachineDetector
 from tests.helpers import build_inputs
 
 
@@ -107,3 +111,42 @@ def test_line_source_heeds_its_options():
     options = dict(CaseInsensitiveDict({"path": "p", "maxBytesPerTrigger": "1000", "splitBytes": "10", "record": None}))
     reader = LineReader(options)
     assert (reader.most, reader.split) == (1000, 10)
+
+
+def test_reports_of_a_bucket():
+    """Many reports under one key: the first of each counts, in any order and over calls, with missing names too."""
+    of = lambda *rows: pd.DataFrame(rows, columns=COLUMNS)
+    row = lambda tid, line, machine="A", window=1: (machine, "d", tid, "t", 0.5, window, "s", line)
+    report = FirstReport()
+    report.reported = Held()
+    report.reported.containsKey = lambda k: k in report.reported.kept
+    call = lambda *frames: sorted((r.timestamp_id or "", r.machine_id or "", r.trigger_line) for f in report.handleInputRows((3,), iter(frames), None) for r in f.itertuples())
+    assert call(of(row("T2", 9), row("T1", 5), row("T2", 7, "B")), of(row("T2", 7, "A", 2), row(None, 8, None), row(None, 8, "C"))) == [("", "C", 8), ("T1", "A", 5), ("T2", "A", 7)]
+    assert call(of(row("T1", 1), row("T3", 9))) == [("T3", "A", 9)]
+    assert call(of(row(None, 1))) == []
+
+
+def test_chains_of_many_windows_are_tested_at_once(monkeypatch):
+    """Windows that are tested together give what each gives alone, whatever their size and however many values an event has."""
+    rng = random.Random(5)
+    n = 120
+    obs = [[{"obs_pos": k, "property_id": rng.choice("dxe"), "value": float(rng.randint(0, 6))} for k in range(rng.randint(0, 3))] for _ in range(n)]
+    rows = pd.DataFrame({
+        "seq_file": "s", "seq_line": range(n), "timestamp_id": [f"T{i}" for i in range(n)], "timestamp_value": "t", "obs": obs,
+        "forced": False, "params": [{"d": {"k": 3, "t": 0.4}, "e": {"k": 1, "t": 0.4}, "x": {"k": 4, "t": 0.5}}] * n,
+    })
+    calls = []
+    monkeypatch.setattr(stage_b, "first_anomaly", lambda *a: calls.append(a) or first_anomaly(*a))
+
+    def run(waiting, few):
+        monkeypatch.setattr(stage_b, "WAITING", waiting)
+        monkeypatch.setattr(stage_b, "FEW", few)
+        detector = MachineDetector(DetectorConfig(window_size=6, num_transitions=2, properties=("d", "e", "x")))
+        detector.events, detector.folds, detector.count = Held(), Held(), Held()
+        return [tuple(r) for f in detector.handleInputRows(("A",), iter([rows]), None) for r in f.itertuples(index=False)]
+
+    alone = run(1, 10**6)
+    assert len(alone) > 10 and calls
+    calls.clear()
+    assert run(50, 12) == run(1 << 16, 12) == alone
+    assert len(calls) < n
