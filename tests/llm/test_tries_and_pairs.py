@@ -311,3 +311,35 @@ def test_few_rows_are_written_by_few_tasks(spark):
     assert in_few(many, 1000).rdd.getNumPartitions() == most
     assert in_few(many, 1000, each=1).rdd.getNumPartitions() == most + 50
     assert in_few(many, 1000).distinct().count() == 1000
+
+
+def test_minhash_picks_texts_by_few_bits(spark, monkeypatch):
+    """What is sent to all tasks to pick wanted texts is some bits a text; all wanted sets come, and no others."""
+    sent = []
+    send = bottom_k.F.broadcast
+    monkeypatch.setattr(bottom_k.F, "broadcast", lambda df: sent.append(df) or send(df))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.format_string("%d a b %d", "id", F.col("id") % 7).alias("text"))
+    rows = bottom_k.sketches(docs)
+    wanted = rows.where("doc_id % 2 = 0").select(F.col("doc_id").alias("uid"), "row_key")
+    made = bottom_k.full_sets(docs, wanted, 2).select("uid", "n").collect()
+    assert sorted((r.uid, r.n) for r in made) == [(k, 3) for k in range(0, 20_000, 2)]
+    assert len(sent) == 1 and 0 < sum(len(bytes(v)) for r in sent[0].collect() for v in r if isinstance(v, (bytes, bytearray))) <= 10_000 * 4
+    keys = wanted.select(F.xxhash64("row_key").alias("key"))
+    others = rows.where("doc_id % 2 = 1").select(F.xxhash64("row_key").alias("key"))
+    sieve, mask = bottom_k._sieve(keys, 10_000)
+    assert bottom_k._picked(keys, sieve, mask).count() == 10_000
+    assert bottom_k._picked(others, sieve, mask).count() < 1_500
+    assert bottom_k.full_sets(docs, wanted.where("false"), 2).count() == 0
+
+
+def test_minhash_large_tables_are_not_sent_whole(spark, monkeypatch):
+    """A sketch's values are tens of times as many as classes, whatever Spark makes of the files' size; the same for tables of many rows."""
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.format_string("%d a b %d", "id", F.col("id") % 7).alias("text"))
+    classes = bottom_k._kept(bottom_k.sketches(docs).withColumn("uid", F.col("doc_id")), "test", 3_000)
+    plan = bottom_k._posting_plan(classes, 0.8, 256)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [value" in plan and "BroadcastHashJoin [value" not in plan
+    monkeypatch.setattr(bottom_k, "MOVED", 2_000)
+    one = bottom_k._kept(spark.range(3_000).toDF("a"), "test", 3_000)
+    assert "BroadcastHashJoin" not in one.join(spark.range(5).toDF("a"), "a")._jdf.queryExecution().executedPlan().toString()
+    few = bottom_k._kept(spark.range(5).toDF("a"), "test", 5)
+    assert "BroadcastHashJoin" in few.join(spark.range(5_000).toDF("a"), "a")._jdf.queryExecution().executedPlan().toString()
